@@ -357,6 +357,10 @@ FINAL = {
             on a.row_id = b.row_id and a.theme < b.theme group by 1, 2)
         select p.*, x.n as n1, y.n as n2, round(n_both / (x.n + y.n - n_both), 6) as jaccard
         from pairs p join used x on x.theme = p.theme1 join used y on y.theme = p.theme2""",
+    "similar_vectors": """, pairs as materialized (select a.vec_id as a, b.vec_id as b from embeddings a join embeddings b on a.vec_id <> b.vec_id
+            and list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.4),
+        reach as (select a as id, a as other from pairs union select r.id, p.b from reach r join pairs p on p.a = r.other)
+        select id, arg_max(other, coalesce(n_chars, 0) * 1000000 - other) as target from reach left join documents on doc_id = other group by id""",
     "hierarchy_rollup": """select parent, child, count(distinct row_id) as n_texts from (select row_id, theme as child,
             unnest([upper(left(theme, 1)), 'length ' || length(theme)]) as parent from occ) group by rollup (parent, child)""",
     "theme_quality": """select theme, n, round(confidence, 6) as confidence, case_variants, n = 1 as is_singleton, confidence < 0.6 as low_confidence,
@@ -369,12 +373,12 @@ CTES["reg"] = "select arg_min(theme, seen) as theme, sum(n)::bigint as n, min(se
 
 
 def _assemble(final: str) -> str:
-    sql = _query(final.lstrip(", "))
-    if final.startswith(","):  # the statement brings tables of its own
-        own = final.lstrip(", ")
-        head = sql[: len(sql) - len(own)].rstrip()
-        return f"{head},\n{own}"
-    return sql
+    if not final.startswith(", "):
+        return _query(final)
+    # The statement brings tables of its own, which follow the shared ones.
+    own = final[2:]
+    shared = _query(own)
+    return shared.removesuffix(own).rstrip() + f",\n{own}" if shared != own else f"with recursive {own}"
 
 
 ORACLES: dict[str, str] = {name: _assemble(final) for name, final in FINAL.items()}

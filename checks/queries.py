@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
+from themeloom.functions.storage import freeze
 from themeloom.functions.text import names
-from themeloom.operators import batching, cleaning, model, parsing, reports, requests, similar, themes, tokens
+from themeloom.operators import batching, cleaning, model, parsing, reports, requests, semantic, similar, themes, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 REPRESENTATIVES = ("Enonon", "Tion", "Ouen", "Der", "Anan")
@@ -107,7 +108,8 @@ def hinted_batch_requests(spark, d):
 
 
 def _examples(spark, d):
-    return themes.theme_examples(fx.occurrences(spark, d), fx.documents(spark, d))
+    # Ranks and totals both read the occurrences.
+    return themes.theme_examples(freeze(fx.occurrences(spark, d)), fx.documents(spark, d))
 
 
 def theme_writeup_requests(spark, d):
@@ -531,6 +533,14 @@ def theme_quality(spark, d):
     return df.withColumn("confidence", F.round("confidence", 6))
 
 
+def similar_vectors(spark, d):
+    """Groups of alike vectors; a document's length stands in for a theme's count."""
+    vectors = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    counts = fx.documents(spark, d).select(F.col("row_id").alias("id"), F.col("n_chars").alias("n"))
+    stats = vectors.join(counts, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return semantic.similar_themes(stats, 0.4)
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -549,6 +559,6 @@ QUERIES: dict[str, Query] = {
         result_rows, batch_stats, session_stats, processing_stats, summary_metrics, theme_count_tables, charted_themes,
         theme_report, report_statistics, analysis_summary, statistics_json, result_json, result_json_confidences,
         batch_json,
-        theme_cooccurrence, hierarchy_rollup, theme_quality,
+        theme_cooccurrence, similar_vectors, hierarchy_rollup, theme_quality,
     )
 }

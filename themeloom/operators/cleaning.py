@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from themeloom.functions.ordering import dense_index
 from themeloom.functions.text import digest, is_blank, strip
@@ -71,37 +72,26 @@ def load_report(
     """One row of counts on the raw table: rows, rows left by cleaning, repeated rows, empty texts.
 
     The counts overlap and need not add up to ``rows_removed``. ``row_id`` is ours, not data, so
-    it does not take part in the comparison of whole rows.
+    it does not take part in the comparison of whole rows. The table is read once; what is
+    shuffled to count distinct texts and rows is their digests.
     """
     data = [c for c in df.columns if c != row_id]
-    strings = {f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "varchar", "char")}
-    usable = usable_texts(df.select(text), text, min_length)
-    texts_left = usable.select(digest(text).alias("_digest"))
-    texts_left = texts_left.distinct() if drop_duplicates else texts_left
-
-    original = df.agg(
-        F.count(F.lit(1)).alias("original_row_count"),
-        F.count_if(F.col(text).isNull() | is_blank(text)).alias("empty_texts"),
+    strings = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    usable = F.col(text).isNotNull() & ~is_blank(text) & (F.length(text) >= min_length)
+    marked = df.select(
+        F.struct(*[digest(c).alias(c) if c in strings else F.col(c) for c in data]).alias("_row"),
+        F.when(usable, digest(strip(text))).alias("_kept"),
+        (F.col(text).isNull() | is_blank(text)).alias("_empty"),
     )
-    cleaned = texts_left.agg(F.count(F.lit(1)).alias("cleaned_row_count"))
-    distinct = (
-        df.select(*[digest(c).alias(c) if c in strings else F.col(c) for c in data])
-        .distinct()
-        .agg(F.count(F.lit(1)).alias("_distinct_rows"))
-    )
-    one = [t.withColumn("_one", F.lit(1)) for t in (original, cleaned, distinct)]
-    return (
-        one[0]
-        .join(one[1], "_one")
-        .join(one[2], "_one")
-        .select(
-            "original_row_count",
-            "cleaned_row_count",
-            (F.col("original_row_count") - F.col("cleaned_row_count")).alias("rows_removed"),
-            (F.col("original_row_count") - F.col("_distinct_rows")).alias("duplicate_rows"),
-            "empty_texts",
-            F.lit(len(data)).cast("bigint").alias("n_columns"),
-            F.lit(",".join(data)).alias("columns"),
-            F.lit(text).alias("text_column"),
-        )
+    original = F.count(F.lit(1))
+    cleaned = F.count_distinct("_kept") if drop_duplicates else F.count("_kept")
+    return marked.agg(
+        original.alias("original_row_count"),
+        cleaned.alias("cleaned_row_count"),
+        (original - cleaned).alias("rows_removed"),
+        (original - F.count_distinct("_row")).alias("duplicate_rows"),
+        F.count_if("_empty").alias("empty_texts"),
+        F.lit(len(data)).cast("bigint").alias("n_columns"),
+        F.lit(",".join(data)).alias("columns"),
+        F.lit(text).alias("text_column"),
     )

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions.text import names
-from themeloom.operators.themes import average_confidence, sorted_themes, theme_occurrences, theme_stats
+from themeloom.operators.themes import average_confidence, exploded, sorted_themes, theme_occurrences, theme_stats
 from themeloom.options import BATCH_SIZE, NA_THEME
 
 
@@ -131,15 +131,12 @@ def theme_count_tables(results: DataFrame) -> DataFrame:
     """Counts per theme for the themes and for the consolidated themes: ``stage, theme, n`` and the
     first sighting, which breaks ties. ``NA`` is left out."""
     stages = [("original", "themes"), ("consolidated", "consolidated")]
-    both = F.explode(
-        F.array(*[F.struct(F.lit(stage).alias("stage"), F.col(source).alias("names")) for stage, source in stages])
-    )
-    occ = (
-        answered(results)
-        .select("row_id", both.alias("_stage"))
-        .select("row_id", "_stage.stage", F.posexplode("_stage.names").alias("pos", "theme"))
-        .filter(F.col("theme") != NA_THEME)
+    both = F.array(*[F.struct(F.lit(stage).alias("stage"), F.col(source).alias("names")) for stage, source in stages])
+    per_stage = answered(results).select("row_id", F.explode(both).alias("_stage")).select("row_id", "_stage.*")
+    occ = exploded(per_stage, "names", "row_id", "stage").select(
+        "row_id", "stage", "pos", F.col("_entry").alias("theme")
     )
+    occ = occ.filter(F.col("theme") != NA_THEME)
     return occ.groupBy("stage", "theme").agg(
         F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"), F.min_by("pos", "row_id").alias("first_pos")
     )
@@ -346,9 +343,8 @@ def batch_json(documents: DataFrame, results: DataFrame, batches: DataFrame) ->
     """Each batch as JSON around the :func:`result_documents` of its texts, no more than a batch holds."""
     nested = documents.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("pos", "document")), _by_pos).alias("_docs"))
     themes = (
-        answered(results)
-        .select("batch_id", F.explode("themes").alias("theme"))
-        .groupBy("batch_id", "theme")
+        exploded(answered(results), "themes", "batch_id")
+        .groupBy("batch_id", F.col("_entry").alias("theme"))
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("batch_id")
         .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("theme", "n")))).alias("themes_summary"))

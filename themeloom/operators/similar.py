@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions.storage import freeze
 from themeloom.functions.text import col
+from themeloom.operators.themes import exploded
 from themeloom.options import MIN_CONFIDENCE
 
 # What a merge suggestion says.
@@ -28,7 +29,7 @@ def containment_pairs(themes: DataFrame, lead: int | None = None) -> DataFrame:
     whole text. With ``lead`` only pairs with a theme before that ``seq`` are formed.
     """
     folded = themes.select("seq", F.lower("theme").alias("text")).filter(F.col("text") != "")
-    postings = folded.select("seq", "text", F.explode(_grams("text", 3)).alias("gram"))
+    postings = exploded(folded, _grams("text", 3), "seq", "text").withColumnRenamed("_entry", "gram")
     spread = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = (
         postings.select("seq", "gram")
@@ -39,8 +40,8 @@ def containment_pairs(themes: DataFrame, lead: int | None = None) -> DataFrame:
         .select("seq", "text", F.col("_rarest.gram").alias("gram"))
     )
     short = folded.filter(F.length("text") < 3).select("seq", "text", F.col("text").alias("gram"))
-    pieces = folded.select(
-        "seq", "text", F.explode(F.concat(_grams("text", 1), _grams("text", 2))).alias("gram")
+    pieces = exploded(folded, F.concat(_grams("text", 1), _grams("text", 2)), "seq", "text").withColumnRenamed(
+        "_entry", "gram"
     )
 
     def found(inner: DataFrame, outer: DataFrame) -> DataFrame:
@@ -106,9 +107,9 @@ def cooccurrence(entries: DataFrame, themes: Column | str = "themes") -> DataFra
             F.slice("_names", i + 2, F.size("_names")), lambda b: F.struct(a.alias("theme1"), b.alias("theme2"))
         ),
     )
-    pairs = named.select(F.explode(F.flatten(ahead)).alias("_pair")).select("_pair.*")
+    pairs = exploded(named, F.flatten(ahead)).select("_entry.*")
     both = pairs.groupBy("theme1", "theme2").agg(F.count(F.lit(1)).alias("n_both"))
-    support = named.select(F.explode("_names").alias("theme")).groupBy("theme").agg(F.count(F.lit(1)).alias("n"))
+    support = exploded(named, "_names").groupBy(F.col("_entry").alias("theme")).agg(F.count(F.lit(1)).alias("n"))
     return (
         both.join(support.select(F.col("theme").alias("theme1"), F.col("n").alias("n1")), "theme1")
         .join(support.select(F.col("theme").alias("theme2"), F.col("n").alias("n2")), "theme2")

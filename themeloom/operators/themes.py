@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.functions.ordering import dense_index
-from themeloom.functions.storage import has_more_than
+from themeloom.functions.storage import broadcast_if_small, freeze, has_more_than
 from themeloom.functions.text import col, names, strip
 from themeloom.options import (
     HIGH_CONFIDENCE,
@@ -23,19 +23,24 @@ from themeloom.options import (
     NA_THEME,
 )
 
-_PAIRS = "array<struct<theme:string,confidence:double>>"
-
 
 def occurrences(entries: DataFrame, source: str = "original") -> DataFrame:
     """The long form of an array of (theme, confidence)."""
-    return entries.select("row_id", F.posexplode(source).alias("pos", "_entry")).select(
-        "row_id", "pos", "_entry.theme", "_entry.confidence"
-    )
+    return exploded(entries, source, "row_id").select("row_id", "pos", "_entry.theme", "_entry.confidence")
 
 
 def theme_occurrences(entries: DataFrame, source: str = "themes") -> DataFrame:
     """The long form of an array of names: ``row_id, pos, theme``."""
-    return entries.select("row_id", F.posexplode(source).alias("pos", "theme"))
+    return exploded(entries, source, "row_id").select("row_id", "pos", F.col("_entry").alias("theme"))
+
+
+def exploded(df: DataFrame, source: Column | str, *keep: str) -> DataFrame:
+    """The elements of an array as rows ``pos, _entry``; null elements and empty arrays give none.
+
+    From a plain explode Spark derives a filter on the size of the array, which evaluates the
+    expression behind it a second time for every row; the outer form has no such filter.
+    """
+    return df.select(*keep, F.posexplode_outer(source).alias("pos", "_entry")).filter(F.col("_entry").isNotNull())
 
 
 def theme_stats(occ: DataFrame) -> DataFrame:
@@ -112,28 +117,30 @@ def map_themes(entries: DataFrame, mapping: DataFrame, source: str, name: str) -
     """Replace the themes of each text through ``theme -> target``; unmapped themes stay.
 
     Order is kept, targets are distinct, and a target has the confidence of its first source.
-    ``mapping`` is unique per theme: the optimizer broadcasts it when small and otherwise splits
-    the partitions of very common themes. Only ids and themes are shuffled.
+    ``mapping`` is unique per theme. A small one is broadcast, after a look at its size, and
+    leaves one shuffle, which moves each text's row once. A large one is joined by shuffling,
+    with the partitions of very common themes split by the optimizer.
     """
-    targets = mapping.select(F.col("theme").alias("_theme"), "target")
-    mapped = (
-        occurrences(entries, source)
-        .join(targets, F.col("theme") == F.col("_theme"), "left")
-        .groupBy("row_id")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct("pos", F.coalesce("target", "theme").alias("theme"), "confidence"))
-            ).alias("_sorted")
-        )
-        .select(
-            "row_id",
-            F.transform("_sorted", lambda e: F.struct(e["theme"].alias("theme"), e["confidence"].alias("confidence"))).alias(
-                "_pairs"
-            ),
-        )
-        .select("row_id", _first_by_theme(F.col("_pairs")).alias(name))
+    targets = broadcast_if_small(freeze(mapping.select(F.col("theme").alias("_theme"), "target")))
+    rest = [c for c in entries.columns if c != "row_id"]
+    exploded = entries.select("row_id", F.struct(*rest).alias("_rest"), F.posexplode_outer(source).alias("_pos", "_entry"))
+    mapped = exploded.join(targets, F.col("_entry.theme") == F.col("_theme"), "left")
+    # A text without themes is one row with a null entry, which collect_list leaves out.
+    item = F.struct(
+        F.col("_pos").alias("pos"),
+        F.coalesce("target", "_entry.theme").alias("theme"),
+        F.col("_entry.confidence").alias("confidence"),
+    )
+    regrouped = mapped.groupBy("row_id").agg(
+        F.first("_rest").alias("_rest"),
+        F.sort_array(F.collect_list(F.when(F.col("_pos").isNotNull(), item))).alias("_sorted"),
+    )
+    pairs = F.transform(
+        "_sorted", lambda e: F.struct(e["theme"].alias("theme"), e["confidence"].alias("confidence"))
+    )
+    return regrouped.select("row_id", "_rest.*", pairs.alias("_pairs")).select(
+        "row_id", *rest, _first_by_theme(F.col("_pairs")).alias(name)
     )
-    return entries.join(mapped, "row_id", "left").withColumn(name, F.coalesce(name, F.array().cast(_PAIRS)))
 
 
 def entry_themes(entries: DataFrame, mapping: DataFrame, max_themes: int = MAX_THEMES_PER_TEXT) -> DataFrame:
@@ -198,8 +205,8 @@ def consolidated(entries: DataFrame, mapping: DataFrame | None, name: str = "con
         F.transform("themes", lambda t: F.struct(t.alias("theme"), F.lit(1.0).alias("confidence"))),
         lambda e: e["theme"] != NA_THEME,
     )
-    mapped = map_themes(entries.select("row_id", pairs.alias("_source")), mapping, "_source", "_mapped")
-    return entries.join(mapped.select("row_id", names("_mapped").alias(name)), "row_id", "left")
+    mapped = map_themes(entries.withColumn("_source", pairs), mapping, "_source", "_mapped")
+    return mapped.select(*entries.columns, names("_mapped").alias(name))
 
 
 def sorted_themes(stats: DataFrame, k: int | None = None) -> DataFrame:
