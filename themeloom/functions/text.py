@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,8 +41,6 @@ def estimate_tokens(c: Column | str) -> Column:
 
 def token_counter(encode: Callable[[str], list]) -> Callable[[Column | str], Column]:
     """An exact counter from a tokenizer's ``encode``, run on Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else len(encode(t))).astype("Int64")
