@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions.storage import freeze
 from themeloom.operators import batching, cleaning, model, parsing, requests, themes
+from themeloom.sources.tables import read_table
 
 QUESTION = "What would you change?"
 AS_OF = "timestamp_ntz '2024-01-31 00:00:00'"
@@ -26,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "row_id")
+    return read_table(spark, f"{sf_dir}/documents.parquet", "doc_id").withColumnRenamed("doc_id", "row_id")
 
 
 def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def named_themes(text: str = "text") -> Column:
     words = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit("[A-Za-z]{6,}"), F.lit(0)))
-    by_length = F.array_sort(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    by_length = F.sort_array(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
     return F.transform(F.slice(by_length, 1, 5), lambda s: s["w"])
 
 
@@ -68,13 +69,15 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = entries(spark, sf_dir)
-    return themes.entry_themes(wide, themes.case_map(themes.theme_stats(themes.occurrences(wide))))
+    """Entries with the case map applied. Frozen, as are the entries before, so that texts are
+    read once however often these are used."""
+    wide = freeze(entries(spark, sf_dir))
+    return freeze(themes.entry_themes(wide, themes.case_map(themes.theme_stats(themes.occurrences(wide)))))
 
 
-def group_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+def group_map(merged: DataFrame) -> DataFrame:
     """Themes used more than once map to their first letter; the others are unmapped."""
-    used = themes.theme_stats(themes.theme_occurrences(merged_entries(spark, sf_dir)))
+    used = themes.theme_stats(themes.theme_occurrences(merged))
     return used.filter("n > 1").select("theme", F.upper(F.substring("theme", 1, 1)).alias("target"))
 
 
@@ -120,9 +123,7 @@ def run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     parsed = freeze(parsing.batch_entries(replies))
     spelling = themes.case_map(themes.theme_stats(themes.occurrences(parsed)))
     merged = freeze(themes.entry_themes(parsed, spelling))
-    used = themes.theme_stats(themes.theme_occurrences(merged))
-    mapping = used.filter("n > 1").select("theme", F.upper(F.substring("theme", 1, 1)).alias("target"))
-    results = freeze(themes.consolidated(merged, mapping))
+    results = freeze(themes.consolidated(merged, group_map(merged)))
     start = F.timestamp_seconds(F.lit(1704067200) + F.col("batch_id") * 60)
     used_batches = model.batch_usage(replies).withColumn("start_ts", start)
     end = F.timestamp_micros(F.unix_micros("start_ts") + F.col("tokens_used") * 1000)

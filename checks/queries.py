@@ -347,7 +347,8 @@ def needs_consolidation(spark, d):
 
 
 def consolidated_themes(spark, d):
-    out = themes.consolidated(fx.merged_entries(spark, d), fx.group_map(spark, d))
+    merged = fx.merged_entries(spark, d)
+    out = themes.consolidated(merged, fx.group_map(merged))
     return out.select("row_id", _bar("consolidated").alias("consolidated"))
 
 
@@ -363,19 +364,20 @@ def merge_suggestions(spark, d):
     return similar.merge_suggestions(_registered(spark, d))
 
 
-def _merges(spark, d):
+def _merges(stats):
     """Merge every theme into its capitalised form, whether that exists or not."""
-    target = F.concat(F.upper(F.substring("theme", 1, 1)), F.lower(F.substring("theme", 2, 1000)))
-    return fx.stats(spark, d).select(F.col("theme").alias("from_theme"), target.alias("to_theme"))
+    target = F.concat(F.upper(F.substring("theme", 1, 1)), F.lower(F.substr("theme", F.lit(2))))
+    return stats.select(F.col("theme").alias("from_theme"), target.alias("to_theme"))
 
 
 def merged_themes(spark, d):
-    out = themes.merge_themes(fx.stats(spark, d), _merges(spark, d))
-    return out.select("theme", "n", _r6("confidence", "confidence"))
+    stats = freeze(fx.stats(spark, d))
+    return themes.merge_themes(stats, _merges(stats)).select("theme", "n", _r6("confidence", "confidence"))
 
 
 def merge_outcome(spark, d):
-    return themes.merge_outcome(fx.stats(spark, d), _merges(spark, d))
+    stats = freeze(fx.stats(spark, d))
+    return themes.merge_outcome(stats, _merges(stats))
 
 
 def top_themes(spark, d):
@@ -387,8 +389,9 @@ def theme_totals(spark, d):
 
 
 def theme_lookup(spark, d):
-    asked = fx.stats(spark, d).select(F.explode(F.array("theme", F.upper("theme"))).alias("theme")).distinct()
-    return themes.theme_lookup(fx.stats(spark, d), asked).select("theme", "n", _r6("confidence", "confidence"))
+    stats = freeze(fx.stats(spark, d))
+    asked = stats.select(F.explode(F.array("theme", F.upper("theme"))).alias("theme")).distinct()
+    return themes.theme_lookup(stats, asked).select("theme", "n", _r6("confidence", "confidence"))
 
 
 def theme_examples(spark, d):
@@ -522,14 +525,15 @@ def theme_cooccurrence(spark, d):
 
 def hierarchy_rollup(spark, d):
     """Two parents per theme: its first letter and its length."""
-    used = fx.stats(spark, d).select("theme")
+    occ = freeze(fx.occurrences(spark, d))
+    used = occ.select("theme").distinct()
     parents = F.explode(F.array(F.upper(F.substring("theme", 1, 1)), F.concat(F.lit("length "), F.length("theme").cast("string"))))
     edges = used.select(parents.alias("parent"), F.col("theme").alias("child"))
-    return similar.hierarchy_rollup(fx.occurrences(spark, d), edges)
+    return similar.hierarchy_rollup(occ, edges)
 
 
 def theme_quality(spark, d):
-    df = similar.theme_quality(fx.stats(spark, d))
+    df = similar.theme_quality(freeze(fx.stats(spark, d)))
     return df.withColumn("confidence", F.round("confidence", 6))
 
 

@@ -9,11 +9,11 @@ of the statistics.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from themeloom.functions.rows import side_by_side
 from themeloom.functions.text import names
 from themeloom.operators.themes import average_confidence, exploded, sorted_themes, theme_occurrences, theme_stats
 from themeloom.options import BATCH_SIZE, NA_THEME
@@ -28,12 +28,6 @@ def _seconds(start: Column, end: Column) -> Column:
     return micros / 1_000_000
 
 
-def _side_by_side(*one_row: DataFrame) -> DataFrame:
-    """Put tables of one row each next to each other."""
-    keyed = [t.withColumn("_one", F.lit(1)) for t in one_row]
-    return reduce(lambda a, b: a.join(b, "_one"), keyed).drop("_one")
-
-
 def answered(results: DataFrame) -> DataFrame:
     return results.filter(F.col("status") != "error")
 
@@ -97,7 +91,7 @@ def session_stats(results: DataFrame, batches: DataFrame) -> DataFrame:
         _seconds(F.min("start_ts"), F.max("end_ts")).alias("session_duration"),
     )
     n, b = F.col("total_entries"), F.col("total_batches")
-    return _side_by_side(per_entry, distinct, per_batch).select(
+    return side_by_side(per_entry, distinct, per_batch).select(
         "total_batches",
         "total_entries",
         "total_tokens_used",
@@ -181,7 +175,7 @@ def summary_metrics(
     totals = batches.agg(
         F.count(F.lit(1)).alias("batches"), F.coalesce(F.sum("tokens_used"), F.lit(0)).cast("bigint").alias("tokens")
     )
-    row = _side_by_side(per_stage, entries, sizes, totals)
+    row = side_by_side(per_stage, entries, sizes, totals)
     row = row.select(
         "*",
         *[F.coalesce(F.col(f"{s}_{m}"), F.lit(0)).alias(f"{s}_{m}_n") for s in ("original", "consolidated") for m in ("occurrences", "unique")],
@@ -240,7 +234,7 @@ def summary_metrics(
 def report_statistics(results: DataFrame, batches: DataFrame, stats: DataFrame) -> DataFrame:
     """The five figures of the report in one row. ``stats`` are the theme counts reported on."""
     themes = stats.agg(F.count(F.lit(1)).alias("_unique"))
-    return _side_by_side(session_stats(results, batches), themes).select(
+    return side_by_side(session_stats(results, batches), themes).select(
         "total_entries",
         F.col("_unique").alias("unique_themes"),
         F.col("session_duration").alias("processing_time_seconds"),
@@ -273,7 +267,7 @@ def analysis_summary(results: DataFrame, batches: DataFrame, stats: DataFrame, m
             lambda t: F.struct(t["theme"].alias("name"), t["n"].alias("frequency")),
         ).alias("top_themes")
     )
-    totals = _side_by_side(
+    totals = side_by_side(
         stats.agg(F.count(F.lit(1)).alias("unique_themes"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_occurrences")),
         merged,
     ).select(
@@ -284,7 +278,7 @@ def analysis_summary(results: DataFrame, batches: DataFrame, stats: DataFrame, m
             "total_occurrences",
         ).alias("theme_stats")
     )
-    return _side_by_side(
+    return side_by_side(
         session.select(F.struct(*session.columns).alias("session_stats")),
         totals,
         processing.select(F.struct(*processing.columns).alias("processing_stats")),

@@ -100,7 +100,7 @@ def cooccurrence(entries: DataFrame, themes: Column | str = "themes") -> DataFra
     ``themes`` are distinct names, few per text, so pairs are formed inside the row; nothing is
     joined on the text id, and pair counts are reduced before the shuffle.
     """
-    named = entries.select(F.array_sort(col(themes)).alias("_names"))
+    named = entries.select(F.sort_array(col(themes)).alias("_names"))
     ahead = F.transform(
         "_names",
         lambda a, i: F.transform(

@@ -166,7 +166,7 @@ def limit_themes(pairs: Column | str, max_themes: int, min_confidence: float = M
         col(pairs),
         lambda e, i: F.struct((-e["confidence"]).alias("_down"), i.alias("_pos"), e["theme"].alias("theme"), e["confidence"].alias("confidence")),
     )
-    sure = F.filter(F.array_sort(numbered), lambda e: e["confidence"] >= min_confidence)
+    sure = F.filter(F.sort_array(numbered), lambda e: e["confidence"] >= min_confidence)
     kept = F.slice(
         F.transform(sure, lambda e: F.struct(e["theme"].alias("theme"), e["confidence"].alias("confidence"))), 1, max_themes
     )

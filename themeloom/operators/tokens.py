@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from themeloom.functions.rows import side_by_side
 from themeloom.functions.text import estimate_tokens
 from themeloom.options import (
     BASE_PROMPT_TOKENS,
@@ -60,11 +61,11 @@ def batch_size_recommendation(
     ``counted`` has ``n_tokens``. The sample is a top-k, not a sort of the table.
     """
     first = counted.select(row_id, "n_tokens").orderBy(row_id).limit(sample)
-    mean = first.agg(F.avg("n_tokens").alias("_mean")).withColumn("_one", F.lit(1))
-    total = counted.agg(F.count(F.lit(1)).alias("n_texts")).withColumn("_one", F.lit(1))
+    mean = first.agg(F.avg("n_tokens").alias("_mean"))
+    total = counted.agg(F.count(F.lit(1)).alias("n_texts"))
     per_entry = F.col("_mean") + overhead
     fits = F.floor((max_tokens - base_tokens) / per_entry)
-    return mean.join(total, "_one").select(
+    return side_by_side(mean, total).select(
         "n_texts",
         F.when(F.col("n_texts") == 0, F.lit(0))
         .when(per_entry <= 0, F.lit(1))
