@@ -1,4 +1,8 @@
-"""Time the headline queries and print one JSON line."""
+"""Time the headline queries and print one JSON line.
+
+Each query runs twice and the better time counts: on tables this small the first run mostly
+measures class loading and code generation.
+"""
 
 from __future__ import annotations
 
@@ -33,23 +37,27 @@ HEADLINE = (
 )
 
 
+RUNS = 2
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
     spark = session(cpus, max(8, int(cpus) if cpus.isdigit() else 8))
-    # Start the JVM's code paths before the clock runs.
-    QUERIES["token_distribution"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in names:
-        started = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - started, 3)
-        print(name, seconds[name], file=sys.stderr)
+        runs = []
+        for _ in range(RUNS):
+            started = time.perf_counter()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            runs.append(time.perf_counter() - started)
+        seconds[name] = round(min(runs), 3)
+        print(name, *[round(r, 3) for r in runs], file=sys.stderr)
     print(
         json.dumps(
             {
-                "metric": "headline queries, total",
+                "metric": "headline queries, total of the better of two runs",
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,

@@ -109,8 +109,10 @@ def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     failed = F.col("_longest") > FAILS_ABOVE
-    return asked.join(replies, "batch_id").select(
-        *asked.columns,
+    # As after the model, the length of the prompt goes on in place of the prompt.
+    sent = asked.select("batch_id", "n_texts", "members", "prompt_md5", F.length("prompt").cast("bigint").alias("prompt_length"))
+    return sent.join(replies, "batch_id").select(
+        *sent.columns,
         F.when(~failed, F.array_join("_lines", "\n")).alias("response"),
         F.when(failed, F.lit("text too long")).alias("error"),
         F.lit(False).alias("hit"),

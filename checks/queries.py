@@ -188,8 +188,7 @@ def model_batch_inference(spark, d):
         return f"1: {len(prompt)} characters|Length (90%)"
 
     asked = requests.batch_requests(fx.batches(spark, d), question=fx.QUESTION)
-    replies = model.run_model(asked, ask)
-    answered = asked.join(replies, "prompt_md5").withColumn("hit", F.lit(False))
+    answered = freeze(model.ask_model(asked, ask, ["batch_id", "n_texts"])).withColumn("hit", F.lit(False))
     usage = model.batch_usage(answered)
     return answered.select("batch_id", "response", "error").join(
         usage.select("batch_id", "tokens_used", "api_calls", _bar("errors").alias("errors")), "batch_id"

@@ -67,6 +67,13 @@ def test_a_failing_call_is_a_row(spark):
     assert replies.count() == 3
 
 
+def test_requests_with_a_response_are_not_asked(spark):
+    df = spark.createDataFrame([(0, "a", "known"), (1, "éb", None), (2, "c", None)], "batch_id bigint, prompt string, response string")
+    replies = model.ask_model(requests.with_key(df), lambda p: p * 2 if p != "c" else 1 / 0, ["batch_id"])
+    rows = {r["batch_id"]: (r["prompt_length"], r["response"], r["error"]) for r in replies.collect()}
+    assert rows == {0: (1, "known", None), 1: (2, "ébéb", None), 2: (1, None, "division by zero")}
+
+
 def test_embeddings_fall_back_to_single_texts(spark):
     def embed(texts):
         if "bad" in texts:
@@ -89,8 +96,8 @@ def test_usage(spark):
 
 def test_batch_usage_counts_cached_calls_by_choice(spark):
     df = spark.createDataFrame(
-        [(0, 2, "abcd", "efgh", None, True), (1, 1, "abcd", None, "boom", False)],
-        "batch_id bigint, n_texts bigint, prompt string, response string, error string, hit boolean",
+        [(0, 2, 4, "efgh", None, True), (1, 1, 4, None, "boom", False)],
+        "batch_id bigint, n_texts bigint, prompt_length bigint, response string, error string, hit boolean",
     )
     rows = {r["batch_id"]: (r["tokens_used"], r["api_calls"], r["errors"]) for r in model.batch_usage(df).collect()}
     assert rows == {0: (2, 1, []), 1: (0, 0, ["boom"])}

@@ -8,36 +8,50 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.functions.text import estimate_tokens
 from themeloom.options import CACHE_DAYS
 
-_RESPONSE = "prompt_md5 string, response string, error string, started_at timestamp, ended_at timestamp"
+_REPLY = "prompt_length bigint, response string, error string, started_at timestamp, ended_at timestamp"
 
 
-def run_model(requests: DataFrame, ask: Callable[[str], str], tasks: int | None = None) -> DataFrame:
-    """Send each distinct prompt to ``ask`` on the executors.
+def ask_model(
+    requests: DataFrame, ask: Callable[[str], str], keep: Sequence[str] = (), tasks: int | None = None
+) -> DataFrame:
+    """Send each request's ``prompt`` to ``ask`` on the executors.
 
-    Returns ``prompt_md5, response, error`` and the call's start and end. A call that raises gives
-    an ``error`` and the others go on. A model need not answer twice alike: freeze or write
-    the result before using it more than once. ``tasks`` sets how many calls may run side by side.
+    Returns the ``keep`` columns, ``prompt_md5``, the prompt's length in place of the prompt,
+    ``response``, ``error`` and the call's start and end. Requests that have a ``response`` already
+    are passed on unasked. A call that raises gives an ``error`` and the others go on. A model need
+    not answer twice alike, so freeze or write the result before using it more than once.
+    ``tasks`` sets how many calls may run side by side.
     """
-    distinct = requests.select("prompt_md5", "prompt").dropDuplicates(["prompt_md5"])
+    kept = ["prompt_md5", *keep]
+    given = "response" in requests.columns
+    sent = requests.select(*kept, "prompt", *(["response"] if given else []))
     if tasks:
-        distinct = distinct.repartition(tasks, "prompt_md5")
+        sent = sent.repartition(tasks, "prompt_md5")
+    types = ", ".join(f"{c} {requests.schema[c].dataType.simpleString()}" for c in kept)
 
     def call(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for key, prompt in zip(frame["prompt_md5"], frame["prompt"]):
-                started = pd.Timestamp.now(tz="UTC")
-                try:
-                    response, error = ask(prompt), None
-                except Exception as e:  # noqa: BLE001 - whatever the callable raises is that row's result
-                    response, error = None, str(e) or type(e).__name__
-                rows.append((key, response, error, started, pd.Timestamp.now(tz="UTC")))
-            yield pd.DataFrame(rows, columns=["prompt_md5", "response", "error", "started_at", "ended_at"])
+            for prompt, known in zip(frame["prompt"], frame["response"] if given else [None] * len(frame)):
+                started, response, error = pd.Timestamp.now(tz="UTC"), known, None
+                if known is None:
+                    try:
+                        response = ask(prompt)
+                    except Exception as e:  # noqa: BLE001 - whatever the callable raises is that row's result
+                        error = str(e) or type(e).__name__
+                rows.append((len(prompt), response, error, started, pd.Timestamp.now(tz="UTC")))
+            columns = ["prompt_length", "response", "error", "started_at", "ended_at"]
+            replies = pd.DataFrame(rows, columns=columns, index=frame.index)
+            yield pd.concat([frame[kept], replies], axis=1)
+
+    return sent.mapInPandas(call, f"{types}, {_REPLY}")
 
-    return distinct.mapInPandas(call, _RESPONSE)
+
+def run_model(requests: DataFrame, ask: Callable[[str], str], tasks: int | None = None) -> DataFrame:
+    """Ask each distinct prompt once; join the responses back on ``prompt_md5``."""
+    return ask_model(requests.select("prompt_md5", "prompt").dropDuplicates(["prompt_md5"]), ask, tasks=tasks)
 
 
 def embed_texts(
@@ -143,20 +157,19 @@ def usage_stats(log: DataFrame) -> DataFrame:
 
 
 def batch_usage(answered: DataFrame, count_cached_calls: bool = True) -> DataFrame:
-    """Per batch: tokens of prompt and reply together, and the number of calls.
+    """Per batch: estimated tokens of prompt and reply together, and the number of calls.
 
-    ``count_cached_calls`` counts a call for a reply from the cache as well. A failed batch
-    has no tokens and no call.
+    ``answered`` has ``batch_id, n_texts, prompt_length, response, error, hit``. A reply from the
+    cache counts as a call unless ``count_cached_calls`` is off. A failed batch has no tokens and
+    no call.
     """
     ok = F.col("error").isNull()
     calls = ok if count_cached_calls else ok & ~F.col("hit")
+    length = F.col("prompt_length") + F.coalesce(F.length("response"), F.lit(0))
     return answered.select(
         "batch_id",
         "n_texts",
-        F.when(ok, estimate_tokens(F.concat("prompt", F.coalesce("response", F.lit("")))))
-        .otherwise(F.lit(0))
-        .cast("bigint")
-        .alias("tokens_used"),
+        F.when(ok, F.floor(length / 4)).otherwise(F.lit(0)).cast("bigint").alias("tokens_used"),
         F.when(calls, 1).otherwise(0).cast("bigint").alias("api_calls"),
         F.when(ok, F.array().cast("array<string>")).otherwise(F.array("error")).alias("errors"),
     )

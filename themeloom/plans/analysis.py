@@ -31,20 +31,18 @@ class Analysis:
 
 def answer(
     requested: DataFrame, ask: Ask, cache: DataFrame | None, as_of: Column, options: Options
-) -> tuple[DataFrame, DataFrame]:
-    """Requests with their responses, and the new responses for the cache.
+) -> DataFrame:
+    """Requests with their responses, without the prompts.
 
-    New responses are frozen before use: the model is asked once per prompt even if a later step
-    is computed again.
+    Prompts, which hold the texts, are built once and end at the model; what is frozen for the
+    later steps is ids and responses. The model is not asked again if a later step is recomputed.
     """
     if cache is None:
         looked_up = requested.withColumn("response", F.lit(None).cast("string")).withColumn("hit", F.lit(False))
     else:
         looked_up = model.cache_lookup(requested, cache, as_of, options.cache_days)
-    new = freeze(model.run_model(looked_up.filter(~F.col("hit")), ask, options.model_tasks))
-    asked = new.withColumnRenamed("response", "_new")
-    answered = looked_up.join(asked, "prompt_md5", "left").withColumn("response", F.coalesce("response", "_new"))
-    return answered.drop("_new"), new
+    keep = [c for c in looked_up.columns if c not in ("prompt_md5", "prompt", "response")]
+    return freeze(model.ask_model(looked_up, ask, keep, options.model_tasks))
 
 
 def consolidate(
@@ -60,13 +58,13 @@ def consolidate(
     left = distinct
     while True:
         asked = requests.consolidation_requests(left, n, options.question, options.themes_per_consolidation)
-        answered, _ = answer(asked, ask, None, as_of, options)
+        answered = answer(asked, ask, None, as_of, options)
         named = freeze(
             answered.select(
                 "chunk_id", F.posexplode(parsing.consolidation_names("response", n)).alias("pos", "theme")
             )
         )
-        if not themes.has_more_than(asked, 1):
+        if not themes.has_more_than(answered, 1):
             break
         names = themes.theme_stats(named.withColumnRenamed("chunk_id", "row_id"))
         left = freeze(themes.distinct_themes(names))
@@ -76,7 +74,7 @@ def consolidate(
         representatives = tuple(r["theme"] for r in left.orderBy("seq").limit(n).collect())
 
     asked = requests.mapping_requests(distinct, representatives, options.mapping_chunk_size)
-    answered, _ = answer(asked, ask, None, as_of, options)
+    answered = answer(asked, ask, None, as_of, options)
     return representatives, parsing.theme_mapping(answered, representatives)
 
 
@@ -105,18 +103,10 @@ def analyze(
         hints,
         options.max_themes_per_text,
     )
-    answered, new = answer(asked, ask, cache, as_of, options)
+    answered = answer(asked, ask, cache, as_of, options)
     entries = freeze(parsing.batch_entries(answered))
-    usage = freeze(
-        model.batch_usage(answered, options.count_cached_calls).join(
-            answered.select(
-                "batch_id",
-                F.coalesce("started_at", as_of).alias("start_ts"),
-                F.coalesce("ended_at", as_of).alias("end_ts"),
-            ),
-            "batch_id",
-        )
-    )
+    spans = answered.select("batch_id", F.col("started_at").alias("start_ts"), F.col("ended_at").alias("end_ts"))
+    usage = freeze(model.batch_usage(answered, options.count_cached_calls).join(spans, "batch_id"))
 
     spelling = themes.case_map(themes.theme_stats(themes.occurrences(entries)), options.case_mode)
     merged = freeze(themes.entry_themes(entries, spelling, options.max_themes_per_text))
@@ -132,7 +122,7 @@ def analyze(
             representatives, theme_map = consolidate(distinct, ask, options, as_of)
             results = themes.consolidated(merged, theme_map)
     results = freeze(results.withColumn("processing_timestamp", as_of))
-    responses = new.filter(F.col("error").isNull()).select(
+    responses = answered.filter(~F.col("hit") & F.col("error").isNull()).select(
         "prompt_md5", "response", F.col("ended_at").alias("cached_at")
     )
     return Analysis(source, texts, results, usage, responses, spelling, theme_map, representatives)
