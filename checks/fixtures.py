@@ -87,9 +87,14 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch requests with replies in the batch format."""
-    placed = batches(spark, sf_dir)
-    asked = requests.batch_requests(placed, question=QUESTION)
-    marks = F.transform(named_themes(), lambda t, i: F.concat(t, F.lit(" ("), percent(t, i).cast("string"), F.lit("%)")))
+    source = documents(spark, sf_dir)
+    keys = cleaning.clean_keys(source)
+    asked = requests.batch_requests(
+        batching.fixed_batches(cleaning.clean_texts(source, keys=keys)), question=QUESTION
+    )
+    told = source.select("row_id", F.length("text").alias("_n"), named_themes().alias("_names"))
+    placed = batching.fixed_batches(told.join(keys, "row_id"))
+    marks = F.transform("_names", lambda t, i: F.concat(t, F.lit(" ("), percent(t, i).cast("string"), F.lit("%)")))
     line = F.concat(
         (F.col("pos") + 1).cast("string"),
         F.lit(": doc "),
@@ -98,7 +103,7 @@ def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(marks, ","),
     )
     replies = (
-        placed.select("batch_id", "pos", F.length("text").alias("_n"), F.when(F.length("text") >= UNANSWERED_BELOW, line).alias("_line"))
+        placed.select("batch_id", "pos", "_n", F.when(F.col("_n") >= UNANSWERED_BELOW, line).alias("_line"))
         .groupBy("batch_id")
         .agg(
             F.max("_n").alias("_longest"),

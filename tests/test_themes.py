@@ -186,3 +186,11 @@ def test_quality(spark):
     df = entry_frame(spark, [("ok", 0.9), ("low", 0.5), ("Var", 0.9)], [("ok", 0.9), ("low", 0.5), ("var", 0.9), ("one", 0.9)])
     rows = {r["theme"]: r["status"] for r in similar.theme_quality(themes.theme_stats(themes.occurrences(df))).collect()}
     assert rows == {"ok": "ok", "low": "review", "Var": "review", "var": "review", "one": "review"}
+
+
+def test_totals(spark):
+    occ = themes.occurrences(named(spark, ["a", "b"], ["a"], []))
+    assert tuple(themes.theme_totals(themes.theme_stats(occ)).first()) == (2, 3)
+    assert tuple(themes.approximate_theme_totals(occ).first()) == (2, 3)
+    rows = {r["theme"]: r["n"] for r in themes.theme_lookup(themes.theme_stats(occ), spark.createDataFrame([("a",), ("q",)], "theme string")).collect()}
+    assert rows == {"a": 2, "q": 0}

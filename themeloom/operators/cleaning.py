@@ -53,12 +53,15 @@ def clean_texts(
     row_id: str = "row_id",
     min_length: int = MIN_TEXT_LENGTH,
     drop_duplicates: bool = True,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """The cleaned table: all input columns, the text stripped, and ``idx`` from 0.
 
-    Wide rows are shuffled once, for the join with the surviving keys.
+    Wide rows are shuffled once, for the join with the surviving keys, which :func:`clean_keys`
+    gives and which can be passed in to be used elsewhere too.
     """
-    keys = clean_keys(df, text, row_id, min_length, drop_duplicates)
+    if keys is None:
+        keys = clean_keys(df, text, row_id, min_length, drop_duplicates)
     return usable_texts(df, text, min_length).join(keys, row_id).select(*df.columns, "idx")
 
 

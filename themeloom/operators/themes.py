@@ -262,6 +262,14 @@ def theme_totals(stats: DataFrame) -> DataFrame:
     )
 
 
+def approximate_theme_totals(occ: DataFrame, rsd: float = 0.01) -> DataFrame:
+    """As :func:`theme_totals` from the occurrences, with the distinct count estimated to within
+    ``rsd``: a fixed-size sketch per task instead of a shuffle of themes."""
+    return occ.agg(
+        F.approx_count_distinct("theme", rsd).alias("unique_themes"), F.count(F.lit(1)).alias("total_occurrences")
+    )
+
+
 def theme_lookup(stats: DataFrame, themes: DataFrame) -> DataFrame:
     """Count and mean confidence of the asked-for themes, 0 for unknown ones."""
     return themes.join(stats.select("theme", "n", "confidence"), "theme", "left").select(
