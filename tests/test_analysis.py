@@ -108,6 +108,20 @@ def test_long_theme_lists_consolidate_in_rounds(spark):
     assert {t for r in run.results.collect() for t in r["consolidated"]} == {"Group two"}
 
 
+def test_part_of_a_long_list_may_fail(spark):
+    def partly(prompt):
+        if "Merge them" in prompt and "- termf" in prompt and "worda" not in prompt:
+            raise RuntimeError("down")
+        return fake_model(prompt)
+
+    texts = [f"word{chr(97 + i)} term{chr(97 + i)}" for i in range(10)]
+    options = Options(batch_size=5, final_theme_count=2, themes_per_consolidation=6)
+    run = analysis.analyze(answers(spark, *texts), partly, options, as_of=as_of())
+    assert run.representatives == ("Group one", "Group two")
+    with pytest.raises(ValueError):
+        Options(final_theme_count=10, themes_per_consolidation=10)
+
+
 def test_registry_feeds_the_next_run(spark):
     run = analysis.analyze(answers(spark, "apple pie", "Apple tart"), fake_model, Options(batch_size=1), as_of=as_of())
     known = analysis.registry(run)

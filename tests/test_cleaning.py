@@ -75,6 +75,24 @@ def test_results_do_not_depend_on_partitioning(spark):
         assert sorted(map(tuple, cleaning.clean_texts(df.orderBy(F.rand(n)).repartition(n)).collect())) == expected
 
 
+def test_many_keys_are_shuffled_and_hashed(spark, monkeypatch):
+    df = texts(spark, *[f"answer {i % 50} " for i in range(200)])
+    few = sorted(map(tuple, cleaning.clean_texts(df).collect()))
+    monkeypatch.setattr(cleaning, "broadcast_if_small", lambda keys, otherwise: keys.hint(otherwise))
+    many = cleaning.clean_texts(df)
+    assert sorted(map(tuple, many.collect())) == few and len(few) == 50
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_broadcast_only_below_the_limit(spark):
+    from themeloom.functions.storage import broadcast_if_small
+
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(broadcast_if_small(spark.range(10), 10))
+    assert "broadcast" not in plan(broadcast_if_small(spark.range(11), 10))
+
+
 def test_dense_index_spans_partitions(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:

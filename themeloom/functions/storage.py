@@ -7,8 +7,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A broadcast side is a theme or id table; a million such rows stay under ~100 MB.
+# Rows of ids, themes or counts: a million of them stay under ~100 MB in memory.
 BROADCAST_ROWS = 1_000_000
+# Rows that hold a model's reply of a few KB.
+BROADCAST_REPLIES = 30_000
 
 
 def use_checkpoint_folder(spark: SparkSession) -> str:
@@ -40,7 +42,12 @@ def has_more_than(df: DataFrame, n: int) -> bool:
     return df.limit(n + 1).count() > n
 
 
-def broadcast_if_small(frozen: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of a frozen table after counting it; larger ones are left to the
-    optimizer, which shuffles and splits skewed partitions."""
-    return frozen if has_more_than(frozen, max_rows) else F.broadcast(frozen)
+def broadcast_if_small(stored: DataFrame, max_rows: int = BROADCAST_ROWS, otherwise: str | None = None) -> DataFrame:
+    """Hint a broadcast of a stored or frozen table after counting up to ``max_rows`` of its rows.
+
+    A larger one is shuffled, with the join hint ``otherwise`` if given and as the optimizer sees fit
+    if not; adaptive execution then splits partitions of hot keys.
+    """
+    if not has_more_than(stored, max_rows):
+        return F.broadcast(stored)
+    return stored.hint(otherwise) if otherwise else stored

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from themeloom.functions.ordering import dense_index
+from themeloom.functions.storage import broadcast_if_small
 from themeloom.functions.text import digest, is_blank, strip
 from themeloom.options import MIN_TEXT_LENGTH
 
@@ -57,12 +58,14 @@ def clean_texts(
 ) -> DataFrame:
     """The cleaned table: all input columns, the text stripped, and ``idx`` from 0.
 
-    Wide rows are shuffled once, for the join with the surviving keys, which :func:`clean_keys`
-    gives and which can be passed in to be used elsewhere too.
+    Wide rows meet the surviving keys, which :func:`clean_keys` gives and which can be passed in to be
+    used elsewhere too. Few keys are broadcast and the rows stay where they are. Many are shuffled
+    with the rows and hashed, so that the wide rows, some fifty times larger, are not sorted.
     """
     if keys is None:
         keys = clean_keys(df, text, row_id, min_length, drop_duplicates)
-    return usable_texts(df, text, min_length).join(keys, row_id).select(*df.columns, "idx")
+    kept = broadcast_if_small(keys, otherwise="shuffle_hash")
+    return usable_texts(df, text, min_length).join(kept, row_id).select(*df.columns, "idx")
 
 
 def load_report(

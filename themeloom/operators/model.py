@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from themeloom.functions.storage import BROADCAST_REPLIES, broadcast_if_small
 from themeloom.options import CACHE_DAYS
 
 _REPLY = "prompt_length bigint, response string, error string, started_at timestamp, ended_at timestamp"
@@ -95,13 +96,15 @@ def fresh(cached_at: Column | str, as_of: Column, max_age_days: int = CACHE_DAYS
 def cache_lookup(requests: DataFrame, cache: DataFrame, as_of: Column, max_age_days: int = CACHE_DAYS) -> DataFrame:
     """Add ``response`` and ``hit``. An expired or empty response is a miss.
 
-    ``cache`` has one row per ``prompt_md5`` (see :func:`cache_upsert`), so a prompt repeated by
-    many requests only widens the request side, which the optimizer may split.
+    ``cache`` is a stored table with one row per ``prompt_md5`` (see :func:`cache_upsert`). If few
+    responses are usable they are broadcast and the prompts stay where they are. Otherwise a prompt
+    repeated by many requests widens the request side only, which the optimizer may split.
     """
     usable = cache.filter(fresh("cached_at", as_of, max_age_days) & (F.col("response") != "")).select(
         "prompt_md5", "response"
     )
-    return requests.join(usable, "prompt_md5", "left").withColumn("hit", F.col("response").isNotNull())
+    known = broadcast_if_small(usable, BROADCAST_REPLIES)
+    return requests.join(known, "prompt_md5", "left").withColumn("hit", F.col("response").isNotNull())
 
 
 def cache_upsert(cache: DataFrame, new: DataFrame) -> DataFrame:

@@ -199,12 +199,14 @@ def consolidation_requests(
 
     Up to ``themes_per_request`` themes give one request. More give one per stretch of that many,
     so no task gathers the whole list; the names from all replies are then consolidated again.
+    ``first_themes`` stands in for the reply if the request fails.
     """
     n = F.size("themes")
     return with_key(
         _chunks(themes, themes_per_request).select(
             "chunk_id",
             n.cast("bigint").alias("n_themes"),
+            F.slice("themes", 1, final_count).alias("first_themes"),
             _text(
                 "These ",
                 n,

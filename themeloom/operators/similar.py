@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.functions.storage import freeze
+from themeloom.functions.storage import broadcast_if_small, freeze
 from themeloom.functions.text import col
 from themeloom.operators.themes import exploded
 from themeloom.options import MIN_CONFIDENCE
@@ -132,7 +132,7 @@ def hierarchy_rollup(occ: DataFrame, edges: DataFrame) -> DataFrame:
     """
     return (
         occ.select("row_id", F.col("theme").alias("child"))
-        .join(edges.select("parent", "child"), "child")
+        .join(broadcast_if_small(edges.select("parent", "child")), "child")
         .rollup("parent", "child")
         .agg(F.countDistinct("row_id").alias("n_texts"))
     )

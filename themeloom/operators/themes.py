@@ -285,15 +285,16 @@ def theme_examples(
     """The first ``k`` texts of each theme with the total: ``theme, rank, row_id, text, total``.
 
     Ranking sees ids only, and every task passes on no more than ``k`` rows per theme. Texts are
-    fetched for the winners.
+    fetched for the winners, without moving the texts if the winners are few.
     """
     order = Window.partitionBy("theme").orderBy("row_id")
     pairs = occ.select("theme", "row_id")
     first = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     totals = pairs.groupBy("theme").agg(F.count(F.lit(1)).alias("total"))
+    winners = broadcast_if_small(freeze(first.join(totals, "theme")))
     return (
-        first.join(totals, "theme")
-        .join(texts.select(F.col(row_id).alias("row_id"), F.col(text).alias("text")), "row_id")
+        texts.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"))
+        .join(winners, "row_id")
         .select("theme", F.col("rank").cast("bigint").alias("rank"), "row_id", "text", "total")
     )
 

@@ -52,3 +52,7 @@ class Options:
     cache_days: int = CACHE_DAYS
     count_cached_calls: bool = True
     model_tasks: int | None = None
+
+    def __post_init__(self) -> None:
+        if self.themes_per_consolidation <= self.final_theme_count:
+            raise ValueError("themes_per_consolidation must exceed final_theme_count, or rounds do not end")

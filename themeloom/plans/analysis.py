@@ -51,27 +51,22 @@ def consolidate(
     """Ask for the final themes and for the mapping of every theme to them.
 
     Themes that need more than one request are consolidated in rounds, each on the names that came
-    out of the one before, until one request holds them all. If the model fails, the first themes
-    seen stand in for its answer. Only the final names, a handful, reach the driver.
+    out of the one before, until one request holds them all. Where the model fails, the themes of
+    the request seen first stand in for its answer. Only the final names, a handful, reach the driver.
     """
     n = options.final_theme_count
     left = distinct
     while True:
         asked = requests.consolidation_requests(left, n, options.question, options.themes_per_consolidation)
         answered = answer(asked, ask, None, as_of, options)
-        named = freeze(
-            answered.select(
-                "chunk_id", F.posexplode(parsing.consolidation_names("response", n)).alias("pos", "theme")
-            )
+        found = F.when(F.col("error").isNull(), parsing.consolidation_names("response", n)).otherwise(
+            F.col("first_themes")
         )
+        named = freeze(answered.select("chunk_id", F.posexplode(found).alias("pos", "theme")))
         if not themes.has_more_than(answered, 1):
             break
-        names = themes.theme_stats(named.withColumnRenamed("chunk_id", "row_id"))
-        left = freeze(themes.distinct_themes(names))
+        left = freeze(themes.distinct_themes(themes.theme_stats(named.withColumnRenamed("chunk_id", "row_id"))))
     representatives = tuple(r["theme"] for r in named.orderBy("pos").limit(n).collect())
-    failed = answered.filter(F.col("error").isNotNull())
-    if not representatives and themes.has_more_than(failed, 0):
-        representatives = tuple(r["theme"] for r in left.orderBy("seq").limit(n).collect())
 
     asked = requests.mapping_requests(distinct, representatives, options.mapping_chunk_size)
     answered = answer(asked, ask, None, as_of, options)
