@@ -44,10 +44,7 @@ def test_theme_counts_are_hash_aggregated_in_two_steps(spark):
 
 
 def test_examples_limit_each_theme_before_the_shuffle(spark):
-    occ = fx.occurrences(spark, SF)
-    order = themes.theme_examples(occ, fx.documents(spark, SF))
-    text = plan(order)
-    assert "row_number(), 30, Partial" in text
+    assert "row_number(), 30, Partial" in plan(themes.example_rows(fx.occurrences(spark, SF)))
 
 
 def test_top_k_is_not_a_full_sort(spark):

@@ -279,24 +279,28 @@ def theme_lookup(stats: DataFrame, themes: DataFrame) -> DataFrame:
     )
 
 
-def theme_examples(
-    occ: DataFrame, texts: DataFrame, text: str = "text", k: int = MAX_EXAMPLES, row_id: str = "row_id"
-) -> DataFrame:
-    """The first ``k`` texts of each theme with the total: ``theme, rank, row_id, text, total``.
+def example_rows(occ: DataFrame, k: int = MAX_EXAMPLES) -> DataFrame:
+    """The first ``k`` texts of each theme by id, with the total: ``theme, rank, row_id, total``.
 
-    Ranking sees ids only, and every task passes on no more than ``k`` rows per theme. Texts are
-    fetched for the winners, without moving the texts if the winners are few.
+    Every task passes on no more than ``k`` rows per theme.
     """
     order = Window.partitionBy("theme").orderBy("row_id")
     pairs = occ.select("theme", "row_id")
     first = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     totals = pairs.groupBy("theme").agg(F.count(F.lit(1)).alias("total"))
-    winners = broadcast_if_small(freeze(first.join(totals, "theme")))
-    return (
-        texts.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"))
-        .join(winners, "row_id")
-        .select("theme", F.col("rank").cast("bigint").alias("rank"), "row_id", "text", "total")
-    )
+    return first.join(totals, "theme").select("theme", F.col("rank").cast("bigint").alias("rank"), "row_id", "total")
+
+
+def theme_examples(
+    occ: DataFrame, texts: DataFrame, text: str = "text", k: int = MAX_EXAMPLES, row_id: str = "row_id"
+) -> DataFrame:
+    """The first ``k`` texts of each theme with the total: ``theme, rank, row_id, text, total``.
+
+    Texts are fetched for the chosen rows, and are not moved if those are few.
+    """
+    chosen = broadcast_if_small(freeze(example_rows(occ, k)))
+    wanted = texts.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"))
+    return wanted.join(chosen, "row_id").select("theme", "rank", "row_id", "text", "total")
 
 
 def known_themes(registry: DataFrame, k: int = KNOWN_THEMES) -> DataFrame:
