@@ -89,8 +89,8 @@ def test_broadcast_only_below_the_limit(spark):
     from themeloom.functions.storage import broadcast_if_small
 
     plan = lambda df: df._jdf.queryExecution().analyzed().toString()
-    assert "broadcast" in plan(broadcast_if_small(spark.range(10), 10))
-    assert "broadcast" not in plan(broadcast_if_small(spark.range(11), 10))
+    assert "broadcast" in plan(broadcast_if_small(spark.range(10), 10 * 24))
+    assert "broadcast" not in plan(broadcast_if_small(spark.range(11), 10 * 24))
 
 
 def test_dense_index_spans_partitions(spark):

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.functions.storage import BROADCAST_REPLIES, broadcast_if_small
+from themeloom.functions.storage import broadcast_if_small
 from themeloom.options import CACHE_DAYS
 
 _REPLY = "prompt_length bigint, response string, error string, started_at timestamp, ended_at timestamp"
@@ -103,7 +103,7 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, as_of: Column, max_age_d
     usable = cache.filter(fresh("cached_at", as_of, max_age_days) & (F.col("response") != "")).select(
         "prompt_md5", "response"
     )
-    known = broadcast_if_small(usable, BROADCAST_REPLIES)
+    known = broadcast_if_small(usable)
     return requests.join(known, "prompt_md5", "left").withColumn("hit", F.col("response").isNotNull())
 
 
