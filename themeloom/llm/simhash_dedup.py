@@ -127,7 +127,8 @@ def _anchors(fp: Column, block: Block, reach: int | None) -> Column:
 def _key(fp: Column, blocks: tuple[Block, ...], home: bool) -> Column:
     """One row per anchor; the block's number above bit 56 keeps blocks apart."""
     parts = [_anchors(fp, b, None if home else b.share + 1) for b in blocks]
-    return F.explode(F.concat(*[F.transform(p, lambda a, i=i: a.bitwiseOR(F.lit(i << 56))) for i, p in enumerate(parts)]))
+    tagged = (lambda number: lambda anchor: anchor.bitwiseOR(F.lit(number << 56)))
+    return F.explode(F.concat(*[F.transform(p, tagged(i)) for i, p in enumerate(parts)]))
 
 
 def check_blocks(blocks: tuple[Block, ...], distance: int) -> None:
