@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from themeloom.llm import exact_dedup, simhash_dedup
+from themeloom.functions.storage import stage_folder
+from themeloom.llm import decontamination, exact_dedup, language_id, line_dedup, ngram_model, packing, pii, simhash_dedup, substring_dedup, token_files
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_groups(_table(spark, sf_dir, "documents"))
 
@@ -21,8 +30,39 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_lines(_table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_units(_table(spark, sf_dir, "documents"))
+
+
+def op6_ngram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{stage_folder(spark)}/ngrams-{uuid.uuid4().hex}"
+    return ngram_model.score_documents(_table(spark, sf_dir, "documents"), folder)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{stage_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER))
+    return token_files.token_index(spark, folder)
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_dedup, op3_exact_dedup)
+    f.__name__: f for f in (op1_decontamination, op2_simhash_dedup, op3_exact_dedup, op4_line_dedup, op5_substring_dedup, op6_ngram_model, op7_packing, op8_language_id, op9_pii, op10_token_files)
 }
 
 LLM_ORACLES: dict[str, str] = {
