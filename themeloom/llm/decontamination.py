@@ -85,8 +85,11 @@ def windows(rows: DataFrame, key: str, sizes: list[int] | None = None, window: i
     return whole
 
 
-def _typed(df: DataFrame, id_column: str, text_column: str, name: str) -> DataFrame:
-    rows = df.select(df[id_column].cast("bigint").alias(name), raw_tokens(df[text_column]).alias("raw"))
+def _typed(df: DataFrame, id_column: str, text_column: str, name: str, inside: bool = False) -> DataFrame:
+    """Raw tokens and template of each text; ``inside``: as they would be in the middle of a sentence."""
+    text = df[text_column]
+    raw = F.slice(raw_tokens(F.concat(F.lit("x "), text)), 2, 1 << 30) if inside else raw_tokens(text)
+    rows = df.select(df[id_column].cast("bigint").alias(name), raw.alias("raw"))
     return rows.filter(F.col(name).isNotNull()).withColumn("template", template(F.col("raw")))
 
 
@@ -112,12 +115,14 @@ def matches(
     items = stage(_typed(benchmark, item_column, item_text_column, "item_id").filter(F.size("template") > 0))
     # Bounded: sizes under the window.
     short = [r["n"] for r in items.filter(F.size("template") < window).select(F.size("template").alias("n")).distinct().collect()]
-    found = windows(items, "item_id", short, window)
+    # A capital that begins the item may stand within a sentence of a document, so both readings count.
+    within = _typed(benchmark, item_column, item_text_column, "item_id", inside=True).filter(F.size("template") > 0)
+    found = windows(items, "item_id", short, window).unionByName(windows(within, "item_id", short, window))
     # A short item's only window is itself.
     own = F.least(F.size("template"), F.lit(window))
     wanted = found.filter(F.col("enough") & (F.col("size") == own)).select("item_id", F.col("place").alias("item_place"), "size", "h")
-    wanted = stage(wanted)
-    counts = wanted.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
+    wanted = stage(wanted.distinct())
+    counts = wanted.groupBy("item_id").agg(F.countDistinct("item_place").alias("item_windows"))
     typed = _typed(docs, id_column, text_column, "doc_id")
     hits = (
         windows(typed.select("doc_id", "template"), "doc_id", short, window)

@@ -118,7 +118,7 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _write_part(folder: str):
-    def write(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         columns = [_unsqueeze(p, 2) for p in rows["payload"]]
         found, n = _counted(np.concatenate([np.cumsum(c[0]) for c in columns]), np.concatenate([c[1].astype(np.int64) for c in columns]))
         before = np.concatenate([[0], np.cumsum(n)])
@@ -234,6 +234,8 @@ def _decoded(code: np.ndarray) -> np.ndarray:
 
 def _chained(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Words (rising in each context) on top of the last one of the context before: one rising sequence."""
+    if not len(context):
+        return np.zeros(0, np.int64)
     starts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
     ends = np.append(starts[1:], len(context)) - 1
     top = np.concatenate([[0], np.cumsum(word[ends].astype(np.int64) + 1)[:-1]])
@@ -250,7 +252,7 @@ def _level(context: np.ndarray, contexts: int, word: np.ndarray, n: np.ndarray,
 
 
 def _write_shard(folder: str, parts: tuple, order: int):
-    def write(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         words = _vocabulary(folder, parts)
         size = np.uint64(words.size)
         columns = [_unsqueeze(p, 3) for p in rows["payload"]]

@@ -29,8 +29,8 @@ def word_count(text: Column) -> Column:
 
 def bound_of(length: Column) -> Column:
     """A length rounded up to ``_EXACT_BITS`` significant bits, which is itself if it has no more."""
-    bits = F.length(F.conv(F.greatest(length, F.lit(1)).cast("string"), 10, 2))
-    step = F.shiftleft(F.lit(1).cast("bigint"), F.greatest(bits - _EXACT_BITS, F.lit(0)))
+    bits = F.length(F.bin(length))
+    step = F.pow(F.lit(2.0), F.greatest(bits - _EXACT_BITS, F.lit(0))).cast("bigint")
     return (F.floor((length + step - 1) / step) * step).cast("bigint")
 
 

@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 END_ID = 2
@@ -134,7 +135,7 @@ def read_tokens(spark: SparkSession, folder: str, columns: tuple[str, ...] = ("d
     return spark.read.schema(SCHEMA).parquet(folder).select(*columns)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def ids_crc32(ids: pd.Series) -> pd.Series:
     """The unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
     return pd.Series([zlib.crc32(np.asarray(a).astype("<u4").tobytes()) for a in ids], dtype="int64")
