@@ -156,7 +156,7 @@ class Vocabulary:
         """Tokens of all words with smaller ids; ids may be one past the last."""
         part = np.minimum(np.searchsorted(self.first, ids, side="right") - 1, len(self.order) - 1)
         found = np.zeros(len(ids), np.int64)
-        for i in np.unique(part):
+        for i in np.unique(part) if self.order else ():
             at = part == i
             found[at] = self.base[i] + self.parts[self.order[i]][1]["before"][ids[at] - self.first[i]]
         return found
@@ -172,6 +172,8 @@ def _vocabulary(folder: str, parts: tuple) -> Vocabulary:
 
 def _shard_of(words: Vocabulary, first: np.ndarray, second: np.ndarray, shards: int) -> np.ndarray:
     """The shard of pairs of words: it rises with (first, second) and each is met about equally often."""
+    if not words.tokens:
+        return np.zeros(len(first), np.int64)
     start = words.before(first)
     n = words.before(first + 1) - start
     place = start + n * (words.before(second) / words.tokens)

@@ -6,7 +6,7 @@ block at least. In each block the words of a covering code with radius 1 (a Hamm
 bits, all words on the rest) are the anchors. A fingerprint's home is the anchor nearest to it, and it
 is replicated to every anchor within radius plus share; a pair that keeps to the share meets at the
 home of either. One code over all 64 bits would do without blocks, but has some 130,000 anchors
-within radius 1 + 4; with the blocks below there are about 33.
+within radius 1 + 4; with the blocks below there are about 30.
 
 Fingerprints are compared per anchor inside the join, which puts out close pairs only. Equal
 fingerprints are folded first, and partitions of hot anchors are split by adaptive execution.

@@ -26,7 +26,7 @@ PAGE_BYTES = 128 << 10
 PAGE_ROWS = 2_000
 # A worker remembers the ids of this many words at most; longer words are encoded each time.
 CACHED_WORDS = 400_000
-CACHED_CHARACTERS = 64
+CACHED_BYTES = 64
 # Ids handed on at a time.
 _BATCH_IDS = 2_000_000
 
@@ -42,18 +42,19 @@ class WordEncoder:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+    def _ids(self, parts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def __call__(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        parts = (text or "").split()
+        # Bytes split at the white space of ASCII only, all of which the tokenizer drops.
+        parts = (text or "").encode().split()
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        new = [p for p in set(parts).difference(self.known) if len(p) <= CACHED_CHARACTERS]
+        new = [p for p in set(parts).difference(self.known) if len(p) <= CACHED_BYTES]
         if new:
             self.known.update(zip(new, self._ids(new)))
         try:
