@@ -49,15 +49,36 @@ def test_row_ids_follow_file_order_across_splits(spark, tmp_path):
 
 def test_validation(spark, tmp_path):
     path = write(tmp_path, "a.csv", "id,text\n1,x\n")
-    assert files.validate_input(spark, path, ["text"]) == (True, "File validation successful")
+    assert files.validate_input(spark, path, ["text"]) == (True, "ok")
     ok, message = files.validate_input(spark, path, ["text", "answer"])
-    assert not ok and "['answer']" in message and "['id', 'text']" in message
-    assert files.validate_input(spark, str(tmp_path / "none.csv"), ["text"])[1].startswith("Input file not found")
-    assert files.validate_input(spark, str(tmp_path / "a.docx"), ["text"])[1].startswith("Unsupported file format: .docx")
-    with pytest.raises(ValueError, match="Missing required columns"):
+    assert not ok and message == "no column answer among id, text"
+    assert files.validate_input(spark, str(tmp_path / "none.csv"), ["text"])[1].startswith("there is no ")
+    assert files.validate_input(spark, str(tmp_path / "a.docx"), ["text"])[1].startswith("files ending in .docx are not read")
+    with pytest.raises(ValueError, match="no column answer"):
         files.read_answers(spark, path, "answer")
 
 
+def test_rows_and_ids_outlive_another_split(spark, tmp_path):
+    path = write(tmp_path, "many.csv", "id,text\n" + "".join(f"{i},text number {i}\n" for i in range(3000)))
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        df = files.read_delimited(spark, path, schema="id bigint, text string", multi_line=False)
+        before = {r["id"]: r["row_id"] for r in df.collect()}
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "11k")
+        after = {r["id"]: r["row_id"] for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert before == after and len(before) == 3000
+    assert sorted(before, key=before.get) == list(range(3000))
+
+
+def test_a_named_encoding_is_used(spark, tmp_path):
+    (tmp_path / "w.csv").write_bytes("id,text\n1,café 日本語\n".encode("utf-16"))
+    assert files.read_delimited(spark, str(tmp_path / "w.csv"), encoding="UTF-16").first()["text"] == "café 日本語"
+
+
 def test_csv_sink_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "q", é\nb', ["x", "y"])], "id int, text string, themes array<string>")
     out = str(tmp_path / "out")

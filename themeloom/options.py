@@ -29,8 +29,8 @@ NA_THEME = "NA"
 FAILED_SUMMARY = "Error: Analysis failed"
 UNCATEGORIZED = "Uncategorized"
 
-# Ours: how many themes one consolidation request may list.
-THEMES_PER_CONSOLIDATION = 10_000
+# Ours: how many themes one consolidation request lists; longer lists are consolidated in rounds.
+THEMES_PER_CONSOLIDATION = 500
 
 
 @dataclass(frozen=True)

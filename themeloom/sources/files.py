@@ -6,11 +6,12 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from themeloom.functions.storage import broadcast_if_small, freeze
+from themeloom.functions.ordering import dense_index
+from themeloom.functions.storage import broadcast_if_small, stage
 
 # Cell texts read as missing.
 NA_TOKENS = (
@@ -25,23 +26,23 @@ def check_columns(df: DataFrame, required: Sequence[str], text: str | None = Non
     """Whether the required columns are there and the text column holds strings; no job runs."""
     missing = [c for c in required if c not in df.columns]
     if missing:
-        return False, f"Missing required columns: {missing}. Available columns: {df.columns}"
+        return False, f"no column {', '.join(missing)} among {', '.join(df.columns)}"
     if text and not isinstance(df.schema[text].dataType, T.StringType):
-        return False, f"Column {text} is {df.schema[text].dataType.simpleString()}, not string"
-    return True, "File validation successful"
+        return False, f"column {text} holds {df.schema[text].dataType.simpleString()}, not strings"
+    return True, "ok"
 
 
 def validate_input(spark: SparkSession, path: str, required: Sequence[str]) -> tuple[bool, str]:
     """Whether ``path`` exists, has a supported extension and the required columns. Reads the header."""
     name = path.rstrip("/").rsplit("/", 1)[-1]
     if "." in name and not name.lower().endswith(EXTENSIONS):
-        return False, f"Unsupported file format: .{name.rsplit('.', 1)[1]}. Use {', '.join(EXTENSIONS)}"
+        return False, f"files ending in .{name.rsplit('.', 1)[1]} are not read, only {', '.join(EXTENSIONS)}"
     try:
         header = spark.read.csv(path, header=True, sep=_separator(path))
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
-            return False, f"Input file not found: {path}"
-        return False, f"Error reading file: {e}"
+            return False, f"there is no {path}"
+        return False, f"{path} cannot be read: {e}"
     return check_columns(header, required)
 
 
@@ -63,6 +64,19 @@ def split_by_encoding(spark: SparkSession, paths: str | Sequence[str]) -> tuple[
     return [r["path"] for r in verdicts if r["valid"]], [r["path"] for r in verdicts if not r["valid"]]
 
 
+def missing_to_null(cell: Column | str, tokens: Sequence[str] = NA_TOKENS) -> Column:
+    """A cell, or null if it is a missing-value token."""
+    cell = F.col(cell) if isinstance(cell, str) else cell
+    return F.when(~cell.isin(*tokens), cell)
+
+
+def decoded(content: Column | str) -> Column:
+    """Bytes as text: UTF-8 if they are valid UTF-8, else Latin-1."""
+    content = F.col(content) if isinstance(content, str) else content
+    text = content.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.decode(content, FALLBACK_ENCODING))
+
+
 def read_delimited(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -71,12 +85,13 @@ def read_delimited(
     text: str | None = None,
     na_tokens: Sequence[str] | None = NA_TOKENS,
     row_id: str | None = "row_id",
-    encoding_fallback: bool = True,
+    encoding: str | None = None,
     multi_line: bool = True,
 ) -> DataFrame:
     """Read CSV or TSV files with a header row.
 
-    Files that are not valid UTF-8 are read as Latin-1. Missing-value tokens become null in the text
+    Files are read in the given ``encoding``; without one, as UTF-8, and those that are not valid UTF-8
+    as Latin-1. Missing-value tokens become null in the text
     column, or in all string columns if none is named. ``row_id`` numbers the rows in file order;
     pass None if the data has its own key.
 
@@ -85,16 +100,17 @@ def read_delimited(
     """
     paths = [path] if isinstance(path, str) else list(path)
     separator = sep or _separator(paths[0])
-    utf8, other = split_by_encoding(spark, paths) if encoding_fallback else (paths, [])
+    utf8, other = (paths, []) if encoding else split_by_encoding(spark, paths)
+    first = encoding or "UTF-8"
     reader = spark.read.options(header=True, sep=separator, multiLine=multi_line, escape='"')
     if schema is None:
-        schema = reader.options(encoding="UTF-8", inferSchema=True).csv(utf8 or other or paths).schema
+        schema = reader.options(encoding=first, inferSchema=True).csv(utf8 or other or paths).schema
     reader = reader.schema(schema).options(inferSchema=False, enforceSchema=False)
     parts = [
         reader.options(encoding=encoding)
         .csv(files)
         .select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
-        for files, encoding in ((utf8, "UTF-8"), (other, FALLBACK_ENCODING))
+        for files, encoding in ((utf8, first), (other, FALLBACK_ENCODING))
         if files
     ]
     if not parts:
@@ -104,7 +120,7 @@ def read_delimited(
     strings = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
     tokens = list(na_tokens or ())
     targets = [c for c in strings if text in (None, c)] if tokens else []
-    cells = [F.when(~F.col(f.name).isin(tokens), F.col(f.name)).alias(f.name) if f.name in targets else f.name for f in fields]
+    cells = [missing_to_null(f.name, tokens).alias(f.name) if f.name in targets else f.name for f in fields]
     if row_id is None:
         return whole.select(*cells)
     return file_order(whole.select(*cells, "_file", "_block"), row_id)
@@ -113,20 +129,17 @@ def read_delimited(
 def file_order(df: DataFrame, row_id: str) -> DataFrame:
     """Add unique, rising row numbers by file (``_file``), block (``_block``) and place in the block.
 
-    Numbers have gaps: the rank of the block in the upper bits, the row's place in its task in the
-    lower. Only the list of blocks is ordered; rows are not shuffled.
+    The parsed rows are staged with their places first: how a file is split may change from one read to
+    the next, a staged table stays. Numbers have gaps: the rank of the block in the upper bits, the row's
+    place in its task in the lower. Only the list of blocks is ordered, by a range sort.
     """
     kept = [c for c in df.columns if c not in ("_file", "_block")]
     place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    marked = df.withColumn("_place", place)
-    ranks = freeze(
-        df.select("_file", "_block")
-        .distinct()
-        .withColumn("_rank", F.row_number().over(Window.orderBy("_file", "_block")) - 1)
-    )
-    return marked.join(broadcast_if_small(ranks), ["_file", "_block"]).select(
-        (F.shiftleft(F.col("_rank").cast("bigint"), 33) + F.col("_place")).alias(row_id), *kept
-    )
+    staged = stage(df.withColumn("_place", place))
+    ranks = stage(dense_index(staged.select("_file", "_block").distinct(), ["_file", "_block"], "_rank"))
+    ranked = staged.join(broadcast_if_small(ranks), ["_file", "_block"], "left")
+    rank = F.coalesce("_rank", F.raise_error(F.lit("a row of an unknown block")).cast("bigint"))
+    return ranked.select((F.shiftleft(rank, 33) + F.col("_place")).alias(row_id), *kept)
 
 
 def read_answers(spark: SparkSession, path: str | Sequence[str], text: str, required: Sequence[str] = (), **options) -> DataFrame:
@@ -134,5 +147,5 @@ def read_answers(spark: SparkSession, path: str | Sequence[str], text: str, requ
     df = read_delimited(spark, path, text=text, **options)
     ok, message = check_columns(df, list(required) or [text], text if text in df.columns else None)
     if not ok:
-        raise ValueError(f"File validation failed: {message}")
+        raise ValueError(f"the table cannot be analysed: {message}")
     return df

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _flat(df: DataFrame) -> DataFrame:
+def flat(df: DataFrame) -> DataFrame:
     """Columns a delimited file can hold: arrays joined by ", ", other nested values as JSON."""
 
     def cell(field: T.StructField):
@@ -24,11 +24,11 @@ def write_table(df: DataFrame, path: str, format: str = "parquet", mode: str = "
     """Write as ``parquet``, ``csv`` (UTF-8 with header) or ``json`` lines."""
     if format == "csv":
         options = {"header": True, "escape": '"', "encoding": "UTF-8", "lineSep": "\n"}
-        _flat(df).write.mode(mode).options(**options).csv(path)
+        flat(df).write.mode(mode).options(**options).csv(path)
     elif format in ("parquet", "json"):
         df.write.mode(mode).format(format).save(path)
     else:
-        raise ValueError(f"Unsupported export format: {format}")
+        raise ValueError(f"no writer for {format}")
 
 
 def write_json_documents(documents: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -4,20 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A table in no more pieces than this is small, a few GB at most.
-FEW_PIECES = 16
 
-
-def read_table(spark: SparkSession, path: str, row_id: str, format: str = "parquet") -> DataFrame:
-    """Read a table with the key ``row_id``; filters and column choices reach the scan."""
-    return spread(spark.read.format(format).load(path), row_id)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Share out over all cores a small table that comes in fewer pieces than there are cores.
-
-    Larger tables come in pieces enough and stay as they are, unshuffled.
-    """
-    pieces = df.rdd.getNumPartitions()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if pieces < cores and pieces <= FEW_PIECES else df
+def read_table(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
+    """Read a table; filters and column choices reach the scan."""
+    return spark.read.format(format).load(path)
