@@ -23,7 +23,7 @@ def make_model():
                 raise RuntimeError("refused")
             texts = re.findall(r"^(\d+): (\w+) (\w+)", prompt.split("TEXTS:")[1].split("REPLY FORMAT")[0], re.M)
             return "\n".join(f"{n}: about {a}|{a} (90%),{b} (70%)" for n, a, b in texts)
-        if "Merge them into exactly" in prompt:
+        if "Replace them by" in prompt:
             return "1. Group one\n2. Group two"
         listed = prompt.split("ORIGINAL THEMES:\n")[1].split("\n\n")[0].split(", ")
         return "\n".join(f"{t} -> Group {'one' if t[0].lower() < 'n' else 'two'}" for t in listed)
@@ -110,7 +110,7 @@ def test_long_theme_lists_consolidate_in_rounds(spark):
 
 def test_part_of_a_long_list_may_fail(spark):
     def partly(prompt):
-        if "Merge them" in prompt and "- termf" in prompt and "worda" not in prompt:
+        if "Replace them by" in prompt and "- termf" in prompt and "worda" not in prompt:
             raise RuntimeError("down")
         return fake_model(prompt)
 

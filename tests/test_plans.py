@@ -64,11 +64,19 @@ def test_cooccurrence_joins_on_themes_only(spark):
     assert "[row_id" not in text.split("Join", 1)[1].split("\n", 1)[0]
 
 
-def test_mapping_a_small_table_shuffles_entries_once(spark):
-    entries = fx.entries(spark, SF)
+@pytest.mark.parametrize("small", [True, False])
+def test_only_places_and_names_meet_the_mapping(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(themes, "broadcast_if_small", lambda t: t.hint("merge"))
+    entries = fx.entries(spark, SF).withColumn("summary", F.lit("a summary"))
     mapping = spark.createDataFrame([("a", "b")], "theme string, target string")
     text = plan(themes.map_themes(entries, mapping, "original", "merged"))
-    assert text.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in text
+    by_theme = [line for line in text.splitlines() if "Exchange hashpartitioning(_theme" in line]
+    assert len(by_theme) == (0 if small else 2)
+    # Below the exchange by theme there are ids, places and names.
+    generate = text.index("Generate posexplode")
+    assert "summary" not in text[generate : text.index("\n", generate)]
+    assert text.count("Exchange hashpartitioning(row_id") == 2
 
 
 def test_texts_are_read_once_for_the_occurrences(spark):

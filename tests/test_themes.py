@@ -96,6 +96,20 @@ def test_high_confidence(spark):
     assert df.select(themes.high_confidence("original", F.array(F.lit("c")))).first()[0] == ["c"]
 
 
+@pytest.mark.parametrize("order", [["job", "Job", "job "], ["Job", "job", "job "], ["job ", "Job", "job"]])
+def test_a_text_may_hold_spellings_of_one_theme(spark, order):
+    df = entry_frame(spark, [(t, 0.5) for t in order])
+    row = themes.register(themes.occurrences(df)).first()
+    assert (row["theme"], row["n"], row["first_pos"]) == (order[0].strip(), 3, 0)
+
+
+def test_first_sightings_of_any_row_id(spark):
+    rows = [(-5, 3, "a"), (-5, 2, "a"), (2**62, 0, "b"), (0, 7, "a"), (-(2**62), 1, "c")]
+    df = spark.createDataFrame(rows, "row_id bigint, pos int, theme string")
+    found = {r["theme"]: (r["first_row"], r["first_pos"]) for r in themes.theme_stats(df).collect()}
+    assert found == {"a": (-5, 2), "b": (2**62, 0), "c": (-(2**62), 1)}
+
+
 def test_register_folds_onto_the_first_spelling(spark):
     df = entry_frame(spark, [(" Jobs ", 0.5)], [("jobs", 1.0), ("  ", 0.1)], [("JOBS", 0.3), ("x", 0.2)])
     rows = themes.register(themes.occurrences(df)).orderBy("first_row", "first_pos").collect()

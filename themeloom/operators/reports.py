@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions.rows import side_by_side
 from themeloom.functions.text import names
-from themeloom.operators.themes import average_confidence, exploded, sorted_themes, theme_occurrences, theme_stats
+from themeloom.operators.themes import average_confidence, exploded, first_sighting, sighted, sorted_themes, theme_occurrences, theme_stats
 from themeloom.options import BATCH_SIZE, NA_THEME
 
 
@@ -131,9 +131,8 @@ def theme_count_tables(results: DataFrame) -> DataFrame:
         "row_id", "stage", "pos", F.col("_entry").alias("theme")
     )
     occ = occ.filter(F.col("theme") != NA_THEME)
-    return occ.groupBy("stage", "theme").agg(
-        F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"), F.min_by("pos", "row_id").alias("first_pos")
-    )
+    counted = occ.groupBy("stage", "theme").agg(F.count(F.lit(1)).alias("n"), first_sighting().alias("_first"))
+    return counted.select("stage", "theme", "n", *sighted())
 
 
 def top_theme_counts(counts: DataFrame, k: int = 15) -> DataFrame:

@@ -162,12 +162,14 @@ def pair_requests(pairs: DataFrame, context: str = "General analysis") -> DataFr
 
 
 def _chunks(themes: DataFrame, size: int) -> DataFrame:
-    """Themes with a dense ``seq`` gathered into arrays of at most ``size``, in order."""
+    """Themes with a dense ``seq`` gathered into arrays of at most ``size``, in order, and their counts
+    ``n`` (null if not known) in ``counts``."""
+    n = F.col("n").cast("bigint") if "n" in themes.columns else F.lit(None).cast("bigint")
     return (
         themes.withColumn("chunk_id", F.floor(F.col("seq") / size).cast("bigint"))
         .groupBy("chunk_id")
-        .agg(F.sort_array(F.collect_list(F.struct("seq", "theme"))).alias("_items"))
-        .select("chunk_id", F.transform("_items", lambda e: e["theme"]).alias("themes"))
+        .agg(F.sort_array(F.collect_list(F.struct("seq", "theme", n.alias("n")))).alias("_items"))
+        .select("chunk_id", F.transform("_items", lambda e: e["theme"]).alias("themes"), F.transform("_items", lambda e: e["n"]).alias("counts"))
     )
 
 
@@ -195,30 +197,29 @@ def consolidation_requests(
     question: str = "",
     themes_per_request: int = THEMES_PER_CONSOLIDATION,
 ) -> DataFrame:
-    """Ask to consolidate themes (``theme, seq``) into exactly ``final_count``.
+    """Ask to consolidate themes (``theme, seq`` and their counts ``n``, if known) into ``final_count``.
 
-    Up to ``themes_per_request`` themes give one request. More give one per stretch of that many,
-    so no task gathers the whole list; the names from all replies are then consolidated again.
-    ``first_themes`` stands in for the reply if the request fails.
+    Every ``themes_per_request`` themes, in order, are one request, so no task gathers a long list; the
+    names from all replies are then consolidated again. ``themes`` and ``counts`` of a request go with
+    it, so that a failed one loses nothing.
     """
     n = F.size("themes")
+    listed = F.zip_with("themes", "counts", lambda t, k: F.concat(F.lit("- "), t, F.coalesce(F.concat(F.lit(" ("), k.cast("string"), F.lit(")")), F.lit(""))))
     return with_key(
         _chunks(themes, themes_per_request).select(
             "chunk_id",
             n.cast("bigint").alias("n_themes"),
-            F.slice("themes", 1, final_count).alias("first_themes"),
+            "themes",
+            "counts",
             _text(
-                "These ",
+                "Answers to an open question were tagged with the ",
                 n,
-                f" themes come from an analysis of open answers. Merge them into exactly {final_count} "
-                "broader themes.\n",
+                f" themes below, each with its number of answers if known. Replace them by {final_count} broader themes "
+                "that leave none out; themes with many answers should decide.\n",
                 _context(question),
-                "\nORIGINAL THEMES (",
-                n,
-                " total):\n",
-                F.array_join(F.transform("themes", lambda t: _text("- ", t)), "\n"),
-                "\n\nTogether the new themes must cover all of the original ones, with most weight on the "
-                "frequent ones. Name each in sentence case, in at most 15 words.\n\n"
+                "\nTHEMES:\n",
+                F.array_join(listed, "\n"),
+                "\n\nWrite the names in sentence case, none longer than 15 words.\n\n"
                 f"REPLY FORMAT, {final_count} lines and nothing else:\n{LIST_REPLY}",
             ).alias("prompt"),
         )

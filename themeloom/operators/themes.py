@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.functions.ordering import dense_index
-from themeloom.functions.storage import broadcast_if_small, freeze, has_more_than
+from themeloom.functions.storage import broadcast_if_small, has_more_than, stage
 from themeloom.functions.text import col, names, strip
 from themeloom.options import (
     HIGH_CONFIDENCE,
@@ -43,18 +43,33 @@ def exploded(df: DataFrame, source: Column | str, *keep: str) -> DataFrame:
     return df.select(*keep, F.posexplode_outer(source).alias("pos", "_entry")).filter(F.col("_entry").isNotNull())
 
 
+# Places of themes in a text are below this.
+_PLACES = 1 << 32
+
+
+def first_sighting() -> Column:
+    """The smallest (row_id, pos) as one number, which Spark keeps in a hash aggregate."""
+    return F.min(F.col("row_id").cast("decimal(20,0)") * F.lit(_PLACES) + F.col("pos"))
+
+
+def sighted(first: str = "_first") -> list[Column]:
+    """``first_row, first_pos`` of a :func:`first_sighting`."""
+    pos = F.pmod(F.col(first), F.lit(_PLACES))
+    row = F.floor((F.col(first) - pos) / F.lit(_PLACES)).cast("bigint")
+    return [row.alias("first_row"), pos.cast("int").alias("first_pos")]
+
+
 def theme_stats(occ: DataFrame) -> DataFrame:
     """Per theme: ``n``, mean ``confidence`` if known, and where it was first seen.
 
-    The first sighting is kept as two numbers, which lets Spark use hash aggregation.
+    A text may hold a theme more than once; the first place counts.
     """
     measures = [F.count(F.lit(1)).alias("n")]
     if "confidence" in occ.columns:
         measures.append(F.sum("confidence").alias("confidence_sum"))
         measures.append(F.avg("confidence").alias("confidence"))
-    return occ.groupBy("theme").agg(
-        *measures, F.min("row_id").alias("first_row"), F.min_by("pos", "row_id").alias("first_pos")
-    )
+    seen = occ.groupBy("theme").agg(*measures, first_sighting().alias("_first"))
+    return seen.select(*[c for c in seen.columns if c != "_first"], *sighted())
 
 
 def register(occ: DataFrame) -> DataFrame:
@@ -117,29 +132,23 @@ def map_themes(entries: DataFrame, mapping: DataFrame, source: str, name: str) -
     """Replace the themes of each text through ``theme -> target``; unmapped themes stay.
 
     Order is kept, targets are distinct, and a target has the confidence of its first source.
-    ``mapping`` is unique per theme. A small one is broadcast, after a look at its size, and
-    leaves one shuffle, which moves each text's row once. A large one is joined by shuffling,
-    with the partitions of very common themes split by the optimizer.
+    ``mapping`` is unique per theme; it is broadcast if it is small. Of a text only ``row_id``, places and
+    names meet the map, and only those it has are put together again by text; the texts' other columns
+    move once, to meet them.
     """
-    targets = broadcast_if_small(freeze(mapping.select(F.col("theme").alias("_theme"), "target")))
-    rest = [c for c in entries.columns if c != "row_id"]
-    exploded = entries.select("row_id", F.struct(*rest).alias("_rest"), F.posexplode_outer(source).alias("_pos", "_entry"))
-    mapped = exploded.join(targets, F.col("_entry.theme") == F.col("_theme"), "left")
-    # A text without themes is one row with a null entry, which collect_list leaves out.
-    item = F.struct(
-        F.col("_pos").alias("pos"),
-        F.coalesce("target", "_entry.theme").alias("theme"),
-        F.col("_entry.confidence").alias("confidence"),
-    )
-    regrouped = mapped.groupBy("row_id").agg(
-        F.first("_rest").alias("_rest"),
-        F.sort_array(F.collect_list(F.when(F.col("_pos").isNotNull(), item))).alias("_sorted"),
-    )
-    pairs = F.transform(
-        "_sorted", lambda e: F.struct(e["theme"].alias("theme"), e["confidence"].alias("confidence"))
-    )
-    return regrouped.select("row_id", "_rest.*", pairs.alias("_pairs")).select(
-        "row_id", *rest, _first_by_theme(F.col("_pairs")).alias(name)
+    targets = broadcast_if_small(stage(mapping.select(F.col("theme").alias("_theme"), "target")))
+    narrow = exploded(entries, source, "row_id").select("row_id", "pos", F.col("_entry.theme").alias("_theme"))
+    found = F.map_from_entries(F.collect_list(F.struct("pos", "target"))).alias("_moved")
+    moved = narrow.join(targets, "_theme").groupBy("row_id").agg(found)
+
+    def mapped(entry: Column, pos: Column) -> Column:
+        target = F.try_element_at("_moved", pos)
+        return F.struct(F.coalesce(target, entry["theme"]).alias("theme"), entry["confidence"].alias("confidence"))
+
+    return entries.join(moved, "row_id", "left").select(
+        "row_id",
+        *[c for c in entries.columns if c != "row_id"],
+        _first_by_theme(F.transform(F.coalesce(F.col(source), F.array()), mapped)).alias(name),
     )
 
 
@@ -182,11 +191,11 @@ def high_confidence(pairs: Column | str, themes: Column | str | None = None, thr
 
 
 def distinct_themes(stats: DataFrame) -> DataFrame:
-    """Distinct themes without ``NA`` in first-seen order: ``theme, seq`` from 0."""
+    """Distinct themes without ``NA`` in first-seen order: ``theme, seq`` from 0, and the count ``n``."""
     order = ["first_row", "first_pos"]
     return dense_index(
-        stats.filter(F.col("theme") != NA_THEME).select(*order, "theme"), order, "seq"
-    ).select("theme", "seq")
+        stats.filter(F.col("theme") != NA_THEME).select(*order, "theme", "n"), order, "seq"
+    ).select("theme", "seq", "n")
 
 
 def needs_consolidation(themes: DataFrame, final_count: int) -> bool:
@@ -298,7 +307,7 @@ def theme_examples(
 
     Texts are fetched for the chosen rows, and are not moved if those are few.
     """
-    chosen = broadcast_if_small(freeze(example_rows(occ, k)))
+    chosen = broadcast_if_small(stage(example_rows(occ, k)))
     wanted = texts.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"))
     return wanted.join(chosen, "row_id").select("theme", "rank", "row_id", "text", "total")
 

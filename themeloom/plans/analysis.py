@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.functions.storage import freeze
+from themeloom.functions.storage import stage
 from themeloom.operators import batching, cleaning, model, parsing, reports, requests, themes
 from themeloom.options import Options
 
@@ -42,7 +42,7 @@ def answer(
     else:
         looked_up = model.cache_lookup(requested, cache, as_of, options.cache_days)
     keep = [c for c in looked_up.columns if c not in ("prompt_md5", "prompt", "response")]
-    return freeze(model.ask_model(looked_up, ask, keep, options.model_tasks))
+    return stage(model.ask_model(looked_up, ask, keep, options.model_tasks))
 
 
 def consolidate(
@@ -50,23 +50,38 @@ def consolidate(
 ) -> tuple[tuple[str, ...], DataFrame | None]:
     """Ask for the final themes and for the mapping of every theme to them.
 
-    Themes that need more than one request are consolidated in rounds, each on the names that came
-    out of the one before, until one request holds them all. Where the model fails, the themes of
-    the request seen first stand in for its answer. Only the final names, a handful, reach the driver.
+    One rule for lists of any length: every ``themes_per_consolidation`` themes are a request, and while
+    there is more than one, the names from all of them are consolidated again. A name takes an even share
+    of the answers of its request with it; the themes of a failed request go on as they are. If a round
+    does not shorten the list, or the last request fails, the most frequent names stand in for the
+    answer. Only the final names, a handful, reach the driver.
     """
     n = options.final_theme_count
-    left = distinct
+    left, length = distinct, distinct.count()
     while True:
         asked = requests.consolidation_requests(left, n, options.question, options.themes_per_consolidation)
         answered = answer(asked, ask, None, as_of, options)
-        found = F.when(F.col("error").isNull(), parsing.consolidation_names("response", n)).otherwise(
-            F.col("first_themes")
-        )
-        named = freeze(answered.select("chunk_id", F.posexplode(found).alias("pos", "theme")))
-        if not themes.has_more_than(answered, 1):
+        total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, k: a + F.coalesce(k, F.lit(0)))
+        replied = parsing.consolidation_names("response", n)
+        share = F.ceil(total / F.size(replied)).cast("bigint")
+        named = F.transform(replied, lambda name: F.struct(name.alias("theme"), share.alias("n")))
+        whole = F.zip_with("themes", "counts", lambda t, k: F.struct(t.alias("theme"), k.alias("n")))
+        good = F.col("error").isNull() & (F.size(replied) > 0)
+        rows = stage(answered.select("chunk_id", good.alias("good"), F.posexplode(F.when(good, named).otherwise(whole)).alias("pos", "_t")))
+        if length <= options.themes_per_consolidation:
+            final = [r["theme"] for r in rows.filter("good").orderBy("pos").select("_t.theme").limit(n).collect()]
             break
-        left = freeze(themes.distinct_themes(themes.theme_stats(named.withColumnRenamed("chunk_id", "row_id"))))
-    representatives = tuple(r["theme"] for r in named.orderBy("pos").limit(n).collect())
+        seen = rows.select(F.col("chunk_id").alias("row_id"), "pos", "_t.*").groupBy("theme")
+        stats = seen.agg(F.sum("n").alias("n"), themes.first_sighting().alias("_first")).select("theme", "n", *themes.sighted())
+        left = stage(themes.distinct_themes(stats))
+        shorter = left.count()
+        if shorter >= length:
+            final = []
+            break
+        length = shorter
+    if not final:
+        final = [r["theme"] for r in left.orderBy(F.desc("n"), "seq").limit(n).collect()]
+    representatives = tuple(final)
 
     asked = requests.mapping_requests(distinct, representatives, options.mapping_chunk_size)
     answered = answer(asked, ask, None, as_of, options)
@@ -99,12 +114,12 @@ def analyze(
         options.max_themes_per_text,
     )
     answered = answer(asked, ask, cache, as_of, options)
-    entries = freeze(parsing.batch_entries(answered))
+    entries = stage(parsing.batch_entries(answered))
     spans = answered.select("batch_id", F.col("started_at").alias("start_ts"), F.col("ended_at").alias("end_ts"))
-    usage = freeze(model.batch_usage(answered, options.count_cached_calls).join(spans, "batch_id"))
+    usage = stage(model.batch_usage(answered, options.count_cached_calls).join(spans, "batch_id"))
 
     spelling = themes.case_map(themes.theme_stats(themes.occurrences(entries)), options.case_mode)
-    merged = freeze(themes.entry_themes(entries, spelling, options.max_themes_per_text))
+    merged = stage(themes.entry_themes(entries, spelling, options.max_themes_per_text))
     representatives: tuple[str, ...] = ()
     theme_map = None
     results = themes.consolidated(merged, None) if options.consolidate else merged.withColumn(
@@ -112,11 +127,11 @@ def analyze(
     )
     if options.consolidate:
         seen = themes.theme_stats(themes.theme_occurrences(merged))
-        distinct = freeze(themes.distinct_themes(seen))
+        distinct = stage(themes.distinct_themes(seen))
         if themes.needs_consolidation(distinct, options.final_theme_count):
             representatives, theme_map = consolidate(distinct, ask, options, as_of)
             results = themes.consolidated(merged, theme_map)
-    results = freeze(results.withColumn("processing_timestamp", as_of))
+    results = stage(results.withColumn("processing_timestamp", as_of))
     responses = answered.filter(~F.col("hit") & F.col("error").isNull()).select(
         "prompt_md5", "response", F.col("ended_at").alias("cached_at")
     )
