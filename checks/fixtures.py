@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/documents.parquet", "doc_id").withColumnRenamed("doc_id", "row_id")
+    return read_table(spark, f"{sf_dir}/documents.parquet").withColumnRenamed("doc_id", "row_id")
 
 
 def survey(spark: SparkSession, sf_dir: str) -> DataFrame:

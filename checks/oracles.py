@@ -94,7 +94,7 @@ def _theme_ctes(prefix: str, occ: str, entries: str) -> dict[str, str]:
                 from {occ} o left join {prefix}running m on m.theme = o.theme) group by row_id, target)""",
         f"{prefix}kept": f"select * from {prefix}merged where rk <= 3",
         f"{prefix}used": f"""select theme, count(*) as n, min(row_id * 100 + rk) as seen from {prefix}kept group by theme""",
-        f"{prefix}sequence": f"select theme, row_number() over (order by seen) - 1 as seq from {prefix}used where theme <> 'NA'",
+        f"{prefix}sequence": f"select theme, row_number() over (order by seen) - 1 as seq, n from {prefix}used where theme <> 'NA'",
         f"{prefix}target": f"select theme, upper(left(theme, 1)) as target from {prefix}used where n > 1",
         f"{prefix}final": f"""select row_id, theme, min(rk) as rk from (select k.row_id, k.rk, coalesce(t.target, k.theme) as theme
             from {prefix}kept k left join {prefix}target t on t.theme = k.theme) group by row_id, theme""",
@@ -166,7 +166,7 @@ FINAL = {
     "clean_texts": f"""select row_id, idx, lang, source, md5(text) as text_md5, length(text) as n_chars
         from ({_clean('row_id', 'survey', ', lang, source')})""",
     "clean_conversations": f"""select row_id, idx, conv_id, turn, md5(text) as text_md5
-        from ({_clean('conv_id * 100000 + turn', 'conversations', ', conv_id, turn')})""",
+        from ({_clean('conv_id * 2147483648 + turn', 'conversations', ', conv_id, turn')})""",
     "token_counts": "select * from counted",
     "token_distribution": """select count(*) as total_texts, sum(n_tokens)::bigint as total_tokens, round(avg(n_tokens), 6) as mean_tokens,
         min(n_tokens) as min_tokens, max(n_tokens) as max_tokens, l[count(*) // 2 + 1] as median_tokens,
@@ -222,14 +222,14 @@ FINAL = {
         'REPRESENTATIVE THEMES: Enonon, Tion, Ouen, Der, Anan' || {NL} || {NL} || 'ORIGINAL THEMES:' || {NL} || string_agg(theme, ', ' order by seq) ||
         {NL} || {NL} || 'REPLY FORMAT:' || {NL} || 'Original Theme 1 -> Representative Theme' || {NL} || 'Original Theme 2 -> Representative Theme' || {NL} ||
         '...' || {NL} || {NL} || 'Write representative themes exactly as given.' as p from sequence group by seq // 20)""",
-    "consolidation_request": f"""select chunk_id, n_themes, md5(p) as prompt_md5, length(p) as prompt_length from (select seq // 10000 as chunk_id, count(*) as n_themes,
-        'These ' || count(*) || ' themes come from an analysis of open answers. Merge them into exactly 10 broader themes.' || {NL} || {QUESTION_LINE} ||
-        {NL} || 'ORIGINAL THEMES (' || count(*) || ' total):' || {NL} || string_agg('- ' || theme, {NL} order by seq) || {NL} || {NL} ||
-        'Together the new themes must cover all of the original ones, with most weight on the frequent ones. Name each in sentence case, in at most 15 words.' ||
+    "consolidation_request": f"""select chunk_id, n_themes, md5(p) as prompt_md5, length(p) as prompt_length from (select seq // 500 as chunk_id, count(*) as n_themes,
+        'Answers to an open question were tagged with the ' || count(*) || ' themes below, each with its number of answers if known. Replace them by 10 broader themes that leave none out; themes with many answers should decide.' ||
+        {NL} || {QUESTION_LINE} || {NL} || 'THEMES:' || {NL} || string_agg('- ' || theme || ' (' || n || ')', {NL} order by seq) || {NL} || {NL} ||
+        'Write the names in sentence case, none longer than 15 words.' ||
         {NL} || {NL} || 'REPLY FORMAT, 10 lines and nothing else:' || {NL} || '1. [Consolidated Theme Name]' || {NL} || '2. [Consolidated Theme Name]' || {NL} || '...' as p
-        from sequence group by seq // 10000)""",
+        from sequence group by seq // 500)""",
     "cache_lookup": "select * from looked_up",
-    "cache_upsert": "select prompt_md5, response from cache",
+    "cache_upsert": "select prompt_md5, response, epoch_us(cached_at) as cached_us from cache",
     "cache_stats": "select count(*) filter (hit) as hits, count(*) filter (not hit) as misses, round(avg(hit::int), 6) as hit_rate from looked_up",
     "cache_expire": """select count(*) filter (cached_at < timestamp '2024-01-24 00:00:00') as removed,
         count(*) filter (cached_at >= timestamp '2024-01-24 00:00:00') as kept from writes""",
@@ -343,13 +343,30 @@ FINAL = {
         from session""",
     "statistics_json": """select 'theme_frequencies' as section, '{"theme":"' || theme || '","frequency":' || n || '}' as json from counts where stage = 'consolidated'
         union all select 'top_10_themes', '[' || string_agg('{"theme":"' || theme || '","frequency":' || n || '}', ',' order by n desc, seen) || ']'
-        from (select * from counts where stage = 'consolidated' order by n desc, seen limit 10)""",
+        from (select * from counts where stage = 'consolidated' order by n desc, seen limit 10)
+        union all select 'analysis_summary', printf('total_entries=%.4f unique_themes=%.4f processing_time_seconds=%.4f average_themes_per_entry=%.4f overall_confidence=%.4f',
+            total_entries::double, (select count(*) from counts where stage = 'consolidated')::double, session_duration::double,
+            n_themes / total_entries, overall_confidence) from session""",
     "result_json": """select p.row_id, md5('{"original_text":' || to_json(d.text) || ',"summary":' || to_json(p.summary) || ',"themes":' ||
             to_json(coalesce((select list(theme order by rk) from run_kept k where k.row_id = p.row_id), []::varchar[])) ||
             ',"theme_confidences":{},"original_themes":[],"original_theme_confidences":{},"consolidated_themes":' ||
             to_json(coalesce((select list(theme order by rk) from run_final f where f.row_id = p.row_id), []::varchar[])) || '}') as json_md5
         from parsed p join documents d on d.doc_id = p.row_id""",
-    "result_json_confidences": "select row_id, theme, round(confidence, 6) as confidence from parsed_occ",
+    "result_json_confidences": """select row_id, 'original_theme_confidences' as kind, theme, round(confidence, 6) as confidence from parsed_occ
+        union all select row_id, 'theme_confidences', theme, round(confidence, 6) from run_merged""",
+    "missing_cells": """select conv_id, turn, case when turn % 2 = 0 then case when text not in ('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN',
+            '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null') then text end
+        when conv_id % 21 = 19 then ' NA' when conv_id % 21 = 20 then 'none' end as cell from conversations""",
+    "decoded_texts": "select doc_id, md5(text) as text_md5 from documents",
+    "flat_results": """select m.row_id, (select string_agg(theme, ', ' order by rk) from run_kept k where k.row_id = m.row_id) as themes,
+        (select string_agg(theme, ', ' order by rk) from run_final f where f.row_id = m.row_id) as consolidated,
+        '{"theme":"' || arg_max(m.theme, m.rk) || '"}' as last from run_merged m group by m.row_id""",
+    "consolidation_rounds": """select row_number() over (order by theme) - 1 as position, theme from
+        (select distinct upper(left(theme, 1)) as theme from sequence) order by theme limit 10""",
+    "theme_registry_padded": """, padded as (select row_id, pos * 3 as pos, theme from occ union all select row_id, pos * 3 + 1, upper(theme) from occ
+            union all select row_id, pos * 3 + 2, theme from occ),
+        spelled as (select theme, count(*) as n, min(row_id * 100 + pos) as seen from padded group by theme)
+        select arg_min(theme, seen) as theme, sum(n)::bigint as n, min(seen) // 100 as first_row, min(seen) % 100 as first_pos from spelled group by lower(theme)""",
     "batch_json": """select s.batch_id, s.tokens_used::bigint as tokens_used, count(p.row_id) as n_results, string_agg(p.summary, '|' order by p.pos) as summaries,
         case when s.errors = '' then sum(e.n_themes)::bigint end as n_themes, round((s.end_us - s.start_us) / 1e6, 6) as processing_duration
         from spans s join parsed p on p.batch_id = s.batch_id join run_entry e on e.row_id = p.row_id group by s.batch_id, s.tokens_used, s.errors, s.end_us, s.start_us""",

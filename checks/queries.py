@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
-from themeloom.functions.storage import freeze
+from themeloom.functions.storage import freeze, stage
 from themeloom.functions.text import names
 from themeloom.operators import batching, cleaning, model, parsing, reports, requests, semantic, similar, themes, tokens
+from themeloom.options import Options
+from themeloom.plans import analysis
+from themeloom.sources import files, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 REPRESENTATIVES = ("Enonon", "Tion", "Ouen", "Der", "Anan")
@@ -49,10 +52,36 @@ def clean_texts(spark, d):
 def clean_conversations(spark, d):
     """The second answer table; its key (conv_id, turn) is folded into one number."""
     turns = fx.table(spark, d, "conversations")
-    keyed = turns.withColumn("row_id", F.col("conv_id") * 100_000 + F.col("turn"))
+    keyed = turns.withColumn("row_id", F.col("conv_id") * (1 << 31) + F.col("turn"))
     return cleaning.clean_texts(keyed).select("row_id", "idx", "conv_id", "turn", F.md5("text").alias("text_md5"))
 
 
+# Sources and sinks
+
+
+def missing_cells(spark, d):
+    """The cell rule of delimited files on turns of which some are missing-value tokens."""
+    token = F.element_at(F.array(*[F.lit(t) for t in (*files.NA_TOKENS, " NA", "none")]), (F.col("conv_id") % 21 + 1).cast("int"))
+    cell = F.when(F.col("turn") % 2 == 1, token).otherwise(F.col("text"))
+    turns = fx.table(spark, d, "conversations").select("conv_id", "turn", cell.alias("cell"))
+    return turns.select("conv_id", "turn", files.missing_to_null("cell").alias("cell"))
+
+
+def decoded_texts(spark, d):
+    """Documents in French and German as Latin-1 bytes, the others as UTF-8, told apart again."""
+    docs = fx.table(spark, d, "documents")
+    content = F.when(F.col("lang").isin("fr", "de"), F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    return docs.select("doc_id", F.md5(files.decoded(content).cast("binary")).alias("text_md5"))
+
+
+def flat_results(spark, d):
+    """Results as a delimited file holds them: arrays joined, other nested values as JSON."""
+    results, _ = fx.run(spark, d)
+    last = F.element_at(F.transform(names("merged"), lambda t: F.struct(t.alias("theme"))), -1)
+    nested = results.filter(F.size("merged") > 0).select("row_id", "themes", "consolidated", last.alias("last"))
+    return sinks.flat(nested)
+
+
 # Tokens and batches
 
 
@@ -124,6 +153,10 @@ def _distinct(spark, d):
     return themes.distinct_themes(themes.theme_stats(themes.theme_occurrences(fx.merged_entries(spark, d))))
 
 
+def _numbered(spark, d):
+    return _distinct(spark, d).select("theme", "seq")
+
+
 def _registered(spark, d):
     return themes.distinct_themes(themes.register(fx.occurrences(spark, d)))
 
@@ -149,7 +182,7 @@ def cache_lookup(spark, d):
 
 
 def cache_upsert(spark, d):
-    return fx.cache(spark, d).select("prompt_md5", "response")
+    return fx.cache(spark, d).select("prompt_md5", "response", F.unix_micros(F.col("cached_at").cast("timestamp")).alias("cached_us"))
 
 
 def cache_stats(spark, d):
@@ -288,6 +321,15 @@ def theme_registry(spark, d):
     return themes.register(fx.occurrences(spark, d)).select("theme", "n", _r6("confidence", "confidence"))
 
 
+def theme_registry_padded(spark, d):
+    """Names with blanks around them and each text's themes once more in capitals, before and after."""
+    occ = fx.occurrences(spark, d)
+    twice = F.explode(F.array(*[F.struct((F.col("pos") * 3 + F.lit(k)).alias("pos"), t.alias("theme")) for k, t in enumerate(
+        (F.concat(F.lit("  "), F.col("theme"), F.lit("\t")), F.upper("theme"), F.col("theme")))])).alias("t")
+    padded = occ.select("row_id", "confidence", twice).select("row_id", "t.pos", "t.theme", "confidence")
+    return themes.register(padded).select("theme", "n", "first_row", F.col("first_pos").cast("bigint").alias("first_pos"))
+
+
 def theme_frequency(spark, d):
     return fx.stats(spark, d).select("theme", "n")
 
@@ -332,17 +374,28 @@ def entry_confidence(spark, d):
 
 
 def distinct_themes(spark, d):
-    return _distinct(spark, d)
+    return _numbered(spark, d)
 
 
 def needs_consolidation(spark, d):
     """The skip rule for several theme counts."""
-    found = themes.theme_stats(themes.theme_occurrences(fx.merged_entries(spark, d)))
-    n = themes.theme_totals(found.filter(F.col("theme") != "NA"))
-    limits = F.explode(F.array(F.lit(10), F.lit(1000), F.lit(1_000_000))).alias("final_count")
-    return n.select(limits, "unique_themes").select(
-        F.col("final_count").cast("bigint").alias("final_count"), (F.col("unique_themes") > F.col("final_count")).alias("consolidate")
-    )
+    found = stage(_numbered(spark, d))
+    rows = [(n, themes.needs_consolidation(found, n)) for n in (10, 1000, 1_000_000)]
+    return spark.createDataFrame(rows, "final_count bigint, consolidate boolean")
+
+
+def consolidation_rounds(spark, d):
+    """The final themes of several rounds, 500 themes a request; the model names first letters."""
+
+    def ask(prompt: str) -> str:
+        if "THEMES:" not in prompt or "REPLY FORMAT, " not in prompt:
+            return ""
+        listed = {line[2].upper() for line in prompt.split("\n") if line.startswith("- ")}
+        return "\n".join(f"{i + 1}. {letter}" for i, letter in enumerate(sorted(listed)))
+
+    options = Options(themes_per_consolidation=500)
+    found, _ = analysis.consolidate(stage(_distinct(spark, d)), ask, options, F.current_timestamp())
+    return spark.createDataFrame(list(enumerate(found)), "position bigint, theme string")
 
 
 def consolidated_themes(spark, d):
@@ -475,10 +528,14 @@ def analysis_summary(spark, d):
 
 
 def statistics_json(spark, d):
-    """The theme lines of the statistics document; the summary line has unrounded doubles."""
+    """The statistics document; doubles of the summary line are read back and rounded."""
     results, batches = fx.run(spark, d)
     stats = themes.theme_stats(themes.theme_occurrences(results, "consolidated"))
-    return reports.statistics_json(results, batches, stats).filter(F.col("section") != "analysis_summary")
+    written = reports.statistics_json(results, batches, stats)
+    fields = ("total_entries", "unique_themes", "processing_time_seconds", "average_themes_per_entry", "overall_confidence")
+    read = F.from_json("json", ", ".join(f"{f} double" for f in fields))
+    numbers = F.concat_ws(" ", *[F.concat(F.lit(f), F.lit("="), F.format_number(read[f], 4)) for f in fields])
+    return written.select("section", F.when(F.col("section") == "analysis_summary", F.replace(numbers, F.lit(","), F.lit(""))).otherwise(F.col("json")).alias("json"))
 
 
 def result_json(spark, d):
@@ -488,12 +545,16 @@ def result_json(spark, d):
 
 
 def result_json_confidences(spark, d):
-    """The confidence maps of the result documents, read back from JSON."""
+    """Both confidence maps of the result documents, read back from JSON."""
     results, _ = fx.run(spark, d)
     documents = reports.result_json(results, fx.documents(spark, d))
     doc = F.from_json("json", "theme_confidences map<string,double>, original_theme_confidences map<string,double>")
-    pairs = documents.select("row_id", doc.alias("d")).select("row_id", F.explode("d.original_theme_confidences").alias("theme", "confidence"))
-    return pairs.select("row_id", "theme", _r6("confidence", "confidence"))
+    read = documents.select("row_id", doc.alias("d"))
+    parts = [
+        read.select("row_id", F.lit(kind).alias("kind"), F.explode(f"d.{kind}").alias("theme", "confidence"))
+        for kind in ("theme_confidences", "original_theme_confidences")
+    ]
+    return parts[0].unionByName(parts[1]).select("row_id", "kind", "theme", _r6("confidence", "confidence"))
 
 
 def batch_json(spark, d):
@@ -547,15 +608,16 @@ def similar_vectors(spark, d):
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
+        missing_cells, decoded_texts, flat_results,
         load_report, clean_texts, clean_conversations,
         token_counts, token_distribution, batch_size_recommendation, cost_forecast, prompt_token_estimate, usage_cost,
         fixed_batches, packed_batches,
         batch_requests, hinted_batch_requests, theme_writeup_requests, quote_requests, pair_requests, mapping_requests,
-        consolidation_request,
+        consolidation_request, consolidation_rounds,
         cache_lookup, cache_upsert, cache_stats, cache_expire, usage_stats, embedding_lookup, model_batch_inference,
         batch_usage,
         parsed_entries, parsed_themes, parsed_consolidation, parsed_mapping, parsed_quotes, parsed_verdicts,
-        theme_registry, theme_frequency, theme_confidence, case_map_running, case_map_global, entry_themes,
+        theme_registry, theme_registry_padded, theme_frequency, theme_confidence, case_map_running, case_map_global, entry_themes,
         themes_merged, entry_theme_limits, high_confidence_themes, entry_confidence, distinct_themes,
         needs_consolidation, consolidated_themes, fallback_themes, containment_pairs, merge_suggestions, merged_themes,
         merge_outcome, top_themes, theme_totals, theme_lookup, theme_examples, known_themes,
