@@ -4,6 +4,8 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import EDGE, as_rows
@@ -84,9 +86,28 @@ def test_an_empty_table(spark, empty, tmp_path):
         tf.write_tokens(empty, str(tmp_path / "x"), PATH, encoding="other")
 
 
+def plain(texts):
+    tokenizer = Tokenizer.from_file(PATH)
+    return [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+TEXTS = [t for _, t in ODD] + ["a b c a b", None, "", "Word. word, WORD.. Élan élan. straße ß ÿ ÷ × it's. x.y a,b <|ENDOFTEXT|> e\u0301. naïve, don't 'll. \u0301"]
+
+
 def test_a_small_cache_changes_nothing(monkeypatch):
-    texts = [t for _, t in ODD] + ["a b c a b", None, ""]
-    plain = [tf.WordEncoder(PATH)(t) for t in texts]
+    assert tf.WordEncoder(PATH)(TEXTS) == plain(TEXTS)
     monkeypatch.setattr(tf, "CACHED_WORDS", 1)
     small = tf.WordEncoder(PATH)
-    assert [small(t) for t in texts] == plain
+    assert [small([t])[0] for t in TEXTS * 2] == plain(TEXTS) * 2
+
+
+ALPHABET = "abzABZéßÿÉĳſ'.,;!-0 \t\n\u00a0\u0301\u3000中<|>"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(ALPHABET, max_size=30), min_size=1, max_size=4))
+def test_any_text_is_encoded_as_by_the_tokenizer(texts):
+    assert ENCODER(texts) == plain(texts)
+
+
+ENCODER = tf.WordEncoder(PATH)
