@@ -148,3 +148,22 @@ def test_row_wise_steps_accept_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {(r["row_id"], r["status"]) for r in spark.table("parsed").collect()} == {(7, "ok"), (8, "padded")}
+
+
+def test_from_a_file_to_folders(spark, tmp_path):
+    from themeloom.plans.files import analyze_file
+
+    source = tmp_path / "answers.csv"
+    source.write_text("person,answer\n" + "".join(f"p{i},{t or ''}\n" for i, t in enumerate(TEXTS)))
+    out = str(tmp_path / "out")
+    options = Options(batch_size=2, final_theme_count=2)
+    run = analyze_file(spark, str(source), out, fake_model, "answer", options, as_of=as_of(), schema="person string, answer string")
+    results = spark.read.csv(f"{out}/results", header=True, multiLine=True, escape='"')
+    assert {r["answer"]: r["consolidated_themes"] for r in results.collect()}["apple pie"] == "Group one, Group two"
+    counts = spark.read.csv(f"{out}/theme_counts", header=True)
+    assert {r["theme"] for r in counts.filter("stage = 'consolidated'").collect()} == {"Group one", "Group two"}
+    facts = spark.read.json(f"{out}/run").first()
+    assert facts["input"] == str(source) and facts["load_report"]["original_row_count"] == 9
+    assert facts["load_report"]["cleaned_row_count"] == 6 and '"final_theme_count": 2' in facts["settings"]
+    assert spark.read.json(f"{out}/statistics/section=analysis_summary").count() == 1
+    assert spark.read.parquet(f"{out}/responses").count() == run.responses.count()

@@ -28,7 +28,6 @@ def groups_by_force(vectors, threshold):
 
 @pytest.mark.parametrize("seed, per_pivot, chunk", [(0, 5000, 1024), (1, 8, 5), (2, 20, 1024), (3, 6, 16)])
 def test_equals_all_pairs(spark, monkeypatch, seed, per_pivot, chunk):
-    monkeypatch.setattr(semantic, "VECTORS_PER_PIVOT", per_pivot)
     monkeypatch.setattr(semantic, "CHUNK", chunk)
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(9, 6))
@@ -36,7 +35,7 @@ def test_equals_all_pairs(spark, monkeypatch, seed, per_pivot, chunk):
     points += points[:10]  # copies
     vectors = [(int(rng.integers(1, 5)), p) for p in points]
     for threshold in (0.85, 0.97):
-        got = {r["id"]: r["target"] for r in semantic.similar_themes(frame(spark, vectors), threshold).collect()}
+        got = {r["id"]: r["target"] for r in semantic.similar_themes(frame(spark, vectors), threshold, vectors_per_pivot=per_pivot).collect()}
         assert got == groups_by_force(vectors, threshold)
 
 

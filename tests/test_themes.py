@@ -180,7 +180,7 @@ def test_containment_equals_the_nested_loop(spark, seed):
     pairs = containment_rule(names)
     assert suggestions(spark, names, k=None) == pairs
     assert suggestions(spark, names, k=10) == pairs[:10]
-    assert suggestions(spark, names, k=25, lead=2) == pairs[:25]
+    assert suggestions(spark, names, k=25) == pairs[:25]
 
 
 def test_cooccurrence(spark):

@@ -17,12 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.functions.storage import freeze, has_more_than
+from themeloom.functions.storage import stage, has_more_than
 from themeloom.options import SIMILARITY_THRESHOLD
 
 CHUNK = 1024
 VECTORS_PER_PIVOT = 5_000
-MAX_PIVOTS = 256
+# A list of pivots must fit a task; with more vectors the cells grow instead.
+MAX_PIVOTS = 4_096
 _SLACK = 1e-9
 
 
@@ -38,24 +39,27 @@ def unit_vectors(vectors: DataFrame, key: str = "id", embedding: str = "embeddin
     )
 
 
-def similarity_links(vectors: DataFrame, threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
+def similarity_links(
+    vectors: DataFrame, threshold: float = SIMILARITY_THRESHOLD, vectors_per_pivot: int = VECTORS_PER_PIVOT
+) -> DataFrame:
     """Links ``a, b`` between ids that connect exactly what pairs with cosine >= ``threshold`` would.
 
-    ``vectors`` has a unique ``id`` and ``embedding``. Not every pair is listed.
+    ``vectors`` has a unique ``id`` and ``embedding``. Not every pair is listed. There is a cell for every
+    ``vectors_per_pivot`` vectors.
     """
-    units = freeze(unit_vectors(vectors))
+    units = stage(unit_vectors(vectors))
     # Identical vectors meet in one group; only the first goes on.
-    copies = freeze(units.groupBy("vector").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")))
+    copies = stage(units.groupBy("vector").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")))
     repeated = copies.filter("n > 1")
     same = units.join(repeated, "vector").filter(F.col("id") > F.col("b")).select(F.col("id").alias("a"), "b")
 
     radius = float(np.sqrt(max(2 - 2 * threshold, 0.0)))
-    n_pivots = int(min(MAX_PIVOTS, max(1, copies.count() // VECTORS_PER_PIVOT)))
+    n_pivots = int(min(MAX_PIVOTS, max(1, copies.count() // vectors_per_pivot)))
     picked = copies.orderBy(F.xxhash64("b"), "b").limit(n_pivots).select("vector").collect()
     if not picked:
         return same
     pivots = np.array([r["vector"] for r in picked])
-    placed = freeze(
+    placed = stage(
         copies.select(F.col("b").alias("id"), "vector").mapInPandas(
             _placing(pivots, radius), "cell int, visiting boolean, core boolean, id long, vector array<double>"
         )
@@ -153,10 +157,10 @@ def connected_groups(links: DataFrame) -> DataFrame:
     Each round takes the lowest group among neighbours and then the group of the group, which
     halves distances; rounds are frozen, so a lost executor does not replay them.
     """
-    both = freeze(
+    both = stage(
         links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     )
-    groups = freeze(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("group")))
+    groups = stage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("group")))
     while True:
         seen = (
             both.join(groups.select(F.col("id").alias("b"), "group"), "b")
@@ -165,7 +169,7 @@ def connected_groups(links: DataFrame) -> DataFrame:
         )
         lowered = groups.join(seen, "id").select("id", "group", F.least("group", "_lowest").alias("_low"))
         onward = lowered.select(F.col("id").alias("_low"), F.col("_low").alias("_next"))
-        moved = freeze(
+        moved = stage(
             lowered.join(onward, "_low", "left").select(
                 "id", F.least("_low", F.coalesce("_next", "_low")).alias("group"), F.col("group").alias("_was")
             )
@@ -176,7 +180,8 @@ def connected_groups(links: DataFrame) -> DataFrame:
 
 
 def similar_themes(
-    stats: DataFrame, threshold: float = SIMILARITY_THRESHOLD, key: str = "id", embedding: str = "embedding"
+    stats: DataFrame, threshold: float = SIMILARITY_THRESHOLD, key: str = "id", embedding: str = "embedding",
+    vectors_per_pivot: int = VECTORS_PER_PIVOT,
 ) -> DataFrame:
     """Merge map of alike themes: ``id, target`` where ``target`` is the most frequent theme of its group.
 
@@ -184,7 +189,15 @@ def similar_themes(
     id. Themes alike to no other are left out.
     """
     keyed = stats.select(F.col(key).alias("id"), "n", F.col(embedding).alias("embedding"))
-    groups = connected_groups(similarity_links(keyed.select("id", "embedding"), threshold))
+    groups = connected_groups(similarity_links(keyed.select("id", "embedding"), threshold, vectors_per_pivot))
     counted = groups.join(keyed.select("id", "n"), "id")
     best = counted.groupBy("group").agg(F.max_by("id", F.struct("n", -F.col("id"))).alias("target"))
     return counted.join(best, "group").select("id", "target")
+
+
+def theme_map(targets: DataFrame, names: DataFrame) -> DataFrame:
+    """``theme, target`` by name, fit for :func:`themeloom.operators.themes.map_themes`, from ``id, target``
+    and the names ``id, theme``. Themes that are their own target are left out."""
+    target = names.select(F.col("id").alias("target"), F.col("theme").alias("_name"))
+    named = targets.filter(F.col("id") != F.col("target")).join(names.select("id", "theme"), "id").join(target, "target")
+    return named.select("theme", F.col("_name").alias("target"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.functions.storage import broadcast_if_small, freeze
+from themeloom.functions.storage import broadcast_if_small, stage
 from themeloom.functions.text import col
 from themeloom.operators.themes import exploded
 from themeloom.options import MIN_CONFIDENCE
@@ -21,63 +21,38 @@ def _grams(c: str, n: int) -> Column:
     return F.when(count > 0, F.array_distinct(windows)).otherwise(F.array().cast("array<string>"))
 
 
-def containment_pairs(themes: DataFrame, lead: int | None = None) -> DataFrame:
+def containment_pairs(themes: DataFrame) -> DataFrame:
     """Pairs ``seq1 < seq2`` of themes (``theme, seq``) where one contains the other, ignoring case.
 
     A theme can only lie in a theme that has its rarest trigram, so each looks up the themes
-    with that one trigram and checks them. Themes of one or two characters look up by their
-    whole text. With ``lead`` only pairs with a theme before that ``seq`` are formed.
+    with that one trigram. Themes of one or two characters look up by their whole text. Lookups carry
+    numbers and trigrams only; the texts of what they find are fetched and checked.
     """
-    folded = themes.select("seq", F.lower("theme").alias("text")).filter(F.col("text") != "")
-    postings = exploded(folded, _grams("text", 3), "seq", "text").withColumnRenamed("_entry", "gram")
-    spread = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = (
-        postings.select("seq", "gram")
-        .join(spread, "gram")
-        .groupBy("seq")
-        .agg(F.min(F.struct("n", "gram")).alias("_rarest"))
-        .join(folded, "seq")
-        .select("seq", "text", F.col("_rarest.gram").alias("gram"))
-    )
-    short = folded.filter(F.length("text") < 3).select("seq", "text", F.col("text").alias("gram"))
-    pieces = exploded(folded, F.concat(_grams("text", 1), _grams("text", 2)), "seq", "text").withColumnRenamed(
-        "_entry", "gram"
-    )
-
-    def found(inner: DataFrame, outer: DataFrame) -> DataFrame:
-        i = inner.select(F.col("seq").alias("_in"), F.col("text").alias("_inner"), "gram")
-        o = outer.select(F.col("seq").alias("_out"), F.col("text").alias("_outer"), "gram")
-        held = i.join(o, "gram").filter((F.col("_in") != F.col("_out")) & F.col("_outer").contains(F.col("_inner")))
-        return held.select(F.least("_in", "_out").alias("seq1"), F.greatest("_in", "_out").alias("seq2"))
-
-    if lead is None:
-        pairs = found(rarest, postings).unionByName(found(short, pieces))
-    else:
-        early, late = F.col("seq") < lead, F.col("seq") >= lead
-        pairs = found(rarest.filter(early), postings).unionByName(found(rarest.filter(late), postings.filter(early)))
-        pairs = pairs.unionByName(found(short.filter(early), pieces))
-        pairs = pairs.unionByName(found(short.filter(late), pieces.filter(early)))
+    folded = stage(themes.select("seq", F.lower("theme").alias("text")).filter(F.col("text") != ""))
+    postings = stage(exploded(folded, _grams("text", 3), "seq").select("seq", F.col("_entry").alias("gram")))
+    counts = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = postings.join(counts, "gram").groupBy("seq").agg(F.min(F.struct("n", "gram")).alias("_rarest"))
+    short = stage(folded.filter(F.length("text") < 3).select("seq", F.col("text").alias("gram")))
+    pieces = exploded(folded, F.concat(_grams("text", 1), _grams("text", 2)), "seq").select("seq", F.col("_entry").alias("gram"))
+
+    def looked_up(inner: DataFrame, outer: DataFrame) -> DataFrame:
+        found = inner.join(outer.withColumnRenamed("seq", "_out"), "gram")
+        return found.filter(F.col("seq") != F.col("_out")).select(F.col("seq").alias("_in"), "_out")
+
+    candidates = looked_up(rarest.select("seq", "_rarest.gram"), postings).unionByName(looked_up(broadcast_if_small(short), pieces))
+    inner = folded.select(F.col("seq").alias("_in"), F.col("text").alias("_inner"))
+    outer = folded.select(F.col("seq").alias("_out"), F.col("text").alias("_outer"))
+    held = candidates.join(inner, "_in").join(outer, "_out").filter(F.col("_outer").contains(F.col("_inner")))
     # Themes that differ in case only hold each other and are found twice.
-    return pairs.distinct()
+    return held.select(F.least("_in", "_out").alias("seq1"), F.greatest("_in", "_out").alias("seq2")).distinct()
 
 
-def merge_suggestions(themes: DataFrame, k: int | None = 10, lead: int = 1000) -> DataFrame:
-    """Containment pairs as suggestions ``theme1, theme2, similarity, recommendation``.
-
-    The first ``k`` in theme order. Pairs of the first ``lead`` themes come before all others,
-    so if they give ``k`` the rest need not be formed; otherwise more themes lead.
-    """
-    if k is None:
-        pairs = containment_pairs(themes)
-    else:
-        total = themes.count()
-        while True:
-            pairs = freeze(
-                containment_pairs(themes, lead if lead < total else None).orderBy("seq1", "seq2").limit(k)
-            )
-            if lead >= total or pairs.count() >= k:
-                break
-            lead *= 20
+def merge_suggestions(themes: DataFrame, k: int | None = 10) -> DataFrame:
+    """Containment pairs as suggestions ``theme1, theme2, similarity, recommendation``: the first ``k`` in
+    theme order, or all."""
+    pairs = containment_pairs(themes)
+    if k is not None:
+        pairs = pairs.orderBy("seq1", "seq2").limit(k)
     first = themes.select(F.col("seq").alias("seq1"), F.col("theme").alias("theme1"))
     second = themes.select(F.col("seq").alias("seq2"), F.col("theme").alias("theme2"))
     return (
@@ -132,7 +107,7 @@ def hierarchy_rollup(occ: DataFrame, edges: DataFrame) -> DataFrame:
     """
     return (
         occ.select("row_id", F.col("theme").alias("child"))
-        .join(broadcast_if_small(edges.select("parent", "child")), "child")
+        .join(broadcast_if_small(stage(edges.select("parent", "child"))), "child")
         .rollup("parent", "child")
         .agg(F.countDistinct("row_id").alias("n_texts"))
     )
