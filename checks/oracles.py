@@ -378,6 +378,12 @@ FINAL = {
             and list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.4),
         reach as (select a as id, a as other from pairs union select r.id, p.b from reach r join pairs p on p.a = r.other)
         select id, arg_max(other, coalesce(n_chars, 0) * 1000000 - other) as target from reach left join documents on doc_id = other group by id""",
+    "similar_vectors_in_cells": """, pairs as materialized (select a.vec_id as a, b.vec_id as b from embeddings a join embeddings b on a.vec_id <> b.vec_id
+            and list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.85),
+        reach as (select a as id, a as other from pairs union select r.id, p.b from reach r join pairs p on p.a = r.other),
+        best as (select id, arg_max(other, (other % 7) * 1000000 - other) as target from reach group by id)
+        select a.label || ' ' || a.vec_id as theme, b.label || ' ' || b.vec_id as target from best
+            join embeddings a on a.vec_id = best.id join embeddings b on b.vec_id = best.target where id <> target""",
     "hierarchy_rollup": """select parent, child, count(distinct row_id) as n_texts from (select row_id, theme as child,
             unnest([upper(left(theme, 1)), 'length ' || length(theme)]) as parent from occ) group by rollup (parent, child)""",
     "theme_quality": """select theme, n, round(confidence, 6) as confidence, case_variants, n = 1 as is_singleton, confidence < 0.6 as low_confidence,

@@ -605,6 +605,13 @@ def similar_vectors(spark, d):
     return semantic.similar_themes(stats, 0.4)
 
 
+def similar_vectors_in_cells(spark, d):
+    """The default threshold over many cells, as a map of names (here the sources and ids of vectors)."""
+    vectors = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label", (F.col("vec_id") % 7).alias("n"))
+    targets = semantic.similar_themes(vectors.select("id", "n", "embedding"), vectors_per_pivot=40)
+    return semantic.theme_map(targets, vectors.select("id", F.concat_ws(" ", "label", "id").alias("theme")))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -624,6 +631,6 @@ QUERIES: dict[str, Query] = {
         result_rows, batch_stats, session_stats, processing_stats, summary_metrics, theme_count_tables, charted_themes,
         theme_report, report_statistics, analysis_summary, statistics_json, result_json, result_json_confidences,
         batch_json,
-        theme_cooccurrence, similar_vectors, hierarchy_rollup, theme_quality,
+        theme_cooccurrence, similar_vectors, similar_vectors_in_cells, hierarchy_rollup, theme_quality,
     )
 }
