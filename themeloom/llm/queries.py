@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from themeloom.functions.storage import stage_folder
 from themeloom.llm import decontamination, exact_dedup, language_id, line_dedup, ngram_model, packing, pii, simhash_dedup, substring_dedup, token_files
+from themeloom.llm.shipping import ship
 
 TOKENIZER = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -66,6 +68,15 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 LLM_ORACLES: dict[str, str] = {
+    "op5_substring_dedup": """
+        with l as (select doc_id, unnest(string_split(text, chr(10))) as part, unnest(range(len(string_split(text, chr(10))))) as unit
+            from documents where text is not null and doc_id is not null),
+        p as (select *, sum(length(part) + 1) over (partition by doc_id order by unit) - length(part) - 1 as start, regexp_extract_all(
+            translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as words from l),
+        k as (select *, row_number() over same as place, min(doc_id) over (partition by words) as keep_id from p
+            where len(words) >= 20 window same as (partition by words order by doc_id, unit))
+        select doc_id, unit, start::bigint as start, (start + length(part))::bigint as "end", len(words)::bigint as n_words, keep_id
+        from k where place > 1""",
     "op3_exact_dedup": """
         with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as norm from documents)
         select doc_id, min(doc_id) over same as keep_id, count(*) over same as group_size,
