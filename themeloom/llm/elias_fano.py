@@ -13,7 +13,9 @@ _SIX = np.uint64(6)
 _LOW6 = np.uint64(63)
 # For each byte, the place of its k-th set bit.
 _SELECT = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.uint64)
-_ONES = np.array([b.bit_count() for b in range(256)], np.uint8)
+_BYTE = np.uint64(255)
+_EACH = np.uint64(0x0101010101010101)
+_TOPS = np.uint64(0x8080808080808080)
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -38,18 +40,22 @@ def _bits(words: np.ndarray, index: np.ndarray, width: int) -> np.ndarray:
 
 
 def _select(words: np.ndarray, before: np.ndarray, rank: np.ndarray, zeros: bool) -> np.ndarray:
-    """The place of the set (or clear) bit number ``rank``; ``before`` counts them up to each word."""
+    """The place of the set (or clear) bit number ``rank``; ``before`` counts them up to each word.
+
+    Inside a word all eight bytes are counted at once in one 64-bit number.
+    """
     word = np.searchsorted(before, rank, side="right") - 1
     bits = words[word]
     if zeros:
         bits = ~bits
-    bytes_ = bits.view(np.uint8).reshape(-1, 8) if bits.flags.c_contiguous else np.ascontiguousarray(bits).view(np.uint8).reshape(-1, 8)
-    ends = np.cumsum(_ONES[bytes_], axis=1, dtype=np.int64)
-    left = rank - before[word]
-    byte = (ends <= left[:, None]).sum(1)
-    row = np.arange(len(rank))
-    inside = left - np.where(byte > 0, ends[row, np.maximum(byte - 1, 0)], 0)
-    return word * 64 + byte * 8 + _SELECT[bytes_[row, byte], inside].astype(np.int64)
+    pairs = bits - ((bits >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    fours = (pairs & np.uint64(0x3333333333333333)) + ((pairs >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    # Byte i of ``upto``: the bits set in bytes 0 to i.
+    upto = ((fours + (fours >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _EACH
+    left = (rank - before[word]).astype(np.uint64)
+    byte = np.bitwise_count((((left * _EACH) | _TOPS) - upto) & _TOPS).astype(np.uint64) * np.uint64(8)
+    inside = left - (((upto << np.uint64(8)) >> byte) & _BYTE)
+    return word * 64 + (byte + _SELECT[(bits >> byte) & _BYTE, inside]).astype(np.int64)
 
 
 class Sequence:

@@ -154,11 +154,15 @@ class Vocabulary:
 
     def before(self, ids: np.ndarray) -> np.ndarray:
         """Tokens of all words with smaller ids; ids may be one past the last."""
-        part = np.minimum(np.searchsorted(self.first, ids, side="right") - 1, len(self.order) - 1)
+        if not self.order:
+            return np.zeros(len(ids), np.int64)
+        part = np.minimum(np.searchsorted(self.first, ids, side="right") - 1, len(self.order) - 1).astype(np.int16)
+        rows = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[rows], np.arange(len(self.order) + 1))
         found = np.zeros(len(ids), np.int64)
-        for i in np.unique(part) if self.order else ():
-            at = part == i
-            found[at] = self.base[i] + self.parts[self.order[i]][1]["before"][ids[at] - self.first[i]]
+        for i, k in enumerate(self.order):
+            at = rows[edges[i] : edges[i + 1]]
+            found[at] = self.base[i] + self.parts[k][1]["before"][ids[at] - self.first[i]]
         return found
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
