@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from themeloom.llm.sampling import smallest
+
 # N-grams of 1 to this many characters, hashed into this many buckets.
 ORDERS = 3
 BUCKETS = 1 << 16
@@ -186,7 +188,7 @@ def fit(
     idf = np.log((1 + total) / (1 + frequency)) + 1
     ranked = rows.withColumn("rank", F.xxhash64(F.col("doc_id").cast("string")))
     # Ids first: their bound keeps texts that are not in the sample where they are.
-    last = ranked.select("rank", "doc_id", "lang").orderBy("rank", "doc_id").limit(fit_rows + calibrate_rows).collect()
+    last = smallest(ranked.select("rank", "doc_id", "lang"), "rank", fit_rows + calibrate_rows, total, "doc_id").collect()
     if not last:
         return Model([], np.zeros((buckets, 0), np.float32), idf, orders)
     languages = sorted({r["lang"] for r in last})
