@@ -31,11 +31,14 @@ def plain(line: Column) -> Column:
 
 
 def lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, line_no (from 0), line (normalised) of every line with a word."""
-    rows = docs.select(docs[id_column].cast("bigint").alias("doc_id"), F.split(docs[text_column], "\n").alias("parts"))
-    rows = rows.filter(F.col("doc_id").isNotNull())
-    placed = rows.select("doc_id", F.posexplode("parts").alias("line_no", "part"))
-    return placed.select("doc_id", "line_no", plain(F.col("part")).alias("line")).filter(F.col("line") != "")
+    """doc_id, line_no (from 0), part (as it stands) of every line with a word.
+
+    The outer explode and a test of the line as it stands keep Spark from working each line out twice,
+    once for a filter.
+    """
+    rows = docs.select(docs[id_column].cast("bigint").alias("doc_id"), docs[text_column].alias("text")).filter("doc_id is not null")
+    placed = rows.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "part"))
+    return placed.filter(F.rlike("part", F.lit("[^ \\t-\\r]")))
 
 
 def _digest(line: Column) -> Column:
@@ -43,26 +46,32 @@ def _digest(line: Column) -> Column:
 
 
 def rarity(found: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """One row: an array that has for each slot of word hashes the count of its words, as a logarithm of 7 bits."""
-    words = found.select(F.explode(F.split("line", " ")).alias("word"))
-    counted = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(slots)).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    """One row: an array that has for each slot of word hashes the count of its words, as a logarithm of 7
+    bits above 56 clear ones. ``slots`` is a power of two."""
+    words = found.select(F.explode_outer(F.split(plain(F.col("part")), " ")).alias("word"))
+    counted = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(slots - 1)).alias("id")).agg(F.count(F.lit(1)).alias("n"))
     every = found.sparkSession.range(slots).join(counted, "id", "left")
-    level = F.floor(F.log2(F.coalesce("n", F.lit(1)).cast("double")) * 3).cast("int").alias("level")
+    level = F.shiftleft(F.floor(F.log2(F.coalesce("n", F.lit(1)).cast("double")) * 3).cast("bigint"), 56).alias("level")
     # Bounded: one entry per slot.
     ordered = every.agg(F.array_sort(F.collect_list(F.struct(F.col("id"), level))).alias("levels"))
     return ordered.select(F.transform("levels", lambda s: s["level"]).alias("levels"))
 
 
-def word_keys(line: Column, levels: Column, slots: int) -> Column:
+def word_keys(part: Column, levels: Column, slots: int) -> Column:
     """The distinct words of a line as keys, rarest first: level of rarity above 56 bits of hash."""
-    hashed = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+    hashed = F.transform(F.split(plain(part), " "), lambda w: F.xxhash64(w))
     keyed = F.transform(
-        hashed,
-        lambda h: F.shiftleft(F.get(levels, F.pmod(h, F.lit(slots)).cast("int")).cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)),
+        hashed, lambda h: F.get(levels, h.bitwiseAND(F.lit(slots - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8))
     )
     return F.sort_array(F.array_distinct(keyed))
 
 
+def _signature(keys: str) -> Column:
+    """64 bits, of which each word of a line turns one over: lines differ in at most as many bits as words."""
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(63).cast("int"))
+    return F.aggregate(keys, F.lit(0).cast("bigint"), lambda a, k: a.bitwiseXOR(bit(k)))
+
+
 def _overlap(size_a: Column, size_b: Column, threshold: float) -> Column:
     """The fewest common words of two sets of these sizes that reach the threshold."""
     # Rounding errors of the product must not raise the bound.
@@ -70,20 +79,25 @@ def _overlap(size_a: Column, size_b: Column, threshold: float) -> Column:
 
 
 def postings(kept: DataFrame, levels: DataFrame, threshold: float, slots: int = SLOTS) -> DataFrame:
-    """key, doc_id, line_no, size, place of every prefix word of the lines ``kept``."""
-    keys = kept.withColumn("_levels", levels.scalar()).select("doc_id", "line_no", word_keys(F.col("line"), F.col("_levels"), slots).alias("keys"))
-    sized = keys.select("doc_id", "line_no", F.size("keys").alias("size"), "keys")
-    prefix = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - 1e-9) + 1
-    cut = sized.select("doc_id", "line_no", "size", F.slice("keys", F.lit(1), prefix.cast("int")).alias("keys"))
-    return cut.select(F.posexplode("keys").alias("place", "key"), "doc_id", "line_no", "size")
+    """key, doc_id, line_no, size, place, bits (signature) of every prefix word of the lines ``kept``."""
+    keys = kept.withColumn("_levels", levels.scalar()).select("doc_id", "line_no", word_keys(F.col("part"), F.col("_levels"), slots).alias("keys"))
+    size = F.size("keys")
+    prefix = (size - F.ceil(size * F.lit(threshold) - 1e-9) + 1).cast("int")
+    cut = keys.select("doc_id", "line_no", size.alias("size"), _signature("keys").alias("bits"), F.slice("keys", F.lit(1), prefix).alias("keys"))
+    return cut.select("doc_id", "line_no", "size", "bits", F.posexplode_outer("keys").alias("place", "key"))
+
+
+_POSTING = ("doc_id", "line_no", "size", "place", "bits")
 
 
 def _may_match(threshold: float, a: str, b: str) -> Column:
-    """Length and positional filters for lines ``a`` and ``b`` that share a prefix word."""
+    """Length, positional and signature filters for lines ``a`` and ``b`` that share a prefix word."""
     size_a, size_b = F.col(f"{a}.size"), F.col(f"{b}.size")
     rest = F.least(size_a - F.col(f"{a}.place"), size_b - F.col(f"{b}.place"))
     longer, shorter = F.greatest(size_a, size_b), F.least(size_a, size_b)
-    return (shorter >= longer * F.lit(threshold) - 1e-9) & (rest >= _overlap(size_a, size_b, threshold))
+    overlap = _overlap(size_a, size_b, threshold)
+    apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    return (shorter >= longer * F.lit(threshold) - 1e-9) & (rest >= overlap) & (apart <= size_a + size_b - overlap * 2)
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -97,7 +111,7 @@ def verified(pairs: DataFrame, kept: DataFrame, threshold: float) -> DataFrame:
     pairs = stage(pairs.distinct())
     ends = pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no")).union(pairs.select("b_doc", "b_line"))
     needed = broadcast_if_small(stage(ends.distinct()))
-    words = stage(kept.join(needed, ["doc_id", "line_no"]).select("doc_id", "line_no", F.array_distinct(F.split("line", " ")).alias("words")))
+    words = stage(kept.join(needed, ["doc_id", "line_no"]).select("doc_id", "line_no", F.array_distinct(F.split(plain(F.col("part")), " ")).alias("words")))
     first = words.select(F.col("doc_id").alias("a_doc"), F.col("line_no").alias("a_line"), F.col("words").alias("a_words"))
     second = words.select(F.col("doc_id").alias("b_doc"), F.col("line_no").alias("b_line"), F.col("words").alias("b_words"))
     both = pairs.join(first, ["a_doc", "a_line"]).join(second, ["b_doc", "b_line"])
@@ -132,21 +146,21 @@ def repeated_lines(
     empty table gives an empty result.
     """
     found = lines(docs, id_column, text_column)
-    digests = stage(found.select("doc_id", "line_no", _digest(F.col("line")).alias("digest")))
+    digests = stage(found.select("doc_id", "line_no", _digest(plain(F.col("part"))).alias("digest")))
     groups = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line_no")).alias("head"))
     shared = stage(groups.filter("n > 1").select("digest", F.col("head.doc_id").alias("keep_doc_id"), F.col("head.line_no").alias("keep_line_no")))
     is_head = (F.col("doc_id") == F.col("keep_doc_id")) & (F.col("line_no") == F.col("keep_line_no"))
     equal = stage(digests.join(broadcast_if_small(shared), "digest").filter(~is_head).drop("digest"))
     # Lines that only repeat another take no further part.
     kept = found.join(broadcast_if_small(equal.select("doc_id", "line_no").distinct()), ["doc_id", "line_no"], "left_anti")
-    posted = postings(kept, stage(rarity(found, slots)), threshold, slots)
-    heads = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line_no", "size", "place")).alias("h"))
-    heads = heads.filter("n > 1").select("key", F.col("h.doc_id").alias("h_doc"), F.col("h.line_no").alias("h_line"), F.col("h.size").alias("h_size"), F.col("h.place").alias("h_place"))
-    listed = stage(posted.join(heads, "key"))
-    first = listed.select(F.struct(F.col("h_doc").alias("doc_id"), F.col("h_line").alias("line_no"), F.col("h_size").alias("size"), F.col("h_place").alias("place")).alias("a"), F.struct("doc_id", "line_no", "size", "place").alias("b"))
+    posted = stage(postings(kept, stage(rarity(found, slots)), threshold, slots))
+    head = F.min(F.struct(*_POSTING)).alias("a")
+    heads = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), head).filter("n > 1").drop("n")
+    listed = posted.join(heads, "key").select("key", F.struct(*_POSTING).alias("b"), "a")
+    listed = stage(listed)
     to_pairs = [F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line"), F.col("b.doc_id").alias("b_doc"), F.col("b.line_no").alias("b_line")]
-    settled = stage(_first_match(verified(first.filter(_earlier("a", "b") & _may_match(threshold, "a", "b")).select(*to_pairs), kept, threshold)))
-    narrow = listed.select("key", "doc_id", "line_no", "size", "place")
+    settled = stage(_first_match(verified(listed.filter(_earlier("a", "b") & _may_match(threshold, "a", "b")).select(*to_pairs), kept, threshold)))
+    narrow = listed.select("key", "b.*")
     open_lines = narrow.join(broadcast_if_small(settled.select("doc_id", "line_no")), ["doc_id", "line_no"], "left_anti")
     meeting = narrow.alias("a").join(open_lines.alias("b").hint("merge"), F.col("a.key") == F.col("b.key"))
     rest = meeting.filter(_earlier("a", "b") & _may_match(threshold, "a", "b")).select(*to_pairs)
