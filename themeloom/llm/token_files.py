@@ -8,7 +8,9 @@ and offset indexes: a reader that wants few documents or only the metadata colum
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,50 +20,97 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 128 << 10
 PAGE_ROWS = 2_000
 # A worker remembers the ids of this many words at most; longer words are encoded each time.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 CACHED_BYTES = 64
-# Ids handed on at a time.
-_BATCH_IDS = 2_000_000
+# Characters of text encoded at a time, and words encoded as one text.
+_BATCH_CHARACTERS = 4_000_000
+_TOGETHER = 200
+# Words whose normal form is themselves and that are never split: small letters of ASCII and Latin-1.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>"
 
 
 class WordEncoder:
-    """Ids of whole texts from a tokenizer that drops white space and never joins words across it.
+    """Ids of whole texts from a tokenizer in lower case that drops white space and joins nothing across it.
 
     For such a tokenizer the ids of a text are those of its white-space separated parts in turn, and
-    most parts are words seen before.
+    most parts are words seen before. New words of plain Latin letters, with or without a full stop or
+    comma behind them, skip the tokenizer's normalisation and splitting, which change nothing in them:
+    many are encoded as one text and told apart by the tokens that end words.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.stops = {p[0]: self._ids([p])[0] for p in (b".", b",")}
         self.known: dict[bytes, bytes] = {}
 
     def _ids(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of any parts, by the tokenizer as it is."""
         found = self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def __call__(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        # Bytes split at the white space of ASCII only, all of which the tokenizer drops.
-        parts = (text or "").encode().split()
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _word_ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of plain words in lower case."""
+        texts = [b" ".join(words[i : i + _TOGETHER]).decode() for i in range(0, len(words), _TOGETHER)]
+        found = self.words.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in found])
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(stops) != len(words):
+            return self._ids(words)
+        flat, stops = ids.tobytes(), stops.tolist()
+        return [flat[a:b] for a, b in zip([0, *stops[:-1]], stops)]
+
+    def _learn(self, parts: set[bytes]) -> None:
+        """Remember the ids of new parts."""
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        new = [p for p in set(parts).difference(self.known) if len(p) <= CACHED_BYTES]
-        if new:
-            self.known.update(zip(new, self._ids(new)))
-        try:
-            return b"".join(map(self.known.__getitem__, parts))
-        except KeyError:
-            known = self.known.get
-            return b"".join(known(p) or self._ids([p])[0] for p in parts)
+        plain, other, cores = [], [], {}
+        for part in parts:
+            if len(part) > CACHED_BYTES:
+                continue
+            core = part[:-1] if part[-1] in self.stops else part
+            if core.isalpha() and core.islower() or _PLAIN.fullmatch(core):
+                plain.append((part, core))
+                cores[core] = None
+            else:
+                other.append(part)
+        words = list(cores)
+        if words:
+            cores = dict(zip(words, self._word_ids(words)))
+        self.known.update((part, cores[core] if part == core else cores[core] + self.stops[part[-1]]) for part, core in plain)
+        if other:
+            self.known.update(zip(other, self._ids(other)))
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        # Bytes: lower() touches A-Z only, which the tokenizer does too, but its special tokens keep their
+        # case; split() takes the white space of ASCII only, all of which the tokenizer drops.
+        raw = [(t or "").encode() for t in texts]
+        parts = [(r if b"<|" in r else r.lower()).split() for r in raw]
+        self._learn(set().union(*parts).difference(self.known))
+        known = self.known
+        found = []
+        for p in parts:
+            try:
+                found.append(b"".join(map(known.__getitem__, p)))
+            except KeyError:
+                found.append(b"".join(known.get(x) or self._ids([x])[0] for x in p))
+        return found
 
 
 @lru_cache(2)
@@ -80,17 +129,21 @@ def _encode(path: str, end_id: int):
         return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids"])
 
     def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ids, coded, held = _encoder(path), [], [], 0
+        encoder, ids, texts, held = _encoder(path), [], [], 0
+
+        def done() -> pa.RecordBatch:
+            return batches(ids, [c + end for c in encoder(texts)])
+
         for batch in rows:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                coded.append(encoder(text.as_py()) + end)
+                texts.append(text.as_py())
                 ids.append(doc_id)
-                held += len(coded[-1]) // 4
-                if held >= _BATCH_IDS:
-                    yield batches(ids, coded)
-                    ids, coded, held = [], [], 0
+                held += len(texts[-1] or "")
+                if held >= _BATCH_CHARACTERS:
+                    yield done()
+                    ids, texts, held = [], [], 0
         if ids:
-            yield batches(ids, coded)
+            yield done()
 
     return encode
 
