@@ -101,7 +101,7 @@ def test_a_small_cache_changes_nothing(monkeypatch):
     assert [small([t])[0] for t in TEXTS * 2] == plain(TEXTS) * 2
 
 
-ALPHABET = "abzABZéßÿÉĳſ'.,;!-0 \t\n\u00a0\u0301\u3000中<|>"
+ALPHABET = "abzABZéßÿÉÞ×÷ĳſ'.,;!-0 \t\n\u00a0\u0301\u3000中<|>"
 
 
 @settings(max_examples=300, deadline=None)

@@ -27,13 +27,14 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 128 << 10
 PAGE_ROWS = 2_000
 # A worker remembers the ids of this many words at most; longer words are encoded each time.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 900_000
 CACHED_BYTES = 64
 # Characters of text encoded at a time, and words encoded as one text.
 _BATCH_CHARACTERS = 4_000_000
 _TOGETHER = 200
-# Words whose normal form is themselves and that are never split: small letters of ASCII and Latin-1.
-_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+# Words whose normal form is their small letters and that are never split: letters of ASCII, already
+# small, and of Latin-1.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>"
 
@@ -83,16 +84,19 @@ class WordEncoder:
         for part in parts:
             if len(part) > CACHED_BYTES:
                 continue
-            core = part[:-1] if part[-1] in self.stops else part
-            if core.isalpha() and core.islower() or _PLAIN.fullmatch(core):
-                plain.append((part, core))
-                cores[core] = None
-            else:
-                other.append(part)
+            stop = self.stops.get(part[-1], b"")
+            core = part[:-1] if stop else part
+            if not (core.isalpha() and core.islower()):
+                if not _PLAIN.fullmatch(core):
+                    other.append(part)
+                    continue
+                core = core.decode().lower().encode()
+            plain.append((part, core, stop))
+            cores[core] = None
         words = list(cores)
         if words:
             cores = dict(zip(words, self._word_ids(words)))
-        self.known.update((part, cores[core] if part == core else cores[core] + self.stops[part[-1]]) for part, core in plain)
+        self.known.update((part, cores[core] + stop) for part, core, stop in plain)
         if other:
             self.known.update(zip(other, self._ids(other)))
 
