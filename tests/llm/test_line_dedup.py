@@ -65,6 +65,15 @@ def test_families_of_near_copies(spark, threshold):
     check(rows, ld.repeated_lines(df, threshold=threshold).collect(), threshold)
 
 
+@pytest.mark.parametrize("short", [0, 1, 3, 1000])
+def test_long_and_short_lists_remove_the_same(spark, short):
+    """Families of near-copies with every share of long lists."""
+    base = [f"w{k}" for k in range(12)]
+    rows = [(i, " ".join(base[: 10 + i % 3] + [f"x{i % 4}"]) + f"\n{chr(97 + i % 5)} b c d e f g h i j") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    check(rows, ld.repeated_lines(df, short=short).collect())
+
+
 def test_few_slots_change_nothing(spark):
     rows = [(i, f"one two three four five six seven eight nine w{i // 2}\nother line {i}") for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")

@@ -5,9 +5,10 @@ counted over all documents, and two lines of Jaccard ``threshold`` or more share
 of that order. Postings of prefix words are joined with length and positional filters, and candidates
 are verified on their words.
 
-A line goes if an earlier line (by document id, then place) matches it. So a match with the first line
-of any posting list settles a line, and the join over whole lists is left to lines not settled so. A
-large family of near-copies costs one comparison per member, list and round, not one per pair.
+A line goes if an earlier line (by document id, then place) matches it. Short posting lists are joined
+with themselves, at most a fixed number of comparisons per posting. In a long list a match with its first
+line settles a line, and the join over whole long lists is left to lines not settled so. A large family
+of near-copies costs one comparison per member, list and round, not one per pair.
 
 Only DataFrame functions are used. Words are compared as 56-bit hashes until they are verified: a false
 match is not possible, and a match could be missed only if two words of the compared lines share a hash.
@@ -23,6 +24,8 @@ from themeloom.functions.storage import broadcast_if_small, stage
 THRESHOLD = 0.8
 # Counts of words are kept in this many slots of their hash; the order only decides speed.
 SLOTS = 1 << 18
+# Posting lists up to this length are joined with themselves.
+SHORT = 64
 
 
 def plain(line: Column) -> Column:
@@ -45,21 +48,31 @@ def _digest(line: Column) -> Column:
     return F.unhex(F.md5(line.cast("binary")))
 
 
-def rarity(found: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """One row: an array that has for each slot of word hashes the count of its words, as a logarithm of 7
-    bits above 56 clear ones. ``slots`` is a power of two."""
-    words = found.select(F.explode_outer(F.split(plain(F.col("part")), " ")).alias("word"))
+def words_of(line: Column) -> Column:
+    """The words of a line as in :func:`plain`."""
+    return F.array_remove(F.split(F.lower(line), "[ \\t-\\r]+"), "")
+
+
+def level(n: Column) -> Column:
+    """A count as a logarithm of 7 bits."""
+    return F.floor(F.log2(n.cast("double")) * 3).cast("bigint")
+
+
+def rarity(docs: DataFrame, text_column: str = "text", slots: int = SLOTS) -> DataFrame:
+    """One row: an array that has for each slot of word hashes the :func:`level` of the count of its words,
+    above 56 clear bits. ``slots`` is a power of two."""
+    words = docs.select(F.explode_outer(F.split(F.lower(docs[text_column]), "[ \\t-\\r]+")).alias("word"))
     counted = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(slots - 1)).alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    every = found.sparkSession.range(slots).join(counted, "id", "left")
-    level = F.shiftleft(F.floor(F.log2(F.coalesce("n", F.lit(1)).cast("double")) * 3).cast("bigint"), 56).alias("level")
+    every = docs.sparkSession.range(slots).join(counted, "id", "left")
+    high = F.shiftleft(level(F.coalesce("n", F.lit(1))), 56).alias("level")
     # Bounded: one entry per slot.
-    ordered = every.agg(F.array_sort(F.collect_list(F.struct(F.col("id"), level))).alias("levels"))
+    ordered = every.agg(F.array_sort(F.collect_list(F.struct(F.col("id"), high))).alias("levels"))
     return ordered.select(F.transform("levels", lambda s: s["level"]).alias("levels"))
 
 
 def word_keys(part: Column, levels: Column, slots: int) -> Column:
     """The distinct words of a line as keys, rarest first: level of rarity above 56 bits of hash."""
-    hashed = F.transform(F.split(plain(part), " "), lambda w: F.xxhash64(w))
+    hashed = F.transform(words_of(part), lambda w: F.xxhash64(w))
     keyed = F.transform(
         hashed, lambda h: F.get(levels, h.bitwiseAND(F.lit(slots - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8))
     )
@@ -106,12 +119,15 @@ def _earlier(a: str, b: str) -> Column:
     return (doc_a < doc_b) | ((doc_a == doc_b) & (F.col(f"{a}.line_no") < F.col(f"{b}.line_no")))
 
 
-def verified(pairs: DataFrame, kept: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a_doc, a_line, b_doc, b_line) whose words reach the threshold, with ``jaccard``."""
-    pairs = stage(pairs.distinct())
+def verified(pairs: DataFrame, docs: DataFrame, id_column: str, text_column: str, threshold: float) -> DataFrame:
+    """The pairs (a_doc, a_line, b_doc, b_line) whose words reach the threshold, with ``jaccard``. ``pairs`` is stored and has each once."""
     ends = pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no")).union(pairs.select("b_doc", "b_line"))
-    needed = broadcast_if_small(stage(ends.distinct()))
-    words = stage(kept.join(needed, ["doc_id", "line_no"]).select("doc_id", "line_no", F.array_distinct(F.split(plain(F.col("part")), " ")).alias("words")))
+    ends = stage(ends.distinct())
+    # Documents without such a line are passed over before their lines are worked out.
+    touched = broadcast_if_small(ends.select(F.col("doc_id").alias("_id")).distinct())
+    held = docs.join(touched, docs[id_column].cast("bigint") == touched["_id"], "left_semi")
+    needed = lines(held, id_column, text_column).join(broadcast_if_small(ends), ["doc_id", "line_no"])
+    words = stage(needed.select("doc_id", "line_no", F.array_distinct(words_of(F.col("part"))).alias("words")))
     first = words.select(F.col("doc_id").alias("a_doc"), F.col("line_no").alias("a_line"), F.col("words").alias("a_words"))
     second = words.select(F.col("doc_id").alias("b_doc"), F.col("line_no").alias("b_line"), F.col("words").alias("b_words"))
     both = pairs.join(first, ["a_doc", "a_line"]).join(second, ["b_doc", "b_line"])
@@ -135,13 +151,15 @@ def repeated_lines(
     text_column: str = "text",
     threshold: float = THRESHOLD,
     slots: int = SLOTS,
+    short: int = SHORT,
 ) -> DataFrame:
     """The lines to remove: doc_id, line_no, keep_doc_id, keep_line_no (an earlier line it matches), jaccard.
 
     A line goes if the words of an earlier line have Jaccard ``threshold`` or more with its own, whether
     or not that line goes too. Lines equal after normalisation have 1.0 and name their first; others name
-    the earliest match with the head of a posting list, or else the earliest match. Lines without a
-    word, null and empty texts and rows without an id give none. Rows that repeat an id are taken for one
+    the earliest of their first candidates if it matches (those in short posting lists and the heads of long
+    ones), or else their earliest match. Lists have up to ``short`` lines or are long, which decides speed and
+    which match is named, not what goes. Lines without a word, null and empty texts and rows without an id give none. Rows that repeat an id are taken for one
     document's lines, of which equal places cannot match one another. Other columns are not looked at. An
     empty table gives an empty result.
     """
@@ -153,17 +171,28 @@ def repeated_lines(
     equal = stage(digests.join(broadcast_if_small(shared), "digest").filter(~is_head).drop("digest"))
     # Lines that only repeat another take no further part.
     kept = found.join(broadcast_if_small(equal.select("doc_id", "line_no").distinct()), ["doc_id", "line_no"], "left_anti")
-    posted = stage(postings(kept, stage(rarity(found, slots)), threshold, slots))
-    head = F.min(F.struct(*_POSTING)).alias("a")
-    heads = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), head).filter("n > 1").drop("n")
-    listed = posted.join(heads, "key").select("key", F.struct(*_POSTING).alias("b"), "a")
-    listed = stage(listed)
+    levels = stage(rarity(docs, text_column, slots))
+    posted = stage(postings(kept, levels, threshold, slots))
+    # A list is no longer than its slot's count, so lists of low level are short; others are counted.
+    may_be_long = posted.filter(F.shiftrightunsigned("key", 56) >= level(F.lit(short)))
+    counted = may_be_long.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    long_keys = broadcast_if_small(stage(counted.filter(F.col("n") > short).select("key")))
+    brief = posted.join(long_keys, "key", "left_anti")
+    listed = stage(posted.join(long_keys, "key", "left_semi"))
+    heads = listed.groupBy("key").agg(F.min(F.struct(*_POSTING)).alias("a"))
     to_pairs = [F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line"), F.col("b.doc_id").alias("b_doc"), F.col("b.line_no").alias("b_line")]
-    settled = stage(_first_match(verified(listed.filter(_earlier("a", "b") & _may_match(threshold, "a", "b")).select(*to_pairs), kept, threshold)))
-    narrow = listed.select("key", "b.*")
-    open_lines = narrow.join(broadcast_if_small(settled.select("doc_id", "line_no")), ["doc_id", "line_no"], "left_anti")
-    meeting = narrow.alias("a").join(open_lines.alias("b").hint("merge"), F.col("a.key") == F.col("b.key"))
-    rest = meeting.filter(_earlier("a", "b") & _may_match(threshold, "a", "b")).select(*to_pairs)
-    late = _first_match(verified(rest, kept, threshold))
+    goes = _earlier("a", "b") & _may_match(threshold, "a", "b")
+    with_head = listed.select("key", F.struct(*_POSTING).alias("b")).join(heads, "key").filter(goes).select(*to_pairs)
+    # Both sides are the same, so that the postings are shuffled once.
+    inside = brief.alias("a").join(brief.alias("b").hint("merge"), F.col("a.key") == F.col("b.key")).filter(goes).select(*to_pairs)
+    pairs = stage(with_head.union(inside).distinct())
+    # Most candidates match: one comparison per line comes first, the others are left to lines it does not settle.
+    nearest = pairs.groupBy("b_doc", "b_line").agg(F.min(F.struct("a_doc", "a_line")).alias("a")).select("a.*", "b_doc", "b_line")
+    settled = stage(_first_match(verified(stage(nearest), docs, id_column, text_column, threshold)))
+    gone = broadcast_if_small(settled.select("doc_id", "line_no"))
+    open_lines = listed.join(gone, ["doc_id", "line_no"], "left_anti")
+    rest = listed.alias("a").join(open_lines.alias("b").hint("merge"), F.col("a.key") == F.col("b.key")).filter(goes).select(*to_pairs)
+    others = pairs.join(gone, (F.col("b_doc") == F.col("doc_id")) & (F.col("b_line") == F.col("line_no")), "left_anti")
+    late = _first_match(verified(stage(others.union(rest).distinct()), docs, id_column, text_column, threshold))
     whole = equal.withColumn("jaccard", F.lit(1.0)).unionByName(settled).unionByName(late)
     return whole.select("doc_id", "line_no", "keep_doc_id", "keep_line_no", "jaccard")
