@@ -99,3 +99,10 @@ def test_the_bounds_lose_no_pair(a, b, threshold):
         for n in (a, b):
             # So many words outside the prefix cannot hold the whole overlap.
             assert not similar or n - (n - math.ceil(n * threshold - 1e-9) + 1) < common
+
+
+def test_long_lines(spark):
+    """Lines with more words than the narrow signature serves, near and far from one another."""
+    rows = [(i, " ".join(f"w{k + (i % 2) * 50}" for k in range(150 + i)) + f" x{i}") for i in range(8)]
+    rows += [(20 + i, " ".join(f"w{k}" if k % 9 > i else f"y{k}" for k in range(160))) for i in range(4)]
+    check(rows, ld.repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())

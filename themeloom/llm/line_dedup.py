@@ -26,6 +26,9 @@ THRESHOLD = 0.8
 SLOTS = 1 << 18
 # Posting lists up to this length are joined with themselves.
 SHORT = 64
+# The signature in postings tells little about lines of more words than this; they have a wider one.
+NARROW = 100
+WIDE = 8
 
 
 def plain(line: Column) -> Column:
@@ -79,7 +82,7 @@ def word_keys(part: Column, levels: Column, slots: int) -> Column:
     return F.sort_array(F.array_distinct(keyed))
 
 
-def _signature(keys: str) -> Column:
+def _signature(keys: str | Column) -> Column:
     """64 bits, of which each word of a line turns one over: lines differ in at most as many bits as words."""
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(63).cast("int"))
     return F.aggregate(keys, F.lit(0).cast("bigint"), lambda a, k: a.bitwiseXOR(bit(k)))
@@ -119,6 +122,25 @@ def _earlier(a: str, b: str) -> Column:
     return (doc_a < doc_b) | ((doc_a == doc_b) & (F.col(f"{a}.line_no") < F.col(f"{b}.line_no")))
 
 
+def _wide_signatures(words: DataFrame) -> DataFrame:
+    """doc_id, line_no, n (words), w0, w1 and so on (each as :func:`_signature`, for a part of the words) of long lines."""
+    hashed = words.filter(F.size("words") > NARROW).select("doc_id", "line_no", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    part = lambda i: F.filter("h", lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(WIDE - 1)) == i)
+    return hashed.select("doc_id", "line_no", F.size("h").alias("n"), *(_signature(part(i)).alias(f"w{i}") for i in range(WIDE)))
+
+
+def _not_apart(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """The pairs without those of long lines whose wide signatures differ in too many bits."""
+    wide = broadcast_if_small(stage(_wide_signatures(words)))
+    for end in "ab":
+        named = wide.select(F.col("doc_id").alias(f"{end}_doc"), F.col("line_no").alias(f"{end}_line"), *(F.col(c).alias(f"{end}_{c}") for c in wide.columns[2:]))
+        pairs = pairs.join(named, [f"{end}_doc", f"{end}_line"], "left")
+    apart = sum((F.bit_count(F.col(f"a_w{i}").bitwiseXOR(F.col(f"b_w{i}"))) for i in range(WIDE)), F.lit(0))
+    sizes = F.col("a_n") + F.col("b_n")
+    near = apart <= sizes - _overlap(F.col("a_n"), F.col("b_n"), threshold) * 2
+    return pairs.filter(F.coalesce(near, F.lit(True))).select("a_doc", "a_line", "b_doc", "b_line")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, id_column: str, text_column: str, threshold: float) -> DataFrame:
     """The pairs (a_doc, a_line, b_doc, b_line) whose words reach the threshold, with ``jaccard``. ``pairs`` is stored and has each once."""
     ends = pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no")).union(pairs.select("b_doc", "b_line"))
@@ -130,7 +152,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_column: str, text_column: str
     words = stage(needed.select("doc_id", "line_no", F.array_distinct(words_of(F.col("part"))).alias("words")))
     first = words.select(F.col("doc_id").alias("a_doc"), F.col("line_no").alias("a_line"), F.col("words").alias("a_words"))
     second = words.select(F.col("doc_id").alias("b_doc"), F.col("line_no").alias("b_line"), F.col("words").alias("b_words"))
-    both = pairs.join(first, ["a_doc", "a_line"]).join(second, ["b_doc", "b_line"])
+    both = stage(_not_apart(pairs, words, threshold)).join(first, ["a_doc", "a_line"]).join(second, ["b_doc", "b_line"])
     common = F.size(F.array_intersect("a_words", "b_words"))
     jaccard = common / (F.size("a_words") + F.size("b_words") - common)
     return both.select("a_doc", "a_line", "b_doc", "b_line", jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold - 1e-12)
