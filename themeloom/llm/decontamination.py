@@ -2,8 +2,10 @@
 
 Texts turn into tokens; numbers, names and units of measure become typed placeholders with the raw
 token kept as the value of the slot. Windows of template tokens are hashed and joined with those of the
-benchmark. Matches on one diagonal (document place minus item place) are put together, and the slots of
-a diagonal must be consistent: a value of the item stands for one value of the document wherever it
+benchmark, and so are windows of the raw tokens in lower case, in which numbers and names are words like
+any other, so that a verbatim passage is found whatever its share of slots, its case and its line breaks.
+Matches on one diagonal (document place minus item place) are put together, and the slots of
+a diagonal of templates must be consistent: a value of the item stands for one value of the document wherever it
 appears. Only DataFrame functions are used.
 """
 
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from themeloom.functions.storage import broadcast_if_small, stage
 
 WINDOW = 8
-# A window must keep this many tokens that are no placeholders, or shorter windows half of theirs.
+# A window of a template must keep this many tokens that are no placeholders, or shorter ones half of theirs.
 MIN_LITERALS = 4
 # Share of an item's windows that must match on one diagonal.
 MIN_COVERAGE = 0.3
@@ -66,19 +68,31 @@ def _is_slot(token: Column) -> Column:
 
 
 def windows(rows: DataFrame, key: str, sizes: list[int] | None = None, window: int = WINDOW) -> DataFrame:
-    """key, place, size, hash of every window of ``template`` that keeps enough literal tokens.
+    """key, place, size, typed (hash of the window of ``template``, null if it keeps too few literal tokens) and
+    plain (hash of the window of ``raw`` in lower case, null for short windows of nothing but numbers).
 
-    Sizes are ``window``, and the given shorter ones.
+    Both hashes are the same where a window has no slot. Sizes are ``window``, and the given shorter ones.
     """
     parts = []
     for size in sorted({window, *(sizes or ())}):
         inside = rows.filter(F.size("template") >= size).select(
-            key, "template", F.explode(F.sequence(F.lit(0), F.size("template") - size)).alias("place")
+            key, "raw", "template", F.explode(F.sequence(F.lit(0), F.size("template") - size)).alias("place")
         )
-        part = F.slice("template", F.col("place") + 1, size)
-        enough = F.size(F.filter(part, lambda t: ~_is_slot(t))) >= min(MIN_LITERALS, (size + 1) // 2)
-        kept = F.xxhash64(part)
-        parts.append(inside.select(key, "place", F.lit(size).alias("size"), kept.alias("h"), enough.alias("enough"), "template"))
+        # Strings, so that no row holds the arrays; a bracket is in placeholders only.
+        run = lambda c: F.array_join(F.slice(c, F.col("place") + 1, size), " ").alias(c)
+        strings = inside.select(key, "place", run("template"), run("raw"))
+        literals = size - F.length("template") + F.length(F.translate("template", "<", ""))
+        typed = F.xxhash64("template")
+        plain = F.xxhash64(F.lower(F.translate("raw", _MARK, "")))
+        if size < window:
+            plain = F.when(F.rlike("raw", F.lit(r"\p{L}")), plain)
+        parts.append(
+            strings.select(
+                key, "place", F.lit(size).alias("size"),
+                F.when(literals >= min(MIN_LITERALS, (size + 1) // 2), typed).alias("typed"),
+                F.when(literals == size, typed).otherwise(plain).alias("plain"),
+            )
+        )
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
@@ -107,9 +121,10 @@ def matches(
 
     ``matched`` is the number of the item's windows found on the best diagonal, ``slots`` the distinct
     slot values there, ``changed`` those that differ in the document; ``verbatim`` if none does. A pair
-    is reported if coverage reaches ``min_coverage`` and its slots are consistent. Items with fewer
+    is reported if the coverage of the item's template windows reaches ``min_coverage`` and its slots are
+    consistent, or if that of its raw windows does; the higher coverage is given. Items with fewer
     tokens than ``window`` are one window of their own length. Null and empty texts, rows without an
-    id, and items without a literal token match nothing; repeated ids are taken for one document, and
+    id, and such short items of nothing but numbers match nothing; repeated ids are taken for one document, and
     repeated items are all reported. Other columns are not looked at. Empty tables give an empty result.
     """
     items = stage(_typed(benchmark, item_column, item_text_column, "item_id").filter(F.size("template") > 0))
@@ -118,23 +133,27 @@ def matches(
     # A capital that begins the item may stand within a sentence of a document, so both readings count.
     within = _typed(benchmark, item_column, item_text_column, "item_id", inside=True).filter(F.size("template") > 0)
     found = windows(items, "item_id", short, window).unionByName(windows(within, "item_id", short, window))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k == "plain").alias("as_is"), F.col(k).alias("h")) for k in ("typed", "plain")])).alias("kind")
     # A short item's only window is itself.
     own = F.least(F.size("template"), F.lit(window))
-    wanted = found.filter(F.col("enough") & (F.col("size") == own)).select("item_id", F.col("place").alias("item_place"), "size", "h")
-    wanted = stage(wanted.distinct())
-    counts = wanted.groupBy("item_id").agg(F.countDistinct("item_place").alias("item_windows"))
+    lengths = items.select("item_id", own.alias("own")).distinct()
+    wanted = found.join(lengths, "item_id").filter(F.col("size") == F.col("own"))
+    wanted = wanted.select("item_id", F.col("place").alias("item_place"), "size", kinds).select("item_id", "item_place", "size", "kind.as_is", "kind.h")
+    wanted = stage(wanted.filter("h is not null").distinct())
+    counts = wanted.groupBy("item_id", "as_is").agg(F.countDistinct("item_place").alias("item_windows"))
     typed = _typed(docs, id_column, text_column, "doc_id")
+    hashes = F.when(F.col("typed") == F.col("plain"), F.array("typed")).otherwise(F.array("typed", "plain"))
     hits = (
-        windows(typed.select("doc_id", "template"), "doc_id", short, window)
-        .select("doc_id", "place", "size", "h")
+        windows(typed, "doc_id", short, window)
+        .select("doc_id", "place", "size", F.explode(hashes).alias("h"))
         .join(broadcast_if_small(wanted), ["size", "h"])
-        .select("doc_id", "item_id", "item_place", "size", (F.col("place") - F.col("item_place")).alias("shift"))
+        .select("doc_id", "item_id", "as_is", "item_place", "size", (F.col("place") - F.col("item_place")).alias("shift"))
     )
     diagonals = stage(hits)
     good = (
-        diagonals.groupBy("doc_id", "item_id", "shift")
+        diagonals.groupBy("doc_id", "item_id", "as_is", "shift")
         .agg(F.countDistinct("item_place").alias("matched"), F.min("item_place").alias("low"), F.max(F.col("item_place") + F.col("size")).alias("high"))
-        .join(broadcast_if_small(stage(counts)), "item_id")
+        .join(broadcast_if_small(stage(counts)), ["item_id", "as_is"])
         .withColumn("coverage", F.col("matched") / F.col("item_windows"))
         .filter(F.col("coverage") >= min_coverage)
     )
@@ -155,21 +174,16 @@ def matches(
     compared = both.withColumn("pairs", pairs)
     slots = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"])))
     changed = F.size(F.filter("pairs", lambda p: p["item"] != p["doc"]))
-    consistent = compared.filter(slots == F.size("pairs")).select(
-        "doc_id", "item_id", "matched", "item_windows", "coverage", slots.cast("bigint").alias("slots"), changed.cast("bigint").alias("changed"), "shift"
+    consistent = compared.filter(F.col("as_is") | (slots == F.size("pairs"))).select(
+        "doc_id", "item_id", "matched", "item_windows", "coverage", slots.cast("bigint").alias("slots"), changed.cast("bigint").alias("changed")
     )
-    # One row per pair: most windows, then fewest changes, then the earliest diagonal, as one number.
-    best = consistent.groupBy("doc_id", "item_id").agg(
-        F.max("matched").alias("matched"), F.max("item_windows").alias("item_windows"), F.max("coverage").alias("coverage")
-    )
-    ranked = consistent.join(best, ["doc_id", "item_id", "matched", "item_windows", "coverage"])
-    final = ranked.groupBy("doc_id", "item_id", "matched", "item_windows", "coverage").agg(
-        F.min(F.col("changed") * (1 << 31) + F.col("slots")).alias("packed")
-    )
-    changes = F.floor(F.col("packed") / (1 << 31)).cast("bigint")
-    return final.select(
-        "doc_id", "item_id", "matched", "item_windows", "coverage",
-        (F.col("packed") - changes * (1 << 31)).cast("bigint").alias("slots"), changes.alias("changed"), (changes == 0).alias("verbatim"),
+    # One row per pair: the highest coverage, then most windows, then fewest changes, then fewest slots.
+    rank = F.struct("coverage", "matched", (-F.col("changed")).alias("kept"), (-F.col("slots")).alias("few"), "item_windows")
+    best = consistent.groupBy("doc_id", "item_id").agg(F.max(rank).alias("best"))
+    changes = -F.col("best.kept")
+    return best.select(
+        "doc_id", "item_id", "best.matched", "best.item_windows", "best.coverage",
+        (-F.col("best.few")).alias("slots"), changes.alias("changed"), (changes == 0).alias("verbatim"),
     )
 
 
