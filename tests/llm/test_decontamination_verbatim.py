@@ -1,8 +1,9 @@
-"""Verbatim passages whatever their share of slots."""
+"""Verbatim passages whatever their share of slots, their case and their line breaks."""
 
 from tests.llm.test_decontamination import found
 
 SUMS = "Evaluate 12 + 7 - 3 * 4 + 9 / 2 - 8 + 15 - 6 and then add 5 + 6 - 11 * 2 + 30"
+NAMES = "Natalia sold clips to Anna in April, and then Maria gave half of them to Peter so that Julia could lend two to Carla on Friday."
 
 
 def test_items_of_mostly_slots(spark):
@@ -11,3 +12,18 @@ def test_items_of_mostly_slots(spark):
                 [(1, SUMS), (2, "7 8 9"), (3, short)])
     assert {(1, 1), (4, 3)} <= set(got) <= {(1, 1), (2, 1), (4, 3)}
     assert got[1, 1]["coverage"] == 1.0 and got[1, 1]["verbatim"]
+
+
+def test_case_and_line_breaks_of_names(spark):
+    wrapped = NAMES
+    for name in ("Anna", "April", "Maria", "Peter", "Julia", "Carla", "Friday"):
+        wrapped = wrapped.replace(f" {name}", f"\n {name}")
+    docs = [(1, NAMES), (2, NAMES.lower()), (3, NAMES.upper()), (4, wrapped), (5, f"as they say, {NAMES.replace(' ', '  ')}")]
+    got = found(spark, docs, [(1, NAMES)])
+    assert {k: r["coverage"] for k, r in got.items()} == {(i, 1): 1.0 for i in range(1, 6)}
+
+
+def test_changed_names_across_line_breaks_are_slots(spark):
+    text = NAMES.replace("Maria", "\nLaura").replace("Peter", "\nPaul").replace("Julia", "\tSara").replace("Carla", " Emma")
+    got = found(spark, [(1, text)], [(1, NAMES)])
+    assert set(got) == {(1, 1)} and got[1, 1]["changed"] == 4 and got[1, 1]["coverage"] == 1.0

@@ -33,7 +33,7 @@ UNITS = (
 )
 
 # A number, with a sign of thousands or a decimal point inside; a word; anything else separates. A word
-# that begins with a capital and follows a lower-case word, a number or a comma on the same line is a name.
+# that begins with a capital and follows a lower-case word, a number or a comma and white space is a name.
 _TOKEN = r"[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+"
 _NAME = r"(?<=[\p{Ll}\p{M}0-9,] )(\p{Lu}[\p{Ll}\p{M}]++)"
 # Marks a name in the text; it is neither letter nor digit, and tokens that carry it are names.
@@ -42,7 +42,7 @@ _MARK = "\x01"
 
 def raw_tokens(text: Column) -> Column:
     """The tokens of a text in order; names begin with a mark."""
-    plain = F.translate(F.coalesce(text, F.lit("")), _MARK, " ")
+    plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _MARK, " "), r"\s+", " ")
     marked = F.regexp_replace(plain, _NAME, _MARK + "$1")
     return F.regexp_extract_all(marked, F.lit(f"{_MARK}?(?:{_TOKEN})"), F.lit(0))
 
