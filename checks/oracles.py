@@ -390,6 +390,12 @@ FINAL = {
         case when n = 1 or confidence < 0.6 or case_variants > 1 then 'review' else 'ok' end as status
         from (select *, count(*) over (partition by lower(theme)) as case_variants from stats)""",
 }
+FINAL["journaled_inference"] = """select batch_id, case when batch_id % 2 = 0 and length(prompt) <= 100000
+    then '1: ' || length(prompt) || ' characters|Length (90%)' else 'late' end as response, null::varchar as error from prompts"""
+FINAL["calls_by_kind"] = f"""select prompt_md5, kind || prompt_length as response from (
+    select 'batch 0.5 20000 ' as kind, prompt_md5, prompt_length from ({FINAL["batch_requests"]})
+    union all select 'mapping 0.2 1000 ', prompt_md5, prompt_length from ({FINAL["mapping_requests"]})
+    union all select 'consolidation 0.3 1000 ', prompt_md5, prompt_length from ({FINAL["consolidation_request"]}))"""
 CTES["run_used_answered"] = "select distinct theme from run_kept where row_id in (select row_id from answered)"
 CTES["mstats"] = """select theme, count(*) as n, min(row_id * 100 + rk) as seen from run_merged group by theme"""
 CTES["reg"] = "select arg_min(theme, seen) as theme, sum(n)::bigint as n, min(seen) as seen from mstats group by lower(theme)"

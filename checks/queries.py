@@ -3,13 +3,15 @@ can be compared by value."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
-from themeloom.functions.storage import freeze, stage
+from themeloom.functions.storage import freeze, stage, stage_folder
 from themeloom.functions.text import names
 from themeloom.operators import batching, cleaning, model, parsing, reports, requests, semantic, similar, themes, tokens
 from themeloom.options import Options
@@ -228,6 +230,36 @@ def model_batch_inference(spark, d):
     )
 
 
+def journaled_inference(spark, d):
+    """Every second batch is asked first; then all are, by a callable that says otherwise, with the same journal."""
+
+    def ask(prompt: str) -> str:
+        if len(prompt) > 100_000:
+            raise ValueError("prompt too long")
+        return f"1: {len(prompt)} characters|Length (90%)"
+
+    folder = f"{stage_folder(spark)}/journal-{uuid.uuid4().hex}"
+    asked = stage(requests.batch_requests(fx.batches(spark, d), question=fx.QUESTION))
+    stage(model.ask_model(asked.filter("batch_id % 2 = 0"), ask, ["batch_id"], journal=folder))
+    return model.ask_model(asked, lambda prompt: "late", ["batch_id"], journal=folder).select("batch_id", "response", "error")
+
+
+def calls_by_kind(spark, d):
+    """What the callable sees of the kinds of request a run makes."""
+
+    def ask(prompt, call) -> str:
+        return f"{call.kind} {call.temperature} {call.max_tokens} {len(prompt)}"
+
+    distinct = stage(_distinct(spark, d))
+    made = (
+        requests.batch_requests(fx.batches(spark, d), question=fx.QUESTION),
+        requests.mapping_requests(distinct, REPRESENTATIVES),
+        requests.consolidation_requests(distinct, question=fx.QUESTION),
+    )
+    every = reduce(DataFrame.unionByName, [df.select("kind", "prompt", "prompt_md5") for df in made])
+    return model.ask_model(every, ask).select("prompt_md5", "response")
+
+
 def batch_usage(spark, d):
     used = model.batch_usage(fx.answered(spark, d))
     return used.select("batch_id", "n_texts", "tokens_used", "api_calls", _bar("errors").alias("errors"))
@@ -622,7 +654,7 @@ QUERIES: dict[str, Query] = {
         batch_requests, hinted_batch_requests, theme_writeup_requests, quote_requests, pair_requests, mapping_requests,
         consolidation_request, consolidation_rounds,
         cache_lookup, cache_upsert, cache_stats, cache_expire, usage_stats, embedding_lookup, model_batch_inference,
-        batch_usage,
+        journaled_inference, calls_by_kind, batch_usage,
         parsed_entries, parsed_themes, parsed_consolidation, parsed_mapping, parsed_quotes, parsed_verdicts,
         theme_registry, theme_registry_padded, theme_frequency, theme_confidence, case_map_running, case_map_global, entry_themes,
         themes_merged, entry_theme_limits, high_confidence_themes, entry_confidence, distinct_themes,

@@ -2,20 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+import inspect
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from themeloom.functions.shipping import ship
 from themeloom.functions.storage import broadcast_if_small
-from themeloom.options import CACHE_DAYS
+from themeloom.operators.journal import Journal, Reply
+from themeloom.options import CACHE_DAYS, CALLS, Call
+
+Ask = Callable[[str], str] | Callable[[str, Call], str]
 
 _REPLY = "prompt_length bigint, response string, error string, started_at timestamp, ended_at timestamp"
 
 
+def _takes_call(ask: Ask) -> bool:
+    """Whether a callable wants the :class:`Call` beside the prompt."""
+    try:
+        wanted = [p for p in inspect.signature(ask).parameters.values() if p.kind in (p.POSITIONAL_ONLY, p.POSITIONAL_OR_KEYWORD) and p.default is p.empty]
+    except (TypeError, ValueError):
+        return False
+    return len(wanted) > 1
+
+
 def ask_model(
-    requests: DataFrame, ask: Callable[[str], str], keep: Sequence[str] = (), tasks: int | None = None
+    requests: DataFrame,
+    ask: Ask,
+    keep: Sequence[str] = (),
+    tasks: int | None = None,
+    journal: str | None = None,
+    calls: Mapping[str, Call] = CALLS,
 ) -> DataFrame:
     """Send each request's ``prompt`` to ``ask`` on the executors.
 
@@ -24,35 +43,58 @@ def ask_model(
     are passed on unasked. A call that raises gives an ``error`` and the others go on. A model need
     not answer twice alike, so freeze or write the result before using it more than once.
     ``tasks`` sets how many calls may run side by side.
+
+    ``ask`` takes the prompt, or the prompt and the :class:`Call` that ``calls`` has for the request's
+    ``kind`` (one without parameters for a kind that is not there). With a ``journal``, a folder all machines
+    share, each reply is kept as it comes, and a prompt whose reply is there is not asked again: a task that
+    fails half way asks for the rest only. Errors are not kept. Two attempts at the same task that run at the same
+    time may ask twice; the later reply stays.
     """
     kept = ["prompt_md5", *keep]
-    given = "response" in requests.columns
-    sent = requests.select(*kept, "prompt", *(["response"] if given else []))
+    given, named, whole = "response" in requests.columns, "kind" in requests.columns, _takes_call(ask)
+    extra = [c for c, there in (("response", given), ("kind", named and "kind" not in kept)) if there]
+    sent = requests.select(*kept, "prompt", *extra)
     if tasks:
         sent = sent.repartition(tasks, "prompt_md5")
     types = ", ".join(f"{c} {requests.schema[c].dataType.simpleString()}" for c in kept)
+    ship(requests.sparkSession)
+    replies = Journal(journal) if journal else None
+    by_kind = dict(calls)
+
+    def answer(key: str, prompt: str, kind: str | None) -> tuple:
+        found = replies.read(key) if replies else None
+        if found:
+            return found.response, None, found.started_at, found.ended_at
+        started = pd.Timestamp.now(tz="UTC")
+        try:
+            response = ask(prompt, by_kind.get(kind, Call(kind))) if whole else ask(prompt)
+        except Exception as e:  # noqa: BLE001 - whatever the callable raises is that row's result
+            return None, str(e) or type(e).__name__, started, pd.Timestamp.now(tz="UTC")
+        ended = pd.Timestamp.now(tz="UTC")
+        if replies and response is not None:
+            replies.write(key, Reply(response, started, ended))
+        return response, None, started, ended
 
     def call(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for prompt, known in zip(frame["prompt"], frame["response"] if given else [None] * len(frame)):
-                started, response, error = pd.Timestamp.now(tz="UTC"), known, None
-                if known is None:
-                    try:
-                        response = ask(prompt)
-                    except Exception as e:  # noqa: BLE001 - whatever the callable raises is that row's result
-                        error = str(e) or type(e).__name__
-                rows.append((len(prompt), response, error, started, pd.Timestamp.now(tz="UTC")))
+            empty = [None] * len(frame)
+            for key, prompt, known, kind in zip(
+                frame["prompt_md5"], frame["prompt"], frame["response"] if given else empty, frame["kind"] if named else empty
+            ):
+                now = pd.Timestamp.now(tz="UTC")
+                rows.append((len(prompt), *((known, None, now, now) if known is not None else answer(key, prompt, kind))))
             columns = ["prompt_length", "response", "error", "started_at", "ended_at"]
-            replies = pd.DataFrame(rows, columns=columns, index=frame.index)
-            yield pd.concat([frame[kept], replies], axis=1)
+            made = pd.DataFrame(rows, columns=columns, index=frame.index)
+            yield pd.concat([frame[kept], made], axis=1)
 
     return sent.mapInPandas(call, f"{types}, {_REPLY}")
 
 
-def run_model(requests: DataFrame, ask: Callable[[str], str], tasks: int | None = None) -> DataFrame:
+def run_model(requests: DataFrame, ask: Ask, tasks: int | None = None, journal: str | None = None) -> DataFrame:
     """Ask each distinct prompt once; join the responses back on ``prompt_md5``."""
-    return ask_model(requests.select("prompt_md5", "prompt").dropDuplicates(["prompt_md5"]), ask, tasks=tasks)
+    kind = ["kind"] if "kind" in requests.columns else []
+    return ask_model(requests.select("prompt_md5", "prompt", *kind).dropDuplicates(["prompt_md5"]), ask, tasks=tasks, journal=journal)
 
 
 def embed_texts(

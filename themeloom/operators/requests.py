@@ -29,9 +29,10 @@ MAPPING_REPLY = "Original Theme 1 -> Representative Theme\nOriginal Theme 2 -> R
 LIST_REPLY = "1. [Consolidated Theme Name]\n2. [Consolidated Theme Name]\n..."
 
 
-def with_key(requests: DataFrame, prompt: str = "prompt") -> DataFrame:
-    """Add the cache key of the prompt."""
-    return requests.withColumn("prompt_md5", F.md5(F.col(prompt).cast("binary")))
+def with_key(requests: DataFrame, prompt: str = "prompt", kind: str | None = None) -> DataFrame:
+    """Add the cache key of the prompt and, if given, the kind of request (see :data:`themeloom.options.CALLS`)."""
+    keyed = requests.withColumn("prompt_md5", F.md5(F.col(prompt).cast("binary")))
+    return keyed.withColumn("kind", F.lit(kind)) if kind else keyed
 
 
 def _text(*parts: Column | str) -> Column:
@@ -78,7 +79,8 @@ def batch_requests(
                 numbered,
                 f"\n\nREPLY FORMAT:\n{BATCH_REPLY}",
             ).alias("prompt"),
-        )
+        ),
+        kind="batch",
     )
 
 
@@ -122,7 +124,8 @@ def theme_writeup_requests(
                 f"\n\nIn {max_words} words, cover what the theme consists of, how entries differ, and why it "
                 "matters. Claim nothing the entries do not support.",
             ).alias("prompt"),
-        )
+        ),
+        kind="writeup",
     )
 
 
@@ -140,7 +143,8 @@ def quote_requests(examples: DataFrame, max_quotes: int = MAX_QUOTES, separator:
                 "\n\nQuote word for word and prefer quotes that show different sides of the theme.\n\n"
                 f"REPLY FORMAT:\n{QUOTE_REPLY}",
             ).alias("prompt"),
-        )
+        ),
+        kind="quotes",
     )
 
 
@@ -157,7 +161,8 @@ def pair_requests(pairs: DataFrame, context: str = "General analysis") -> DataFr
                 F.col("theme2"),
                 f'"\nContext: {context}\n\nREPLY FORMAT:\n{VERDICT_REPLY}',
             ).alias("prompt"),
-        )
+        ),
+        kind="verdict",
     )
 
 
@@ -187,7 +192,8 @@ def mapping_requests(
                 F.array_join("themes", ", "),
                 f"\n\nREPLY FORMAT:\n{MAPPING_REPLY}\n\nWrite representative themes exactly as given.",
             ).alias("prompt"),
-        )
+        ),
+        kind="mapping",
     )
 
 
@@ -222,5 +228,6 @@ def consolidation_requests(
                 "\n\nWrite the names in sentence case, none longer than 15 words.\n\n"
                 f"REPLY FORMAT, {final_count} lines and nothing else:\n{LIST_REPLY}",
             ).alias("prompt"),
-        )
+        ),
+        kind="consolidation",
     )

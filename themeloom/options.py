@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 
 # Defaults that decide results.
 BATCH_SIZE = 25
@@ -33,6 +34,27 @@ UNCATEGORIZED = "Uncategorized"
 THEMES_PER_CONSOLIDATION = 500
 
 
+@dataclass(frozen=True)
+class Call:
+    """How the model is called for one kind of request; None leaves it to the callable."""
+
+    kind: str
+    temperature: float | None = None
+    max_tokens: int | None = None
+    deployment: str | None = None
+
+
+# Temperature and longest reply, in tokens, by kind of request.
+CALLS = {
+    "batch": Call("batch", 0.5, 20_000),
+    "writeup": Call("writeup", 0.5, 2 * ANALYSIS_WORDS),
+    "quotes": Call("quotes", 0.5, 20_000),
+    "verdict": Call("verdict", 0.5, 200),
+    "mapping": Call("mapping", 0.2, 1_000),
+    "consolidation": Call("consolidation", 0.3, 1_000),
+}
+
+
 @dataclass(frozen=True)
 class Options:
     """Options of :func:`themeloom.plans.analysis.analyze`."""
@@ -52,6 +74,10 @@ class Options:
     cache_days: int = CACHE_DAYS
     count_cached_calls: bool = True
     model_tasks: int | None = None
+    # Where replies are kept as they come: below the run's stages (True), nowhere (False), or in a folder for later
+    # runs, which holds the replies of one model.
+    journal: str | bool = True
+    calls: Mapping[str, Call] = field(default_factory=lambda: dict(CALLS))
 
     def __post_init__(self) -> None:
         if self.themes_per_consolidation <= self.final_theme_count:

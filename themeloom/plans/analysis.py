@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.functions.storage import stage
+from themeloom.functions.storage import stage, stage_folder
 from themeloom.operators import batching, cleaning, model, parsing, reports, requests, themes
 from themeloom.options import Options
 
-Ask = Callable[[str], str]
+Ask = model.Ask
 
 
 @dataclass(frozen=True)
@@ -35,14 +35,19 @@ def answer(
     """Requests with their responses, without the prompts.
 
     Prompts, which hold the texts, are built once and end at the model; what is frozen for the
-    later steps is ids and responses. The model is not asked again if a later step is recomputed.
+    later steps is ids and responses. The model is not asked again if a later step is recomputed, nor
+    for what a lost task had heard already (``options.journal``).
     """
+    journal = options.journal
+    if isinstance(journal, bool):
+        # Of its own for every table of requests: another run's model may answer otherwise.
+        journal = f"{stage_folder(requested.sparkSession)}/journal-{uuid.uuid4().hex}" if journal else None
     if cache is None:
         looked_up = requested.withColumn("response", F.lit(None).cast("string")).withColumn("hit", F.lit(False))
     else:
         looked_up = model.cache_lookup(requested, cache, as_of, options.cache_days)
-    keep = [c for c in looked_up.columns if c not in ("prompt_md5", "prompt", "response")]
-    return stage(model.ask_model(looked_up, ask, keep, options.model_tasks))
+    keep = [c for c in looked_up.columns if c not in ("prompt_md5", "prompt", "response", "kind")]
+    return stage(model.ask_model(looked_up, ask, keep, options.model_tasks, journal, options.calls))
 
 
 def consolidate(
