@@ -1,29 +1,5 @@
 """Sending the package to workers that cannot import it."""
 
-from __future__ import annotations
+from themeloom.functions.shipping import ship
 
-import tempfile
-import zipfile
-from pathlib import Path
-
-from pyspark.sql import SparkSession
-
-_SENT: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable by the session's Python workers, once per application.
-
-    Where it is installed on all machines this changes nothing. The archive is made on the driver,
-    which serves it to the executors.
-    """
-    context = spark.sparkContext
-    if context.applicationId in _SENT:
-        return
-    package = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="themeloom-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-        for file in sorted(package.rglob("*.py")):
-            z.write(file, file.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    _SENT.add(context.applicationId)
+__all__ = ["ship"]
