@@ -76,6 +76,26 @@ def decoded_texts(spark, d):
     return docs.select("doc_id", F.md5(files.decoded(content).cast("binary")).alias("text_md5"))
 
 
+def _written(spark, d, sep: str, **options):
+    """Documents as delimited files, those in French and German in Latin-1, read back from their bytes."""
+    folder = f"{stage_folder(spark)}/files-{uuid.uuid4().hex}"
+    docs = fx.table(spark, d, "documents").select("doc_id", "text", "lang", "n_chars").repartition(4)
+    spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    for name, rows, encoding in (("latin", F.col("lang").isin("fr", "de"), "ISO-8859-1"), ("utf8", ~F.col("lang").isin("fr", "de"), "UTF-8")):
+        docs.filter(rows).write.options(header=True, sep=sep, escape='"', encoding=encoding, lineSep="\n", **spaces).csv(f"{folder}/{name}")
+    read = files.read_delimited(spark, [f"{folder}/latin", f"{folder}/utf8"], sep, text="text", row_id=None, **options)
+    return read.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("text_md5"), "lang", F.col("n_chars").cast("bigint").alias("n_chars"))
+
+
+def csv_files(spark, d):
+    return _written(spark, d, ",", schema="doc_id bigint, text string, lang string, n_chars bigint")
+
+
+def tsv_files(spark, d):
+    """Tab-separated, with the types taken from the cells."""
+    return _written(spark, d, "\t")
+
+
 def flat_results(spark, d):
     """Results as a delimited file holds them: arrays joined, other nested values as JSON."""
     results, _ = fx.run(spark, d)
@@ -647,7 +667,7 @@ def similar_vectors_in_cells(spark, d):
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
-        missing_cells, decoded_texts, flat_results,
+        missing_cells, decoded_texts, csv_files, tsv_files, flat_results,
         load_report, clean_texts, clean_conversations,
         token_counts, token_distribution, batch_size_recommendation, cost_forecast, prompt_token_estimate, usage_cost,
         fixed_batches, packed_batches,

@@ -98,3 +98,49 @@ def test_json_documents(spark, tmp_path):
 def test_parquet_sink(spark, tmp_path):
     sinks.write_table(spark.range(3).withColumn("m", F.array("id")), str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).count() == 3
+
+
+def test_thousands_of_files_in_either_encoding(spark, tmp_path, monkeypatch):
+    """One scan of the files, of which the driver gets no list."""
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for i in range(5000):
+        (folder / f"{i:04}.csv").write_bytes(f"id,text\n{i},café {i}\n{i + 5000},plain {i}\n".encode("latin-1" if i % 7 == 3 else "utf-8"))
+    staged, most = [], 0
+    stage, collect = files.stage, type(spark.range(1)).collect
+
+    def watched(df):
+        nonlocal most
+        rows = collect(df)
+        most = max(most, len(rows))
+        return rows
+
+    monkeypatch.setattr(files, "stage", lambda df: staged.append(df) or stage(df))
+    monkeypatch.setattr(type(spark.range(1)), "collect", watched)
+    df = files.read_delimited(spark, str(folder), schema="id bigint, text string", text="text")
+    assert most <= 1
+    monkeypatch.undo()
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in (*staged, df)]
+    assert sum(p.count("FileScan csv") for p in plans) == 1
+    assert {(r["id"], r["text"]) for r in df.collect()} == {(i, f"café {i}") for i in range(5000)} | {(i + 5000, f"plain {i}") for i in range(5000)}
+
+
+def test_types_come_from_the_cells(spark, tmp_path):
+    body = "a,b,c,d,e,f,text\n1,1.5,true,2024-01-31,x,,7\nNA,2,false,2024-02-01 10:00:00,3,NA,8\n99999999999,-1e3,TRUE,,NaN,,None\n"
+    df = files.read_delimited(spark, write(tmp_path, "a.csv", body), text="text")
+    assert [f.dataType.simpleString() for f in df.schema.fields] == ["bigint", "bigint", "double", "boolean", "timestamp", "string", "string", "string"]
+    rows = df.orderBy("row_id").collect()
+    assert [r["a"] for r in rows] == [1, None, 99999999999] and [r["text"] for r in rows] == ["7", "8", None]
+    assert [r["e"] for r in rows] == ["x", "3", "NaN"] and df.columns == ["row_id", "a", "b", "c", "d", "e", "f", "text"]
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "latin-1"])
+def test_names_are_decoded_too(spark, tmp_path, encoding):
+    path = write(tmp_path, "a.csv", "réponse,id\nété,1\nN/A,2\n", encoding)
+    rows = files.read_answers(spark, path, "réponse").orderBy("row_id").collect()
+    assert [(r["réponse"], r["id"]) for r in rows] == [("été", 1), (None, 2)]
+
+
+def test_files_without_rows(spark, tmp_path):
+    assert files.read_delimited(spark, write(tmp_path, "a.csv", "id,text\n"), schema="id int, text string").count() == 0
+    assert files.read_delimited(spark, write(tmp_path, "b.csv", "id,text\n")).columns == ["row_id", "id", "text"]

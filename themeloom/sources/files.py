@@ -50,18 +50,13 @@ def _separator(path: str) -> str:
     return "\t" if path.lower().endswith(".tsv") else ","
 
 
-def split_by_encoding(spark: SparkSession, paths: str | Sequence[str]) -> tuple[list[str], list[str]]:
-    """The files that are valid UTF-8 and those that are not. Every line of every file is tested;
-    the driver sees file names only."""
-    tested = (
-        spark.read.format("text")
-        .load(paths)
-        .select(F.col("_metadata.file_path").alias("path"), F.is_valid_utf8("value").alias("valid"))
-        .groupBy("path")
-        .agg(F.bool_and("valid").alias("valid"))
-    )
-    verdicts = tested.collect()
-    return [r["path"] for r in verdicts if r["valid"]], [r["path"] for r in verdicts if not r["valid"]]
+def valid_bytes(cell: Column | str) -> Column:
+    """Whether a cell read as Latin-1, which keeps every byte, is UTF-8; a null is."""
+    return F.coalesce(F.is_valid_utf8(_as_utf8(cell)), F.lit(True))
+
+
+def _as_utf8(cell: Column | str) -> Column:
+    return F.encode(cell, FALLBACK_ENCODING).cast("string")
 
 
 def missing_to_null(cell: Column | str, tokens: Sequence[str] = NA_TOKENS) -> Column:
@@ -95,51 +90,94 @@ def read_delimited(
     column, or in all string columns if none is named. ``row_id`` numbers the rows in file order;
     pass None if the data has its own key.
 
-    For large inputs give a ``schema``, since inferring one reads the data an extra time, and if no
-    quoted cell spans lines set ``multi_line=False``, which lets many tasks share one file.
+    The files are parsed once, in an encoding that keeps every byte, and staged; whether a file is UTF-8
+    is the conjunction over the cells of its string columns, and its cells are decoded when they meet that verdict.
+    Without a ``schema``, names come from the first header and types from the staged cells. A schema's names
+    are checked against the headers if all are ASCII. If no quoted cell spans lines set ``multi_line=False``,
+    which lets many tasks share one file.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    separator = sep or _separator(paths[0])
-    utf8, other = (paths, []) if encoding else split_by_encoding(spark, paths)
-    first = encoding or "UTF-8"
-    reader = spark.read.options(header=True, sep=separator, multiLine=multi_line, escape='"')
-    if schema is None:
-        schema = reader.options(encoding=first, inferSchema=True).csv(utf8 or other or paths).schema
-    reader = reader.schema(schema).options(inferSchema=False, enforceSchema=False)
-    parts = [
-        reader.options(encoding=encoding)
-        .csv(files)
-        .select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
-        for files, encoding in ((utf8, first), (other, FALLBACK_ENCODING))
-        if files
-    ]
-    if not parts:
-        return spark.createDataFrame([], schema)
-    whole = reduce(DataFrame.unionByName, parts)
-    fields = [f for f in whole.schema.fields if f.name not in ("_file", "_block")]
+    reader = spark.read.options(header=True, sep=sep or _separator(paths[0]), multiLine=multi_line, escape='"', encoding=encoding or FALLBACK_ENCODING)
+    infer = schema is None
+    if infer:
+        # Only the first line of one file is read for this.
+        fields = reader.csv(paths).schema.fields
+    else:
+        fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    ascii_names = all(f.name.isascii() for f in fields)
+    parsed = reader.schema(T.StructType(fields)).options(enforceSchema=not ascii_names).csv(paths)
     strings = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
+    valid = reduce(Column.__and__, [valid_bytes(F.col(f"`{c}`")) for c in strings], F.lit(True))
+    whole = parsed.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        (F.lit(True) if encoding else valid).alias("_valid"),
+    )
+    numbered = file_order(whole, row_id or "_row")
     tokens = list(na_tokens or ())
-    targets = [c for c in strings if text in (None, c)] if tokens else []
-    cells = [missing_to_null(f.name, tokens).alias(f.name) if f.name in targets else f.name for f in fields]
-    if row_id is None:
-        return whole.select(*cells)
-    return file_order(whole.select(*cells, "_file", "_block"), row_id)
+
+    def cell(name: str) -> Column:
+        raw = F.col(f"`{name}`")
+        return raw if encoding else F.when(F.col("_utf8"), _as_utf8(raw)).otherwise(raw)
+
+    names = {f.name: _decoded_name(f.name) if infer and not encoding else f.name for f in fields}
+    targets = [c for c in strings if text in (None, names[c])] if tokens else []
+    cells = {f.name: cell(f.name) if f.name in strings else F.col(f"`{f.name}`") for f in fields}
+    if infer:
+        types = cell_types(numbered.select(*[v.alias(c) for c, v in cells.items()]), [c for c in cells if names[c] != text], tokens)
+        cells |= {c: cells[c].try_cast(t) for c, t in types.items()}
+        targets = [c for c in targets if c not in types]
+    return numbered.select(
+        *([row_id] if row_id else []), *[(missing_to_null(v, tokens) if c in targets else v).alias(names[c]) for c, v in cells.items()]
+    )
+
+
+def _decoded_name(name: str) -> str:
+    """A column's name, read as Latin-1, as UTF-8 if it is that; without a byte order mark."""
+    try:
+        return name.encode(FALLBACK_ENCODING).decode("utf-8-sig")
+    except UnicodeError:
+        return name
+
+
+# Types that cells are tried as, narrowest first.
+CELL_TYPES = ("int", "bigint", "double", "boolean", "timestamp")
+
+
+def cell_types(cells: DataFrame, columns: Sequence[str], na_tokens: Sequence[str] = NA_TOKENS) -> dict[str, str]:
+    """For columns of strings, the first of :data:`CELL_TYPES` that all cells can be read as, in one pass.
+
+    Missing-value tokens fit every type. Columns without any other cell, or that fit no type, are left out.
+    """
+    if not columns:
+        return {}
+    measures = []
+    for i, c in enumerate(columns):
+        value = missing_to_null(F.trim(f"`{c}`"), list(na_tokens) or [""])
+        measures += [F.count(value).alias(f"n{i}"), *[F.count(value.try_cast(t)).alias(f"{t}{i}") for t in CELL_TYPES]]
+    found = cells.agg(*measures).head()
+    fits = {c: [t for t in CELL_TYPES if found[f"{t}{i}"] == found[f"n{i}"]] for i, c in enumerate(columns) if found[f"n{i}"]}
+    return {c: types[0] for c, types in fits.items() if types}
 
 
 def file_order(df: DataFrame, row_id: str) -> DataFrame:
-    """Add unique, rising row numbers by file (``_file``), block (``_block``) and place in the block.
+    """Add unique, rising row numbers by file (``_file``), block (``_block``) and place in the block, and ``_utf8``: whether
+    all rows of the file are ``_valid``.
 
     The parsed rows are staged with their places first: how a file is split may change from one read to
     the next, a staged table stays. Numbers have gaps: the rank of the block in the upper bits, the row's
-    place in its task in the lower. Only the list of blocks is ordered, by a range sort.
+    place in its task in the lower. Files and blocks, with their verdicts, are a table; only it is ordered, by a range sort.
     """
-    kept = [c for c in df.columns if c not in ("_file", "_block")]
+    kept = [c for c in df.columns if c not in ("_file", "_block", "_valid")]
     place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     staged = stage(df.withColumn("_place", place))
-    ranks = stage(dense_index(staged.select("_file", "_block").distinct(), ["_file", "_block"], "_rank"))
+    blocks = stage(staged.groupBy("_file", "_block").agg(F.bool_and("_valid").alias("_valid")))
+    verdicts = blocks.groupBy("_file").agg(F.bool_and("_valid").alias("_utf8"))
+    ranks = stage(dense_index(blocks.select("_file", "_block"), ["_file", "_block"], "_rank").join(verdicts, "_file"))
     ranked = staged.join(broadcast_if_small(ranks), ["_file", "_block"], "left")
     rank = F.coalesce("_rank", F.raise_error(F.lit("a row of an unknown block")).cast("bigint"))
-    return ranked.select((F.shiftleft(rank, 33) + F.col("_place")).alias(row_id), *kept)
+    return ranked.select((F.shiftleft(rank, 33) + F.col("_place")).alias(row_id), "_utf8", *[F.col(f"`{c}`") for c in kept])
 
 
 def read_answers(spark: SparkSession, path: str | Sequence[str], text: str, required: Sequence[str] = (), **options) -> DataFrame:
