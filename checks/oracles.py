@@ -399,6 +399,20 @@ FINAL["calls_by_kind"] = f"""select prompt_md5, kind || prompt_length as respons
     select 'batch 0.5 20000 ' as kind, prompt_md5, prompt_length from ({FINAL["batch_requests"]})
     union all select 'mapping 0.2 1000 ', prompt_md5, prompt_length from ({FINAL["mapping_requests"]})
     union all select 'consolidation 0.3 1000 ', prompt_md5, prompt_length from ({FINAL["consolidation_request"]}))"""
+CTES["edges"] = """select distinct unnest(['* ' || upper(left(theme, 2)), '* ' || upper(left(theme, 1)), '*', 'length ' || length(theme),
+    'length ' || length(theme), 'length ' || (length(theme) + 1 - 2 * (length(theme) % 2))]) as parent, unnest([theme, '* ' || upper(left(theme, 2)),
+    '* ' || upper(left(theme, 1)), theme, 'length ' || (length(theme) + 1 - 2 * (length(theme) % 2)), 'length ' || length(theme)]) as child from occ"""
+CTES["reach"] = "select parent as ancestor, child as descendant from edges union select r.ancestor, e.child from reach r join edges e on e.parent = r.descendant"
+FINAL["hierarchy_closure"] = f""", reach as ({CTES["reach"]}) select ancestor, descendant from reach"""
+FINAL["hierarchy_counts"] = f""", reach as ({CTES["reach"]}),
+    scope as (select ancestor, descendant from reach where ancestor <> descendant union all select distinct theme, theme
+        from (select ancestor as theme from reach union select descendant from reach)),
+    texts as (select s.ancestor, count(distinct o.row_id) as n_texts, count(distinct o.row_id) filter (s.ancestor = s.descendant) as n_own
+        from scope s join occ o on o.theme = s.descendant group by s.ancestor),
+    loops as (select r.ancestor, min(r.descendant) as cycle from reach r join reach b on b.ancestor = r.descendant and b.descendant = r.ancestor group by r.ancestor)
+    select s.ancestor as theme, coalesce(t.n_own, 0) as n_own, coalesce(t.n_texts, 0) as n_texts, count(*) - 1 as n_below, l.cycle
+    from scope s left join texts t on t.ancestor = s.ancestor left join loops l on l.ancestor = s.ancestor group by all"""
+del CTES["reach"]
 CTES["run_used_answered"] = "select distinct theme from run_kept where row_id in (select row_id from answered)"
 CTES["mstats"] = """select theme, count(*) as n, min(row_id * 100 + rk) as seen from run_merged group by theme"""
 CTES["reg"] = "select arg_min(theme, seen) as theme, sum(n)::bigint as n, min(seen) as seen from mstats group by lower(theme)"

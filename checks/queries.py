@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from themeloom.functions.storage import freeze, stage, stage_folder
 from themeloom.functions.text import names
-from themeloom.operators import batching, cleaning, model, parsing, reports, requests, semantic, similar, themes, tokens
+from themeloom.operators import batching, cleaning, hierarchy, model, parsing, reports, requests, semantic, similar, themes, tokens
 from themeloom.options import Options
 from themeloom.plans import analysis
 from themeloom.sources import files, sinks
@@ -644,6 +644,26 @@ def hierarchy_rollup(spark, d):
     return similar.hierarchy_rollup(occ, edges)
 
 
+def _deep_edges(occ):
+    """Three levels over each theme by its first letters; besides, lengths that are each other's parents in twos."""
+    t = F.col("theme")
+    first, second, size = F.concat(F.lit("* "), F.upper(F.substring(t, 1, 1))), F.concat(F.lit("* "), F.upper(F.substring(t, 1, 2))), F.length(t)
+    length = lambda n: F.concat(F.lit("length "), n.cast("string"))
+    pair = F.when(size % 2 == 0, size + 1).otherwise(size - 1)
+    edges = [(second, t), (first, second), (F.lit("*"), first), (length(size), t), (length(size), length(pair)), (length(pair), length(size))]
+    made = F.explode(F.array(*[F.struct(p.alias("parent"), c.alias("child")) for p, c in edges])).alias("e")
+    return occ.select("theme").distinct().select(made).select("e.*")
+
+
+def hierarchy_closure(spark, d):
+    return hierarchy.closure(_deep_edges(fx.occurrences(spark, d)))
+
+
+def hierarchy_counts(spark, d):
+    occ = stage(fx.occurrences(spark, d).select("row_id", "theme"))
+    return hierarchy.hierarchy_counts(occ, _deep_edges(occ))
+
+
 def theme_quality(spark, d):
     df = similar.theme_quality(freeze(fx.stats(spark, d)))
     return df.withColumn("confidence", F.round("confidence", 6))
@@ -683,6 +703,6 @@ QUERIES: dict[str, Query] = {
         result_rows, batch_stats, session_stats, processing_stats, summary_metrics, theme_count_tables, charted_themes,
         theme_report, report_statistics, analysis_summary, statistics_json, result_json, result_json_confidences,
         batch_json,
-        theme_cooccurrence, similar_vectors, similar_vectors_in_cells, hierarchy_rollup, theme_quality,
+        theme_cooccurrence, similar_vectors, similar_vectors_in_cells, hierarchy_rollup, hierarchy_closure, hierarchy_counts, theme_quality,
     )
 }
