@@ -393,6 +393,7 @@ FINAL = {
 FINAL["csv_files"] = FINAL["tsv_files"] = """select doc_id, case when text not in ('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan',
     '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null') then md5(text) end as text_md5, lang, n_chars::bigint as n_chars
     from documents"""
+FINAL["streamed_first_copies"] = f"""select row_id, source, md5(text) as text_md5 from ({_clean('row_id', 'survey', ', source')})"""
 FINAL["journaled_inference"] = """select batch_id, case when batch_id % 2 = 0 and length(prompt) <= 100000
     then '1: ' || length(prompt) || ' characters|Length (90%)' else 'late' end as response, null::varchar as error from prompts"""
 FINAL["calls_by_kind"] = f"""select prompt_md5, kind || prompt_length as response from (

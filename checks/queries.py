@@ -17,6 +17,7 @@ from themeloom.operators import batching, cleaning, hierarchy, model, parsing, r
 from themeloom.options import Options
 from themeloom.plans import analysis
 from themeloom.sources import files, sinks
+from themeloom.streaming import firsts
 
 Query = Callable[[SparkSession, str], DataFrame]
 REPRESENTATIVES = ("Enonon", "Tion", "Ouen", "Der", "Anan")
@@ -51,6 +52,21 @@ def clean_texts(spark, d):
     )
 
 
+def streamed_first_copies(spark, d):
+    """The survey as a stream of two micro-batches with copies across them; a third, much later row closes it."""
+    folder = f"{stage_folder(spark)}/stream-{uuid.uuid4().hex}"
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("row_id") % 3600).alias("at")
+    rows = fx.survey(spark, d).select("row_id", "text", "source", at)
+    closing = rows.limit(1).select(F.lit(-1).cast("bigint").alias("row_id"), F.lit("closing row").alias("text"), "source", F.timestamp_seconds(F.lit(1735689600)).alias("at"))
+    for part in (rows.filter("row_id % 2 = 1"), rows.filter("row_id % 2 = 0"), closing):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    found = firsts.first_copies(stream, "2 hours", "at")
+    options = {"checkpointLocation": f"{folder}/state", "path": f"{folder}/out"}
+    found.writeStream.options(**options).trigger(availableNow=True).format("parquet").start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/out").filter("row_id >= 0").select("row_id", "source", F.md5("text").alias("text_md5"))
+
+
 def clean_conversations(spark, d):
     """The second answer table; its key (conv_id, turn) is folded into one number."""
     turns = fx.table(spark, d, "conversations")
@@ -688,7 +704,7 @@ QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         missing_cells, decoded_texts, csv_files, tsv_files, flat_results,
-        load_report, clean_texts, clean_conversations,
+        load_report, clean_texts, streamed_first_copies, clean_conversations,
         token_counts, token_distribution, batch_size_recommendation, cost_forecast, prompt_token_estimate, usage_cost,
         fixed_batches, packed_batches,
         batch_requests, hinted_batch_requests, theme_writeup_requests, quote_requests, pair_requests, mapping_requests,

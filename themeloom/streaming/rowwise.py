@@ -11,8 +11,8 @@ from themeloom.options import MIN_TEXT_LENGTH
 
 
 def clean_stream(answers: DataFrame, text: str = "text", min_length: int = MIN_TEXT_LENGTH) -> DataFrame:
-    """Usable texts, stripped, with token counts. Copies are not dropped: which copy came first
-    is only known in a batch."""
+    """Usable texts, stripped, with token counts. Copies stay; see
+    :func:`themeloom.streaming.firsts.first_copies` for those."""
     return token_counts(usable_texts(answers, text, min_length), text)
 
 
