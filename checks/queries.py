@@ -398,6 +398,15 @@ def theme_registry_padded(spark, d):
     return themes.register(padded).select("theme", "n", "first_row", F.col("first_pos").cast("bigint").alias("first_pos"))
 
 
+def registry_of_runs(spark, d):
+    """The documents in three runs by id, whose registries are merged in another order."""
+    occ = stage(fx.occurrences(spark, d))
+    share = F.floor(F.col("row_id") * 3 / (occ.agg(F.max("row_id")).head()[0] + 1))
+    runs = [themes.run_registry(occ.filter(share == k), k) for k in (2, 0, 1)]
+    merged = themes.merge_registries(runs[0], themes.merge_registries(*runs[1:]))
+    return merged.select("theme", "n", _r6(F.col("confidence_sum") / F.col("n"), "confidence"), "first_row", F.col("first_pos").cast("bigint").alias("first_pos"))
+
+
 def theme_frequency(spark, d):
     return fx.stats(spark, d).select("theme", "n")
 
@@ -712,7 +721,7 @@ QUERIES: dict[str, Query] = {
         cache_lookup, cache_upsert, cache_stats, cache_expire, usage_stats, embedding_lookup, model_batch_inference,
         journaled_inference, calls_by_kind, batch_usage,
         parsed_entries, parsed_themes, parsed_consolidation, parsed_mapping, parsed_quotes, parsed_verdicts,
-        theme_registry, theme_registry_padded, theme_frequency, theme_confidence, case_map_running, case_map_global, entry_themes,
+        theme_registry, theme_registry_padded, registry_of_runs, theme_frequency, theme_confidence, case_map_running, case_map_global, entry_themes,
         themes_merged, entry_theme_limits, high_confidence_themes, entry_confidence, distinct_themes,
         needs_consolidation, consolidated_themes, fallback_themes, containment_pairs, merge_suggestions, merged_themes,
         merge_outcome, top_themes, theme_totals, theme_lookup, theme_examples, known_themes,

@@ -208,3 +208,27 @@ def test_totals(spark):
     assert tuple(themes.approximate_theme_totals(occ).first()) == (2, 3)
     rows = {r["theme"]: r["n"] for r in themes.theme_lookup(themes.theme_stats(occ), spark.createDataFrame([("a",), ("q",)], "theme string")).collect()}
     assert rows == {"a": 2, "q": 0}
+
+
+def test_registries_of_runs_merge_to_that_of_all(spark):
+    rng = random.Random(4)
+    rows = [(i, p, rng.choice(["Tea", "tea", "TEA ", " Café", "café", "  ", "x"]), rng.random()) for i in range(60) for p in range(rng.randint(0, 3))]
+    schema = "row_id bigint, pos int, theme string, confidence double"
+    whole = themes.register(spark.createDataFrame(rows, schema))
+    runs = [themes.run_registry(spark.createDataFrame([r for r in rows if r[0] // 25 == k], schema), k) for k in range(3)]
+    rounded = lambda df: sorted((r["theme"], r["n"], round(r["confidence"], 9), r["first_row"], r["first_pos"]) for r in df.collect())
+    expected = rounded(whole)
+    empty = runs[0].limit(0)
+    for a, b, c in ((0, 1, 2), (2, 0, 1), (1, 2, 0)):
+        for merged in (
+            themes.merge_registries(themes.merge_registries(runs[a], runs[b]), runs[c]),
+            themes.merge_registries(empty, themes.merge_registries(runs[a], themes.merge_registries(runs[b], runs[c]))),
+        ):
+            assert rounded(merged.withColumn("confidence", F.col("confidence_sum") / F.col("n"))) == expected
+    assert [r["theme"] for r in themes.known_themes(merged, 2).collect()] == [r["theme"] for r in themes.known_themes(whole, 2).collect()]
+
+
+def test_the_registry_aggregates_numbers_only(spark):
+    occ = spark.createDataFrame([(1, 0, "Tea", 0.5)], "row_id bigint, pos int, theme string, confidence double")
+    plan = themes.register(occ)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan and "min_by" not in plan

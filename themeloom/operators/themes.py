@@ -77,19 +77,41 @@ def register(occ: DataFrame) -> DataFrame:
 
     Returns ``theme, n, confidence, first_row, first_pos``.
     """
+    made = _registered(occ)
+    return made.select("theme", "n", (F.col("confidence_sum") / F.col("n")).alias("confidence"), "first_row", "first_pos")
+
+
+def _registered(occ: DataFrame) -> DataFrame:
+    """Aggregates of numbers by folded name; the spelling is fetched from where it was first seen, as no two are there."""
     named = occ.withColumn("theme", strip("theme")).filter(F.col("theme") != "")
-    first = F.struct("first_row", "first_pos")
-    return (
-        theme_stats(named)
-        .groupBy(F.lower("theme").alias("_folded"))
-        .agg(
-            F.min_by("theme", first).alias("theme"),
-            F.sum("n").alias("n"),
-            (F.sum("confidence_sum") / F.sum("n")).alias("confidence"),
-            F.min(first).alias("_first"),
-        )
-        .select("theme", "n", "confidence", "_first.first_row", "_first.first_pos")
-    )
+    seen = named.groupBy("theme").agg(F.count(F.lit(1)).alias("n"), F.sum("confidence").alias("confidence_sum"), first_sighting().alias("_first"))
+    folded = seen.withColumn("folded", F.lower("theme"))
+    totals = folded.groupBy("folded").agg(F.sum("n").alias("n"), F.sum("confidence_sum").alias("confidence_sum"), F.min("_first").alias("_first"))
+    return totals.join(folded.select("folded", "_first", "theme"), ["folded", "_first"]).select("folded", "theme", "n", "confidence_sum", *sighted())
+
+
+def run_registry(occ: DataFrame, run: int) -> DataFrame:
+    """The registry of one run, to be stored and merged: ``folded, theme, n, confidence_sum, first_run, first_row, first_pos``.
+
+    ``run`` numbers the runs in their order.
+    """
+    return _registered(occ).withColumn("first_run", F.lit(run).cast("bigint"))
+
+
+def merge_registries(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Two registries of :func:`run_registry` as one: counts add up, and the spelling seen first, by run, row and place, stays.
+
+    No answer of an earlier run is read. Each side has a folded name once, so one join by it is all, without a hot key; and as the order
+    is a total one, registries may be merged in any order. ``stored`` that is bucketed by ``folded`` is not shuffled.
+    """
+    order = ("first_run", "first_row", "first_pos")
+    old = stored.select("folded", F.struct(*order, "theme").alias("_old"), F.struct("n", "confidence_sum").alias("_a"))
+    add = new.select("folded", F.struct(*order, "theme").alias("_new"), F.struct("n", "confidence_sum").alias("_b"))
+    # Null structs are passed over.
+    first = F.least("_old", "_new")
+    both = old.join(add, "folded", "full").withColumn("_first", first)
+    total = lambda c: (F.coalesce(f"_a.{c}", F.lit(0)) + F.coalesce(f"_b.{c}", F.lit(0))).alias(c)
+    return both.select("folded", "_first.theme", total("n"), total("confidence_sum"), *[f"_first.{c}" for c in order])
 
 
 def case_map(stats: DataFrame, mode: str = "running") -> DataFrame:
@@ -313,5 +335,6 @@ def theme_examples(
 
 
 def known_themes(registry: DataFrame, k: int = KNOWN_THEMES) -> DataFrame:
-    """The first ``k`` registered themes, as a hint for the requests of a later run."""
-    return registry.orderBy("first_row", "first_pos").limit(k)
+    """The first ``k`` registered themes, as a hint for the requests of a later run. Takes a registry of one run or of many."""
+    order = [c for c in ("first_run", "first_row", "first_pos") if c in registry.columns]
+    return registry.orderBy(*order).limit(k)

@@ -143,9 +143,17 @@ def analyze(
     return Analysis(source, texts, results, usage, responses, spelling, theme_map, representatives)
 
 
-def registry(analysis: Analysis) -> DataFrame:
-    """The theme registry of a run, fit to be passed on as ``known_themes``."""
-    return themes.register(themes.occurrences(analysis.results, "merged"))
+def registry(analysis: Analysis, run: int | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """The theme registry of a run, fit to be passed on as ``known_themes``.
+
+    With the number of the ``run`` it is one that can be merged, and with the registry ``stored`` by earlier
+    runs it is merged into that.
+    """
+    occ = themes.occurrences(analysis.results, "merged")
+    if run is None:
+        return themes.register(occ)
+    made = themes.run_registry(occ, run)
+    return made if stored is None else themes.merge_registries(stored, made)
 
 
 def result_table(analysis: Analysis, options: Options = Options()) -> DataFrame:
