@@ -160,7 +160,7 @@ def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cache after the clicks and purchases were written over the rest."""
     writes = cache_writes(spark, sf_dir)
     new = F.col("event_type").isin("click", "purchase")
-    return freeze(model.cache_upsert(writes.filter(~new), writes.filter(new)))
+    return freeze(model.cache_upsert(model.latest_writes(writes.filter(~new)), writes.filter(new)))
 
 
 def cache_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

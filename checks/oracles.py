@@ -395,6 +395,7 @@ FINAL["csv_files"] = FINAL["tsv_files"] = """select doc_id, case when text not i
     from documents"""
 FINAL["streamed_first_copies"] = f"""select row_id, source, md5(text) as text_md5 from ({_clean('row_id', 'survey', ', source')})"""
 FINAL["registry_of_runs"] = """select theme, n, round(confidence, 6) as confidence, seen // 100 as first_row, seen % 100 as first_pos from registry"""
+FINAL["bucketed_cache"] = FINAL["cache_lookup"]
 FINAL["journaled_inference"] = """select batch_id, case when batch_id % 2 = 0 and length(prompt) <= 100000
     then '1: ' || length(prompt) || ' characters|Length (90%)' else 'late' end as response, null::varchar as error from prompts"""
 FINAL["calls_by_kind"] = f"""select prompt_md5, kind || prompt_length as response from (

@@ -219,6 +219,17 @@ def cache_lookup(spark, d):
     return found.select("request_id", "response", "hit")
 
 
+def bucketed_cache(spark, d):
+    """The lookup against a cache in buckets that was written twice, without a broadcast."""
+    folder = f"{stage_folder(spark)}/cache-{uuid.uuid4().hex}"
+    writes = fx.cache_writes(spark, d)
+    new = F.col("event_type").isin("click", "purchase")
+    model.store_cache(model.latest_writes(writes.filter(~new)), f"{folder}/1", 8)
+    model.store_cache(model.cache_upsert(model.open_cache(spark, f"{folder}/1"), writes.filter(new)), f"{folder}/2", 8)
+    found = model.cache_lookup(fx.cache_requests(spark, d), model.open_cache(spark, f"{folder}/2"), fx.as_of())
+    return found.select("request_id", "response", "hit")
+
+
 def cache_upsert(spark, d):
     return fx.cache(spark, d).select("prompt_md5", "response", F.unix_micros(F.col("cached_at").cast("timestamp")).alias("cached_us"))
 
@@ -718,7 +729,7 @@ QUERIES: dict[str, Query] = {
         fixed_batches, packed_batches,
         batch_requests, hinted_batch_requests, theme_writeup_requests, quote_requests, pair_requests, mapping_requests,
         consolidation_request, consolidation_rounds,
-        cache_lookup, cache_upsert, cache_stats, cache_expire, usage_stats, embedding_lookup, model_batch_inference,
+        cache_lookup, bucketed_cache, cache_upsert, cache_stats, cache_expire, usage_stats, embedding_lookup, model_batch_inference,
         journaled_inference, calls_by_kind, batch_usage,
         parsed_entries, parsed_themes, parsed_consolidation, parsed_mapping, parsed_quotes, parsed_verdicts,
         theme_registry, theme_registry_padded, registry_of_runs, theme_frequency, theme_confidence, case_map_running, case_map_global, entry_themes,

@@ -55,6 +55,40 @@ def test_last_write_wins(spark):
     assert sorted(r["response"] for r in model.cache_upsert(old, new).collect()) == ["2", "late", "tie new"]
 
 
+def test_many_writes_of_a_key(spark):
+    rows = [("hot", f"r{i}", f"2024-01-01 00:00:{i % 50:02}.000{i:03}") for i in range(500)] + [("tie", f"t{i}", "2024-01-01 00:00:00") for i in range(9)]
+    old = cached(spark, ("cold", "stays", "2023-12-01 00:00:00"), ("tie", "older", "2023-12-01 00:00:00"))
+    new = cached(spark, *rows).coalesce(1)
+    kept = {r["response"] for r in model.cache_upsert(old, new).collect()}
+    assert kept == {"r499", "t8", "stays"}
+    naive = new.withColumn("cached_at", F.col("cached_at").cast("timestamp_ntz"))
+    assert {r["response"] for r in model.latest_writes(naive).collect()} == {"r499", "t8"}
+    assert model.cache_upsert(old.limit(0), new.limit(0)).count() == 0
+
+
+def _exchanges(df):
+    return [line.strip(" +-:") for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+
+
+def test_a_cache_in_buckets_is_not_shuffled(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "cache")
+    model.store_cache(cached(spark, *[(f"p{i}", f"r{i}", "2024-01-31 00:00:00") for i in range(50)]), path, 6)
+    monkeypatch.setattr(model, "broadcast_if_small", lambda t, **_: t.hint("merge"))
+    found = model.cache_lookup(asked(spark, "p1", "p2", "other"), model.open_cache(spark, path), F.expr(NOW))
+    assert [e for e in _exchanges(found) if "hashpartitioning(prompt_md5" not in e] == [] and len(_exchanges(found)) == 1
+    assert {r["prompt"]: r["response"] for r in found.collect()} == {"p1": "r1", "p2": "r2", "other": None}
+    after = model.cache_upsert(model.open_cache(spark, path), cached(spark, ("p1", "late", "2024-02-01 00:00:00")))
+    plan = after._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    # Of the join by key only the side of the new replies moves.
+    assert sum("hashpartitioning(prompt_md5" in e for e in _exchanges(after)) == 1
+    assert after.count() == 50 and after.filter("response = 'late'").count() == 1
+    # Another application knows the files only.
+    spark.sql(f"drop table {model._cache_name(path)}")
+    again = model.open_cache(spark, path)
+    assert again.count() == 50 and len(_exchanges(model.cache_lookup(asked(spark, "p1"), again, F.expr(NOW)))) == 1
+
+
 def test_a_failing_call_is_a_row(spark):
     def ask(prompt):
         if prompt == "bad":

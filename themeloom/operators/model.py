@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
 import inspect
+import json
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from themeloom.functions.shipping import ship
-from themeloom.functions.storage import broadcast_if_small
+from themeloom.functions.storage import broadcast_if_small, stage
 from themeloom.operators.journal import Journal, Reply
 from themeloom.options import CACHE_DAYS, CALLS, Call
 
 Ask = Callable[[str], str] | Callable[[str, Call], str]
 
+# Rows of a table of writes are numbered below this.
+_ROWS = 1 << 62
 _REPLY = "prompt_length bigint, response string, error string, started_at timestamp, ended_at timestamp"
 
 
@@ -139,8 +144,9 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, as_of: Column, max_age_d
     """Add ``response`` and ``hit``. An expired or empty response is a miss.
 
     ``cache`` is a stored table with one row per ``prompt_md5`` (see :func:`cache_upsert`). If few
-    responses are usable they are broadcast and the prompts stay where they are. Otherwise a prompt
-    repeated by many requests widens the request side only, which the optimizer may split.
+    responses are usable they are broadcast and the prompts stay where they are. Otherwise a cache that
+    :func:`open_cache` reads stays where it is and the requests go to its buckets. A prompt
+    repeated by many requests widens the request side only.
     """
     usable = cache.filter(fresh("cached_at", as_of, max_age_days) & (F.col("response") != "")).select(
         "prompt_md5", "response"
@@ -149,17 +155,60 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, as_of: Column, max_age_d
     return requests.join(known, "prompt_md5", "left").withColumn("hit", F.col("response").isNotNull())
 
 
+def latest_writes(writes: DataFrame) -> DataFrame:
+    """The last write of each key: the latest, and of those of one time the last row.
+
+    What is reduced are keys and numbers, in a hash aggregate with a map-side half, so a key that is written very often is no hot spot;
+    replies move once, for the rows that win.
+    """
+    stored = stage(writes.select("prompt_md5", "response", "cached_at").withColumn("_row", F.monotonically_increasing_id()))
+    if isinstance(writes.schema["cached_at"].dataType, T.TimestampNTZType):
+        micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cached_at)")
+    else:
+        micros = F.unix_micros("cached_at")
+    # Time above, row below, as one number.
+    order = micros.cast("decimal(19,0)") * F.lit(_ROWS) + F.col("_row")
+    last = stored.groupBy("prompt_md5").agg(F.max(order).alias("_last")).select(F.pmod("_last", F.lit(_ROWS)).cast("bigint").alias("_row"))
+    return stored.join(broadcast_if_small(stage(last), otherwise="shuffle_hash"), "_row", "left_semi").drop("_row")
+
+
 def cache_upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
     """The cache after writing ``new``: the latest response per key; at equal times ``new`` wins.
 
-    Aggregates before the shuffle, so a key written very often is no hot spot. Write the result
-    to a new path, not over the one being read.
+    ``cache`` has a key once, ``new`` may have it often (see :func:`latest_writes`), so one join by the key is all; a cache that
+    :func:`open_cache` reads is not shuffled for it. Write the result to a new path, not over the one being read.
     """
-    both = cache.select("prompt_md5", "response", "cached_at", F.lit(0).alias("_write")).unionByName(
-        new.select("prompt_md5", "response", "cached_at", F.lit(1).alias("_write"))
+    old = cache.select("prompt_md5", F.col("response").alias("_old"), F.col("cached_at").alias("_old_at"))
+    late = latest_writes(new).select("prompt_md5", F.col("response").alias("_new"), F.col("cached_at").alias("_new_at"))
+    newer = F.col("_old_at").isNull() | F.coalesce(F.col("_new_at") >= F.col("_old_at"), F.lit(False))
+    return old.join(late, "prompt_md5", "full").select(
+        "prompt_md5", F.when(newer, F.col("_new")).otherwise(F.col("_old")).alias("response"), F.when(newer, F.col("_new_at")).otherwise(F.col("_old_at")).alias("cached_at")
     )
-    latest = F.max(F.struct("cached_at", "_write", "response")).alias("_last")
-    return both.groupBy("prompt_md5").agg(latest).select("prompt_md5", "_last.response", "_last.cached_at")
+
+
+def store_cache(cache: DataFrame, path: str, buckets: int) -> None:
+    """Write a cache in ``buckets`` files by key, each sorted, with a note of how many there are."""
+    spark = cache.sparkSession
+    by_key = cache.select("prompt_md5", "response", "cached_at").repartition(buckets, "prompt_md5")
+    by_key.write.bucketBy(buckets, "prompt_md5").sortBy("prompt_md5").option("path", f"{path}/rows").saveAsTable(_cache_name(path))
+    spark.range(1).select(F.lit(buckets).alias("buckets"), F.lit(by_key.schema.json()).alias("schema")).coalesce(1).write.json(f"{path}/layout")
+
+
+def open_cache(spark: SparkSession, path: str) -> DataFrame:
+    """A cache of :func:`store_cache`, also one of an earlier application: lookups and upserts do not shuffle it."""
+    name = _cache_name(path)
+    if not spark.catalog.tableExists(name):
+        layout = spark.read.schema("buckets int, schema string").json(f"{path}/layout").head()
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in T.StructType.fromJson(json.loads(layout["schema"])))
+        place = f"{path}/rows".replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(
+            f"create table {name} ({columns}) using parquet clustered by (prompt_md5) sorted by (prompt_md5) into {layout['buckets']} buckets location '{place}'"
+        )
+    return spark.table(name)
+
+
+def _cache_name(path: str) -> str:
+    return f"responses_{hashlib.md5(path.encode()).hexdigest()}"
 
 
 def cache_stats(looked_up: DataFrame) -> DataFrame:
