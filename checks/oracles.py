@@ -379,7 +379,7 @@ FINAL = {
         reach as (select a as id, a as other from pairs union select r.id, p.b from reach r join pairs p on p.a = r.other)
         select id, arg_max(other, coalesce(n_chars, 0) * 1000000 - other) as target from reach left join documents on doc_id = other group by id""",
     "similar_vectors_in_cells": """, pairs as materialized (select a.vec_id as a, b.vec_id as b from embeddings a join embeddings b on a.vec_id <> b.vec_id
-            and list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.85),
+            and list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.4),
         reach as (select a as id, a as other from pairs union select r.id, p.b from reach r join pairs p on p.a = r.other),
         best as (select id, arg_max(other, (other % 7) * 1000000 - other) as target from reach group by id)
         select a.label || ' ' || a.vec_id as theme, b.label || ' ' || b.vec_id as target from best
@@ -396,6 +396,12 @@ FINAL["csv_files"] = FINAL["tsv_files"] = """select doc_id, case when text not i
 FINAL["streamed_first_copies"] = f"""select row_id, source, md5(text) as text_md5 from ({_clean('row_id', 'survey', ', source')})"""
 FINAL["registry_of_runs"] = """select theme, n, round(confidence, 6) as confidence, seen // 100 as first_row, seen % 100 as first_pos from registry"""
 FINAL["bucketed_cache"] = FINAL["cache_lookup"]
+FINAL["banded_recall"] = """select t as threshold, count(*) as pairs, true as enough from embeddings a, embeddings b, (select unnest([0.3, 0.35, 0.4])::double as t)
+    where a.vec_id % 10 = 0 and a.vec_id <> b.vec_id and list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= t group by t"""
+FINAL["banded_vectors"] = """, pairs as materialized (select a.vec_id as a, b.vec_id as b from embeddings a join embeddings b on a.vec_id <> b.vec_id
+        and list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.4),
+    reach as (select a as id, a as other from pairs union select r.id, p.b from reach r join pairs p on p.a = r.other)
+    select id, min(other) as target from reach group by id"""
 FINAL["journaled_inference"] = """select batch_id, case when batch_id % 2 = 0 and length(prompt) <= 100000
     then '1: ' || length(prompt) || ' characters|Length (90%)' else 'late' end as response, null::varchar as error from prompts"""
 FINAL["calls_by_kind"] = f"""select prompt_md5, kind || prompt_length as response from (

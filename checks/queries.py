@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from themeloom.functions.storage import freeze, stage, stage_folder
 from themeloom.functions.text import names
-from themeloom.operators import batching, cleaning, hierarchy, model, parsing, reports, requests, semantic, similar, themes, tokens
+from themeloom.operators import batching, cleaning, hierarchy, hyperplanes, model, parsing, reports, requests, semantic, similar, themes, tokens
 from themeloom.options import Options
 from themeloom.plans import analysis
 from themeloom.sources import files, sinks
@@ -714,12 +714,25 @@ def similar_vectors(spark, d):
 
 
 def similar_vectors_in_cells(spark, d):
-    """The default threshold over many cells, as a map of names (here the sources and ids of vectors)."""
+    """Many cells, as a map of names (here the sources and ids of vectors)."""
     vectors = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label", (F.col("vec_id") % 7).alias("n"))
-    targets = semantic.similar_themes(vectors.select("id", "n", "embedding"), vectors_per_pivot=40)
+    targets = semantic.similar_themes(vectors.select("id", "n", "embedding"), 0.4, vectors_per_pivot=40)
     return semantic.theme_map(targets, vectors.select("id", F.concat_ws(" ", "label", "id").alias("theme")))
 
 
+def banded_recall(spark, d):
+    """How many alike pairs the banded search finds, counted against all pairs of every tenth vector."""
+    vectors = stage(fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
+    rows = [hyperplanes.recall_of(vectors, t, vectors.filter("id % 10 = 0")) for t in (0.3, 0.35, 0.4)]
+    return reduce(DataFrame.unionByName, rows).select("threshold", "pairs", (F.col("recall") >= 0.9).alias("enough"))
+
+
+def banded_vectors(spark, d):
+    """The banded search, set to miss one in a million, gives the groups of the exact one."""
+    vectors = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.lit(1).alias("n"))
+    return semantic.similar_themes(vectors, 0.4, links=lambda v, t: hyperplanes.banded_links(v, t, recall=0.999999))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -739,6 +752,6 @@ QUERIES: dict[str, Query] = {
         result_rows, batch_stats, session_stats, processing_stats, summary_metrics, theme_count_tables, charted_themes,
         theme_report, report_statistics, analysis_summary, statistics_json, result_json, result_json_confidences,
         batch_json,
-        theme_cooccurrence, similar_vectors, similar_vectors_in_cells, hierarchy_rollup, hierarchy_closure, hierarchy_counts, theme_quality,
+        theme_cooccurrence, similar_vectors, similar_vectors_in_cells, banded_recall, banded_vectors, hierarchy_rollup, hierarchy_closure, hierarchy_counts, theme_quality,
     )
 }

@@ -10,14 +10,14 @@ takes to connect what it found.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.functions.storage import stage, has_more_than
+from themeloom.functions.storage import broadcast_if_small, has_more_than, stage
 from themeloom.options import SIMILARITY_THRESHOLD
 
 CHUNK = 1024
@@ -47,12 +47,7 @@ def similarity_links(
     ``vectors`` has a unique ``id`` and ``embedding``. Not every pair is listed. There is a cell for every
     ``vectors_per_pivot`` vectors.
     """
-    units = stage(unit_vectors(vectors))
-    # Identical vectors meet in one group; only the first goes on.
-    copies = stage(units.groupBy("vector").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")))
-    repeated = copies.filter("n > 1")
-    same = units.join(repeated, "vector").filter(F.col("id") > F.col("b")).select(F.col("id").alias("a"), "b")
-
+    copies, same = distinct_vectors(vectors)
     radius = float(np.sqrt(max(2 - 2 * threshold, 0.0)))
     n_pivots = int(min(MAX_PIVOTS, max(1, copies.count() // vectors_per_pivot)))
     picked = copies.orderBy(F.xxhash64("b"), "b").limit(n_pivots).select("vector").collect()
@@ -68,13 +63,28 @@ def similarity_links(
     core = placed.filter("core")
     centre = core.groupBy("cell").agg(F.min("id").alias("b"))
     near = core.join(F.broadcast(centre), "cell").filter(F.col("id") > F.col("b")).select(F.col("id").alias("a"), "b")
+    return same.unionByName(near).unionByName(compared(placed, threshold)).distinct()
+
+
+def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first of each group of identical unit vectors (``b, vector``), and links ``a, b`` of the others to it."""
+    units = stage(unit_vectors(vectors))
+    copies = stage(units.groupBy("vector").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")))
+    repeated = copies.filter("n > 1")
+    return copies, units.join(repeated, "vector").filter(F.col("id") > F.col("b")).select(F.col("id").alias("a"), "b")
 
+
+def compared(placed: DataFrame, threshold: float) -> DataFrame:
+    """Links ``a, b`` between vectors of a cell: those at home with each other and with the visiting ones.
+
+    ``placed`` is a stored table ``cell, visiting, id, vector``. Cells are cut into chunks of at most about :data:`CHUNK`
+    vectors, and every two chunks that must meet are a group.
+    """
     chunks = lambda role: F.ceil(F.count_if(role) / CHUNK).cast("int")
     sizes = placed.groupBy("cell").agg(
         chunks(~F.col("visiting")).alias("_homes"), chunks(F.col("visiting")).alias("_visits")
     )
-    # At most MAX_PIVOTS cells.
-    sized = placed.join(F.broadcast(sizes), "cell")
+    sized = placed.join(broadcast_if_small(stage(sizes)), "cell")
     chunk = F.pmod(F.xxhash64("id"), F.when(F.col("visiting"), F.col("_visits")).otherwise(F.col("_homes"))).cast("int")
     meet = lambda kind, left, right: F.struct(
         F.lit(kind).alias("kind"), left.alias("left"), right.alias("right")
@@ -99,8 +109,7 @@ def similarity_links(
         )
         .select("cell", "_m.kind", "_m.left", "_m.right", "visiting", "chunk", "id", "vector")
     )
-    met = meetings.groupBy("cell", "kind", "left", "right").applyInPandas(_comparing(threshold), "a long, b long")
-    return same.unionByName(near).unionByName(met).distinct()
+    return meetings.groupBy("cell", "kind", "left", "right").applyInPandas(_comparing(threshold), "a long, b long")
 
 
 def _placing(pivots: np.ndarray, radius: float):
@@ -181,15 +190,18 @@ def connected_groups(links: DataFrame) -> DataFrame:
 
 def similar_themes(
     stats: DataFrame, threshold: float = SIMILARITY_THRESHOLD, key: str = "id", embedding: str = "embedding",
-    vectors_per_pivot: int = VECTORS_PER_PIVOT,
+    vectors_per_pivot: int = VECTORS_PER_PIVOT, links: Callable[[DataFrame, float], DataFrame] | None = None,
 ) -> DataFrame:
     """Merge map of alike themes: ``id, target`` where ``target`` is the most frequent theme of its group.
 
     ``stats`` has a unique numeric ``id``, a count ``n`` and an ``embedding``; ties go to the lower
-    id. Themes alike to no other are left out.
+    id. Themes alike to no other are left out. ``links`` may be another search, such as
+    :func:`themeloom.operators.hyperplanes.banded_links`; without one it is the exact :func:`similarity_links`.
     """
     keyed = stats.select(F.col(key).alias("id"), "n", F.col(embedding).alias("embedding"))
-    groups = connected_groups(similarity_links(keyed.select("id", "embedding"), threshold, vectors_per_pivot))
+    vectors = keyed.select("id", "embedding")
+    found = links(vectors, threshold) if links else similarity_links(vectors, threshold, vectors_per_pivot)
+    groups = connected_groups(found)
     counted = groups.join(keyed.select("id", "n"), "id")
     best = counted.groupBy("group").agg(F.max_by("id", F.struct("n", -F.col("id"))).alias("target"))
     return counted.join(best, "group").select("id", "target")
