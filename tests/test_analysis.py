@@ -166,4 +166,38 @@ def test_from_a_file_to_folders(spark, tmp_path):
     assert facts["input"] == str(source) and facts["load_report"]["original_row_count"] == 9
     assert facts["load_report"]["cleaned_row_count"] == 6 and '"final_theme_count": 2' in facts["settings"]
     assert spark.read.json(f"{out}/statistics/section=analysis_summary").count() == 1
+    assert facts["input_bytes"] == source.stat().st_size
+    metrics = {r["metric"]: r["value"] for r in spark.read.csv(f"{out}/summary", header=True).collect()}
+    assert metrics["Total Entries Processed"] == str(run.results.filter("status != 'error'").count()) and len(metrics) == 16
+    assert spark.read.csv(f"{out}/theme_quality", header=True).filter("theme = 'apple'").first()["status"] in ("ok", "review")
+    assert spark.read.json(f"{out}/analysis_summary").first()["theme_stats"]["themes_merged"] == 1
+
+
+def test_merges_by_name_and_by_embedding_and_a_hierarchy(spark, tmp_path):
+    from themeloom.plans.files import analyze_file
+
+    source = tmp_path / "answers.csv"
+    texts = ["apple pie", "Apple tart", "zebra fish", "mango lassi", "kiwi cake", "cake pie"]
+    source.write_text("person,answer\n" + "".join(f"p{i},{t}\n" for i, t in enumerate(texts)))
+
+    def embed(names):
+        # Baked things are alike, all others are not.
+        order = ["tart", "apple", "zebra", "fish", "mango", "lassi", "kiwi", "pie"]
+        return [[float(o == ("tart" if n == "cake" else n)) for o in order] for n in names]
+
+    merges = spark.createDataFrame([("pie", "tart"), ("fish", "unknown"), ("lassi", "lassi")], "from_theme string, to_theme string")
+    edges = spark.createDataFrame([("fruit", "apple"), ("fruit", "kiwi"), ("food", "fruit"), ("food", "cake")], "parent string, child string")
+    out = str(tmp_path / "out")
+    options = Options(batch_size=2, consolidate=False)
+    run = analyze_file(
+        spark, str(source), out, fake_model, "answer", options, as_of=as_of(), merges=merges, embeddings=embed, edges=edges, schema="person string, answer string"
+    )
+    # pie goes to tart by name, which then has two texts, as has cake; the one seen first stays.
+    assert {r["theme"]: r["target"] for r in run.merge_map.collect()} == {"pie": "tart", "cake": "tart"}
+    by_text = {r["answer"]: r["consolidated_themes"] or r["themes"] for r in analysis.result_table(run, Options(text_column="answer")).collect()}
+    named = {r["row_id"]: r["themes"] for r in run.results.collect()}
+    assert sorted(named.values()) == sorted([["apple", "tart"], ["apple", "tart"], ["zebra", "fish"], ["mango", "lassi"], ["kiwi", "tart"], ["tart"]])
+    assert len(by_text) == 6
+    counts = {r["theme"]: int(r["n_texts"]) for r in spark.read.csv(f"{out}/hierarchy", header=True).collect()}
+    assert counts == {"fruit": 3, "apple": 2, "kiwi": 1, "food": 3, "cake": 0}
     assert spark.read.parquet(f"{out}/responses").count() == run.responses.count()

@@ -181,6 +181,12 @@ def entry_themes(entries: DataFrame, mapping: DataFrame, max_themes: int = MAX_T
     )
 
 
+def remapped(entries: DataFrame, mapping: DataFrame, max_themes: int = MAX_THEMES_PER_TEXT) -> DataFrame:
+    """Replace the ``merged`` themes of each text through one more map, and ``themes``, their first names, with them."""
+    moved = map_themes(entries, mapping, "merged", "_moved")
+    return moved.withColumn("merged", F.col("_moved")).withColumn("themes", F.slice(names("merged"), 1, max_themes)).select(*entries.columns)
+
+
 def average_confidence(pairs: Column | str = "merged") -> Column:
     """Mean confidence of a text's themes, 1.0 if it has none."""
     confidences = F.transform(col(pairs), lambda e: e["confidence"])
@@ -246,17 +252,27 @@ def sorted_themes(stats: DataFrame, k: int | None = None) -> DataFrame:
     return ordered if k is None else ordered.limit(k)
 
 
-def merge_themes(stats: DataFrame, merges: DataFrame) -> DataFrame:
-    """Merge ``from_theme`` into ``to_theme``: counts and confidences add up and the former goes.
+def valid_merges(stats: DataFrame, merges: DataFrame) -> DataFrame:
+    """The rows of ``merges`` (``from_theme, to_theme``) whose themes both exist and differ, each ``from_theme`` once.
 
-    A merge takes place only if both themes exist and differ; each theme is merged once at most.
+    Of several targets for a theme the first by name counts.
     """
     known = stats.select("theme")
-    valid = (
+    return (
         merges.filter(F.col("from_theme") != F.col("to_theme"))
         .join(known.withColumnRenamed("theme", "from_theme"), "from_theme", "left_semi")
         .join(known.withColumnRenamed("theme", "to_theme"), "to_theme", "left_semi")
+        .groupBy("from_theme")
+        .agg(F.min("to_theme").alias("to_theme"))
     )
+
+
+def merge_themes(stats: DataFrame, merges: DataFrame) -> DataFrame:
+    """Merge ``from_theme`` into ``to_theme``: counts and confidences add up and the former goes.
+
+    A merge takes place only if both themes exist and differ; each theme is merged once at most.
+    """
+    valid = valid_merges(stats, merges)
     relabelled = stats.join(
         valid.select(F.col("from_theme").alias("theme"), "to_theme"), "theme", "left"
     ).withColumn("_own", F.col("to_theme").isNull())

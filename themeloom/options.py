@@ -67,6 +67,7 @@ class Options:
     batch_size: int = BATCH_SIZE
     max_themes_per_text: int = MAX_THEMES_PER_TEXT
     case_mode: str = "running"
+    similarity_threshold: float = SIMILARITY_THRESHOLD
     consolidate: bool = True
     final_theme_count: int = FINAL_THEME_COUNT
     mapping_chunk_size: int = MAPPING_CHUNK_SIZE

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions.storage import stage, stage_folder
-from themeloom.operators import batching, cleaning, model, parsing, reports, requests, themes
+from themeloom.operators import batching, cleaning, model, parsing, reports, requests, semantic, themes
 from themeloom.options import Options
 
 Ask = model.Ask
+Embed = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 
 @dataclass(frozen=True)
@@ -25,6 +27,7 @@ class Analysis:
     batches: DataFrame
     responses: DataFrame
     case_map: DataFrame
+    merge_map: DataFrame | None
     theme_map: DataFrame | None
     representatives: tuple[str, ...]
 
@@ -93,6 +96,31 @@ def consolidate(
     return representatives, parsing.theme_mapping(answered, representatives)
 
 
+def merge(
+    merged: DataFrame, merges: DataFrame | None, embeddings: DataFrame | Embed | None, options: Options
+) -> tuple[DataFrame, DataFrame | None]:
+    """Entries after merges by name and by embedding, and both as one map ``theme, target``; None if neither is given."""
+    steps = []
+    if merges is not None:
+        seen = stage(themes.theme_stats(themes.occurrences(merged, "merged")).select("theme"))
+        steps.append(themes.valid_merges(seen, merges).toDF("theme", "target"))
+        merged = stage(themes.remapped(merged, steps[-1], options.max_themes_per_text))
+    if embeddings is not None:
+        stats = stage(themes.distinct_themes(themes.theme_stats(themes.occurrences(merged, "merged"))))
+        if not isinstance(embeddings, DataFrame):
+            embeddings = stage(model.embed_texts(stats.select("theme", F.col("theme").alias("text")), embeddings, "theme"))
+        known = stats.select("theme", F.col("seq").alias("id"), "n").join(embeddings.select("theme", "embedding"), "theme")
+        targets = semantic.similar_themes(known, options.similarity_threshold)
+        steps.append(stage(semantic.theme_map(targets, known.select("id", "theme"))))
+        merged = stage(themes.remapped(merged, steps[-1], options.max_themes_per_text))
+    if len(steps) < 2:
+        return merged, steps[0] if steps else None
+    # What was merged by name into a theme that merged by embedding goes with it.
+    first, then = steps
+    onward = first.join(then.toDF("target", "_next"), "target", "left").select("theme", F.coalesce("_next", "target").alias("target"))
+    return merged, onward.unionByName(then)
+
+
 def analyze(
     source: DataFrame,
     ask: Ask,
@@ -100,11 +128,16 @@ def analyze(
     cache: DataFrame | None = None,
     as_of: Column | None = None,
     known_themes: DataFrame | None = None,
+    merges: DataFrame | None = None,
+    embeddings: DataFrame | Embed | None = None,
 ) -> Analysis:
     """Run an analysis of ``source`` with the model callable ``ask`` (prompt in, reply out).
 
     ``cache`` is a table of earlier responses, ``known_themes`` a theme table of an earlier run. The
     responses to keep for the next run are in ``Analysis.responses``.
+
+    Between the folding of spellings and the consolidation, themes merge as ``merges`` (``from_theme, to_theme``) says, and
+    then those whose ``embeddings`` are alike: a table ``theme, embedding``, or a callable that embeds many names at once.
     """
     as_of = F.current_timestamp() if as_of is None else as_of
     text, row_id = options.text_column, options.row_id
@@ -125,6 +158,7 @@ def analyze(
 
     spelling = themes.case_map(themes.theme_stats(themes.occurrences(entries)), options.case_mode)
     merged = stage(themes.entry_themes(entries, spelling, options.max_themes_per_text))
+    merged, merge_map = merge(merged, merges, embeddings, options)
     representatives: tuple[str, ...] = ()
     theme_map = None
     results = themes.consolidated(merged, None) if options.consolidate else merged.withColumn(
@@ -140,7 +174,7 @@ def analyze(
     responses = answered.filter(~F.col("hit") & F.col("error").isNull()).select(
         "prompt_md5", "response", F.col("ended_at").alias("cached_at")
     )
-    return Analysis(source, texts, results, usage, responses, spelling, theme_map, representatives)
+    return Analysis(source, texts, results, usage, responses, spelling, merge_map, theme_map, representatives)
 
 
 def registry(analysis: Analysis, run: int | None = None, stored: DataFrame | None = None) -> DataFrame:

@@ -59,6 +59,12 @@ def _as_utf8(cell: Column | str) -> Column:
     return F.encode(cell, FALLBACK_ENCODING).cast("string")
 
 
+def total_bytes(spark: SparkSession, path: str | Sequence[str]) -> int:
+    """The size of the files in ``path``; their contents are not read."""
+    listed = spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path))
+    return listed.agg(F.coalesce(F.sum("length"), F.lit(0))).head()[0]
+
+
 def missing_to_null(cell: Column | str, tokens: Sequence[str] = NA_TOKENS) -> Column:
     """A cell, or null if it is a missing-value token."""
     cell = F.col(cell) if isinstance(cell, str) else cell
