@@ -402,6 +402,32 @@ FINAL["banded_vectors"] = """, pairs as materialized (select a.vec_id as a, b.ve
         and list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.4),
     reach as (select a as id, a as other from pairs union select r.id, p.b from reach r join pairs p on p.a = r.other)
     select id, min(other) as target from reach group by id"""
+CTES["documents_whole"] = """select p.batch_id, p.pos, p.row_id, md5(concat_ws('~', d.text, p.summary,
+        coalesce((select string_agg(theme, '|' order by rk) from run_kept k where k.row_id = p.row_id), ''),
+        coalesce((select string_agg(theme || ':' || round(confidence * 100)::int, '|' order by theme) from run_merged k where k.row_id = p.row_id), ''),
+        coalesce((select string_agg(theme, '|' order by pos) from parsed_occ k where k.row_id = p.row_id), ''),
+        coalesce((select string_agg(theme || ':' || round(confidence * 100)::int, '|' order by theme) from parsed_occ k where k.row_id = p.row_id), ''),
+        coalesce((select string_agg(theme, '|' order by rk) from run_final k where k.row_id = p.row_id), ''))) as document
+    from parsed p join documents d on d.doc_id = p.row_id"""
+FINAL["result_variants"] = "select row_id, document from documents_whole"
+FINAL["batch_json"] = FINAL["batch_variants"] = f"""select b.batch_id, (select string_agg(document, ',' order by pos) from documents_whole w where w.batch_id = b.batch_id) as results,
+        s.start_us, s.end_us, b.duration_seconds as processing_duration, b.tokens_used, b.api_calls, s.errors, b.average_confidence, b.success_rate,
+        (select string_agg(theme || ':' || n, '|' order by theme) from (select k.theme, count(*) as n from run_kept k join answered a on a.row_id = k.row_id
+            where a.batch_id = b.batch_id group by k.theme)) as themes_summary
+    from ({FINAL["batch_stats"]}) b join spans s on s.batch_id = b.batch_id"""
+_SESSION = ("total_batches", "total_entries", "total_tokens_used", "total_api_calls", "session_duration", "average_batch_size", "tokens_per_entry",
+            "unique_themes", "average_themes_per_entry", "overall_confidence")
+_PROCESSING = ("total_batches", "total_texts_processed", "failed_batches", "success_rate", "total_processing_time", "average_time_per_batch", "batch_size")
+FINAL["analysis_summary"] = f"""select {", ".join(f"s.{c} as session_stats_{c}" for c in _SESSION)}, {", ".join(f"p.{c} as processing_stats_{c}" for c in _PROCESSING)},
+    (select count(*) from reg) as theme_stats_unique_themes, (select count(distinct theme) - count(distinct lower(theme)) from parsed_occ) as theme_stats_themes_merged,
+    (select sum(n)::bigint from reg) as theme_stats_total_occurrences, (select sum(n)::bigint from reg) as theme_stats_total_themes_processed,
+    (select string_agg(theme || ' ' || n, '|' order by n desc, seen) from (select * from reg order by n desc, seen limit 10)) as top_themes
+    from ({FINAL["session_stats"]}) s, ({FINAL["processing_stats"]}) p"""
+FINAL["parsed_consolidation"] = """, listed as (select source, unnest(range(len(l))) as i, unnest(l) as theme from
+        (select source, list_sort(list(distinct theme)) as l from occ group by source)),
+    said as (select source, 2 * i as spot, theme from listed union all select source, 2 * i + 1, lower(theme) from listed),
+    placed as (select source, theme, row_number() over (partition by source order by min(spot)) as k from said group by source, theme)
+    select source, string_agg(theme, '|' order by k) as names from placed where k <= 10 group by source"""
 FINAL["journaled_inference"] = """select batch_id, case when batch_id % 2 = 0 and length(prompt) <= 100000
     then '1: ' || length(prompt) || ' characters|Length (90%)' else 'late' end as response, null::varchar as error from prompts"""
 FINAL["calls_by_kind"] = f"""select prompt_md5, kind || prompt_length as response from (

@@ -331,13 +331,11 @@ def parsed_themes(spark, d):
 
 
 def _list_reply(spark, d):
-    """A consolidation reply per source: its themes by letter, numbered, with bullets and prose between."""
+    """A consolidation reply per source: prose, then each of its themes numbered and, in small letters, with a bullet."""
     occ = fx.occurrences(spark, d).join(fx.documents(spark, d).select("row_id", "source"), "row_id")
-    per_source = occ.groupBy("source").agg(F.sort_array(F.collect_set(F.upper(F.substring("theme", 1, 2)))).alias("_l"))
-    numbered = F.transform("_l", lambda t, i: F.concat((i + 1).cast("string"), F.lit(". "), t))
-    dashed = F.transform("_l", lambda t: F.concat(F.lit("- "), F.lower(t)))
-    reply = F.concat(F.array(F.lit("Here they are")), F.slice(numbered, 1, 4), dashed, numbered)
-    return per_source.select("source", F.array_join(reply, "\n").alias("response"))
+    per_source = occ.groupBy("source").agg(F.sort_array(F.collect_set("theme")).alias("_l"))
+    lines = F.transform("_l", lambda t, i: F.array(F.concat((i + 1).cast("string"), F.lit(". "), t), F.concat(F.lit("- "), F.lower(t))))
+    return per_source.select("source", F.array_join(F.concat(F.array(F.lit("Here they are")), F.flatten(lines)), "\n").alias("response"))
 
 
 def parsed_consolidation(spark, d):
@@ -600,19 +598,13 @@ def _registry_and_merged(results):
 
 
 def analysis_summary(spark, d):
+    """All fields of the summary."""
     results, batches = fx.run(spark, d)
     df = reports.analysis_summary(results, batches, *_registry_and_merged(results))
     top = F.transform("top_themes", lambda t: F.concat(t["name"], F.lit(" "), t["frequency"].cast("string")))
-    return df.select(
-        "session_stats.total_batches",
-        "session_stats.total_entries",
-        F.round("session_stats.overall_confidence", 6).alias("overall_confidence"),
-        "theme_stats.unique_themes",
-        "theme_stats.themes_merged",
-        "theme_stats.total_occurrences",
-        "processing_stats.failed_batches",
-        _bar(top).alias("top_themes"),
-    )
+    parts = [(p, f) for p in ("session_stats", "theme_stats", "processing_stats") for f in df.schema[p].dataType.fields]
+    value = lambda p, f: F.round(f"{p}.{f.name}", 6) if f.dataType.simpleString() == "double" else F.col(f"{p}.{f.name}")
+    return df.select(*[value(p, f).alias(f"{p}_{f.name}") for p, f in parts], _bar(top).alias("top_themes"))
 
 
 def statistics_json(spark, d):
@@ -645,24 +637,58 @@ def result_json_confidences(spark, d):
     return parts[0].unionByName(parts[1]).select("row_id", "kind", "theme", _r6("confidence", "confidence"))
 
 
-def batch_json(spark, d):
-    results, batches = fx.run(spark, d)
-    documents = reports.result_documents(results, fx.documents(spark, d))
-    doc = F.from_json(
-        "json",
-        "results array<struct<summary:string>>, tokens_used bigint, themes_summary map<string,bigint>, processing_duration double",
-    )
-    read = reports.batch_json(documents, results, batches).select("batch_id", doc.alias("d"))
-    return read.select(
+RESULT_FIELDS = (
+    "original_text string, summary string, themes array<string>, theme_confidences map<string,double>, original_themes array<string>, "
+    "original_theme_confidences map<string,double>, consolidated_themes array<string>"
+)
+
+
+def _whole_results(results: Column) -> Column:
+    """All fields of an array of result documents, each document as a digest."""
+    sure = lambda m: _bar(F.transform(F.array_sort(F.map_entries(F.coalesce(m, F.create_map().cast("map<string,double>")))), lambda e: F.concat(e["key"], F.lit(":"), F.round(e["value"] * 100).cast("int").cast("string"))))
+    whole = lambda r: F.md5(F.concat_ws("~", r["original_text"], r["summary"], _bar(r["themes"]), sure(r["theme_confidences"]), _bar(r["original_themes"]), sure(r["original_theme_confidences"]), _bar(r["consolidated_themes"])).cast("binary"))
+    return F.array_join(F.transform(results, whole), ",")
+
+
+def _whole_batches(documents: DataFrame) -> DataFrame:
+    """All ten fields of batch documents (a VARIANT), read by path."""
+    field = lambda path, kind: F.variant_get("document", f"$.{path}", kind)
+    counts = F.array_sort(F.map_entries(field("themes_summary", "map<string,bigint>")))
+    return documents.select(
         "batch_id",
-        "d.tokens_used",
-        F.size("d.results").cast("bigint").alias("n_results"),
-        _bar("d.results.summary").alias("summaries"),
-        F.aggregate(F.map_values("d.themes_summary"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_themes"),
-        F.round("d.processing_duration", 6).alias("processing_duration"),
+        _whole_results(field("results", f"array<struct<{RESULT_FIELDS.replace(' ', ': ').replace(',: ', ', ')}>>")).alias("results"),
+        F.unix_micros(field("processing_start", "timestamp")).alias("start_us"),
+        F.unix_micros(field("processing_end", "timestamp")).alias("end_us"),
+        _r6(field("processing_duration", "double"), "processing_duration"),
+        field("tokens_used", "bigint").alias("tokens_used"),
+        field("api_calls", "bigint").alias("api_calls"),
+        _bar(field("errors", "array<string>")).alias("errors"),
+        _bar(F.transform(counts, lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))).alias("themes_summary"),
+        _r6(field("average_confidence", "double"), "average_confidence"),
+        _r6(field("success_rate", "double"), "success_rate"),
     )
 
 
+def batch_json(spark, d):
+    results, batches = fx.run(spark, d)
+    written = reports.batch_json(reports.result_documents(results, fx.documents(spark, d)), results, batches)
+    return _whole_batches(written.select("batch_id", F.parse_json("json").alias("document")))
+
+
+def batch_variants(spark, d):
+    """Batch documents kept as VARIANT in a table."""
+    results, batches = fx.run(spark, d)
+    return _whole_batches(stage(reports.batch_variants(reports.result_documents(results, fx.documents(spark, d)), results, batches)))
+
+
+def result_variants(spark, d):
+    """All fields of result documents kept as VARIANT in a table."""
+    results, _ = fx.run(spark, d)
+    kept = stage(reports.result_variants(results, fx.documents(spark, d)))
+    whole = F.variant_get("document", "$", f"struct<{RESULT_FIELDS.replace(' ', ': ').replace(',: ', ', ')}>")
+    return kept.select("row_id", _whole_results(F.array(whole)).alias("document"))
+
+
 # Advertised features
 
 
@@ -751,7 +777,7 @@ QUERIES: dict[str, Query] = {
         merge_outcome, top_themes, theme_totals, theme_lookup, theme_examples, known_themes,
         result_rows, batch_stats, session_stats, processing_stats, summary_metrics, theme_count_tables, charted_themes,
         theme_report, report_statistics, analysis_summary, statistics_json, result_json, result_json_confidences,
-        batch_json,
+        batch_json, batch_variants, result_variants,
         theme_cooccurrence, similar_vectors, similar_vectors_in_cells, banded_recall, banded_vectors, hierarchy_rollup, hierarchy_closure, hierarchy_counts, theme_quality,
     )
 }

@@ -332,8 +332,14 @@ def result_json(results: DataFrame, texts: DataFrame, text: str = "text", row_id
     return result_documents(results, texts, text, row_id).withColumn("json", F.to_json("document")).drop("document")
 
 
-def batch_json(documents: DataFrame, results: DataFrame, batches: DataFrame) -> DataFrame:
-    """Each batch as JSON around the :func:`result_documents` of its texts, no more than a batch holds."""
+def result_variants(results: DataFrame, texts: DataFrame, text: str = "text", row_id: str = "row_id") -> DataFrame:
+    """Each result as a VARIANT: ``row_id, batch_id, pos, document``. Its fields are read by path, whatever else it holds."""
+    return result_documents(results, texts, text, row_id).withColumn("document", F.to_variant_object("document"))
+
+
+def batch_documents(documents: DataFrame, results: DataFrame, batches: DataFrame) -> DataFrame:
+    """Each batch as a nested document around the :func:`result_documents` of its texts, no more than a batch holds:
+    ``batch_id, document``."""
     nested = documents.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("pos", "document")), _by_pos).alias("_docs"))
     themes = (
         exploded(answered(results), "themes", "batch_id")
@@ -360,10 +366,20 @@ def batch_json(documents: DataFrame, results: DataFrame, batches: DataFrame) ->
         .join(spans, "batch_id")
         .join(themes, "batch_id", "left")
         .join(nested, "batch_id", "left")
-        .select("batch_id", F.to_json(document).alias("json"))
+        .select("batch_id", document.alias("document"))
     )
 
 
+def batch_json(documents: DataFrame, results: DataFrame, batches: DataFrame) -> DataFrame:
+    """Each of the :func:`batch_documents` as JSON: ``batch_id, json``."""
+    return batch_documents(documents, results, batches).select("batch_id", F.to_json("document").alias("json"))
+
+
+def batch_variants(documents: DataFrame, results: DataFrame, batches: DataFrame) -> DataFrame:
+    """Each of the :func:`batch_documents` as a VARIANT: ``batch_id, document``."""
+    return batch_documents(documents, results, batches).select("batch_id", F.to_variant_object("document").alias("document"))
+
+
 def _by_pos(a: Column, b: Column) -> Column:
     # Documents hold maps, which have no order of their own.
     return a["pos"] - b["pos"]
