@@ -423,10 +423,10 @@ FINAL["analysis_summary"] = f"""select {", ".join(f"s.{c} as session_stats_{c}"
     (select sum(n)::bigint from reg) as theme_stats_total_occurrences, (select sum(n)::bigint from reg) as theme_stats_total_themes_processed,
     (select string_agg(theme || ' ' || n, '|' order by n desc, seen) from (select * from reg order by n desc, seen limit 10)) as top_themes
     from ({FINAL["session_stats"]}) s, ({FINAL["processing_stats"]}) p"""
-FINAL["parsed_consolidation"] = """, listed as (select source, unnest(range(len(l))) as i, unnest(l) as theme from
+FINAL["parsed_consolidation"] = """, named_by as (select source, unnest(range(len(l))) as i, unnest(l) as theme from
         (select source, list_sort(list(distinct theme)) as l from occ group by source)),
-    said as (select source, 2 * i as spot, theme from listed union all select source, 2 * i + 1, lower(theme) from listed),
-    placed as (select source, theme, row_number() over (partition by source order by min(spot)) as k from said group by source, theme)
+    told as (select source, 2 * i as spot, theme from named_by union all select source, 2 * i + 1, lower(theme) from named_by),
+    placed as (select source, theme, row_number() over (partition by source order by min(spot)) as k from told group by source, theme)
     select source, string_agg(theme, '|' order by k) as names from placed where k <= 10 group by source"""
 FINAL["journaled_inference"] = """select batch_id, case when batch_id % 2 = 0 and length(prompt) <= 100000
     then '1: ' || length(prompt) || ' characters|Length (90%)' else 'late' end as response, null::varchar as error from prompts"""
