@@ -175,8 +175,8 @@ def hinted_batch_requests(spark, d):
 
 
 def _examples(spark, d):
-    # Ranks and totals both read the occurrences.
-    return themes.theme_examples(freeze(fx.occurrences(spark, d)), fx.documents(spark, d))
+    occ = stage(fx.occurrences(spark, d))
+    return themes.theme_examples(occ, fx.documents(spark, d), stats=themes.theme_stats(occ))
 
 
 def theme_writeup_requests(spark, d):

@@ -183,6 +183,21 @@ def test_containment_equals_the_nested_loop(spark, seed):
     assert suggestions(spark, names, k=25) == pairs[:25]
 
 
+def test_many_short_themes_are_joined(spark, monkeypatch):
+    names = ["a", "b", "ab", "ba", "abba", "bb", "c", "xyz", "xy", "A"]
+    expected = containment_rule(names)
+    assert suggestions(spark, names, k=None) == expected
+    monkeypatch.setattr(similar, "SHORT_THEMES", 3)
+    assert suggestions(spark, names, k=None) == expected
+
+
+def test_totals_may_come_from_the_counts(spark):
+    occ = themes.occurrences(named(spark, ["a", "b"], ["a"], ["a"]))
+    plain = sorted(map(tuple, themes.example_rows(occ, 2).collect()))
+    assert sorted(map(tuple, themes.example_rows(occ, 2, themes.theme_stats(occ)).collect())) == plain
+    assert {(r[0], r[3]) for r in plain} == {("a", 3), ("b", 1)}
+
+
 def test_cooccurrence(spark):
     df = spark.createDataFrame([(0, ["b", "a"]), (1, ["a", "b", "c"]), (2, ["a"]), (3, [])], "row_id bigint, themes array<string>")
     rows = {(r["theme1"], r["theme2"]): (r["n_both"], r["n1"], r["n2"], round(r["jaccard"], 3)) for r in similar.cooccurrence(df).collect()}

@@ -21,25 +21,37 @@ def _grams(c: str, n: int) -> Column:
     return F.when(count > 0, F.array_distinct(windows)).otherwise(F.array().cast("array<string>"))
 
 
+# Short themes up to this many are looked for in each text as one list; there are few of one or two letters.
+SHORT_THEMES = 4_096
+
+
 def containment_pairs(themes: DataFrame) -> DataFrame:
     """Pairs ``seq1 < seq2`` of themes (``theme, seq``) where one contains the other, ignoring case.
 
     A theme can only lie in a theme that has its rarest trigram, so each looks up the themes
-    with that one trigram. Themes of one or two characters look up by their whole text. Lookups carry
-    numbers and trigrams only; the texts of what they find are fetched and checked.
+    with that one trigram. Lookups carry numbers and trigrams only; the texts of what they find are fetched
+    and checked. Themes of one or two characters are looked up by their whole text, and of a theme's pieces of that length only those that are
+    such a theme leave its row: the list of them goes to every task if it is at most :data:`SHORT_THEMES` long, and is joined
+    if it is longer.
     """
     folded = stage(themes.select("seq", F.lower("theme").alias("text")).filter(F.col("text") != ""))
     postings = stage(exploded(folded, _grams("text", 3), "seq").select("seq", F.col("_entry").alias("gram")))
     counts = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = postings.join(counts, "gram").groupBy("seq").agg(F.min(F.struct("n", "gram")).alias("_rarest"))
-    short = stage(folded.filter(F.length("text") < 3).select("seq", F.col("text").alias("gram")))
-    pieces = exploded(folded, F.concat(_grams("text", 1), _grams("text", 2)), "seq").select("seq", F.col("_entry").alias("gram"))
 
     def looked_up(inner: DataFrame, outer: DataFrame) -> DataFrame:
         found = inner.join(outer.withColumnRenamed("seq", "_out"), "gram")
         return found.filter(F.col("seq") != F.col("_out")).select(F.col("seq").alias("_in"), "_out")
 
-    candidates = looked_up(rarest.select("seq", "_rarest.gram"), postings).unionByName(looked_up(broadcast_if_small(short), pieces))
+    candidates = looked_up(rarest.select("seq", "_rarest.gram"), postings)
+    short = folded.filter(F.length("text") < 3).select("seq", F.col("text").alias("gram"))
+    listed = [r["gram"] for r in short.select("gram").distinct().limit(SHORT_THEMES + 1).collect()]
+    if listed:
+        pieces = F.concat(_grams("text", 1), _grams("text", 2))
+        if len(listed) <= SHORT_THEMES:
+            pieces = F.array_intersect(pieces, F.array(*[F.lit(g) for g in listed]))
+        held = exploded(folded, pieces, "seq").select("seq", F.col("_entry").alias("gram"))
+        candidates = candidates.unionByName(looked_up(broadcast_if_small(stage(short)), held))
     inner = folded.select(F.col("seq").alias("_in"), F.col("text").alias("_inner"))
     outer = folded.select(F.col("seq").alias("_out"), F.col("text").alias("_outer"))
     held = candidates.join(inner, "_in").join(outer, "_out").filter(F.col("_outer").contains(F.col("_inner")))
@@ -50,6 +62,7 @@ def containment_pairs(themes: DataFrame) -> DataFrame:
 def merge_suggestions(themes: DataFrame, k: int | None = 10) -> DataFrame:
     """Containment pairs as suggestions ``theme1, theme2, similarity, recommendation``: the first ``k`` in
     theme order, or all."""
+    themes = stage(themes.select("seq", "theme"))
     pairs = containment_pairs(themes)
     if k is not None:
         pairs = pairs.orderBy("seq1", "seq2").limit(k)

@@ -326,26 +326,27 @@ def theme_lookup(stats: DataFrame, themes: DataFrame) -> DataFrame:
     )
 
 
-def example_rows(occ: DataFrame, k: int = MAX_EXAMPLES) -> DataFrame:
+def example_rows(occ: DataFrame, k: int = MAX_EXAMPLES, stats: DataFrame | None = None) -> DataFrame:
     """The first ``k`` texts of each theme by id, with the total: ``theme, rank, row_id, total``.
 
-    Every task passes on no more than ``k`` rows per theme.
+    Every task passes on no more than ``k`` rows per theme. With the theme counts ``stats`` (``theme, n``) at hand the
+    occurrences are read once.
     """
     order = Window.partitionBy("theme").orderBy("row_id")
     pairs = occ.select("theme", "row_id")
     first = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    totals = pairs.groupBy("theme").agg(F.count(F.lit(1)).alias("total"))
+    totals = pairs.groupBy("theme").agg(F.count(F.lit(1)).alias("total")) if stats is None else stats.select("theme", F.col("n").alias("total"))
     return first.join(totals, "theme").select("theme", F.col("rank").cast("bigint").alias("rank"), "row_id", "total")
 
 
 def theme_examples(
-    occ: DataFrame, texts: DataFrame, text: str = "text", k: int = MAX_EXAMPLES, row_id: str = "row_id"
+    occ: DataFrame, texts: DataFrame, text: str = "text", k: int = MAX_EXAMPLES, row_id: str = "row_id", stats: DataFrame | None = None
 ) -> DataFrame:
     """The first ``k`` texts of each theme with the total: ``theme, rank, row_id, text, total``.
 
     Texts are fetched for the chosen rows, and are not moved if those are few.
     """
-    chosen = broadcast_if_small(stage(example_rows(occ, k)))
+    chosen = broadcast_if_small(stage(example_rows(occ, k, stats)))
     wanted = texts.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"))
     return wanted.join(chosen, "row_id").select("theme", "rank", "row_id", "text", "total")
 
