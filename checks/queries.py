@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from themeloom.functions.storage import freeze, stage, stage_folder
 from themeloom.functions.text import names
-from themeloom.operators import batching, cleaning, hierarchy, hyperplanes, model, parsing, reports, requests, semantic, similar, themes, tokens
+from themeloom.operators import batching, cleaning, hierarchy, hyperplanes, model, parsing, reports, requests, semantic, similar, sketches, themes, tokens
 from themeloom.options import Options
 from themeloom.plans import analysis
 from themeloom.sources import files, sinks
@@ -132,6 +132,19 @@ def token_distribution(spark, d):
     return df.withColumn("mean_tokens", F.round("mean_tokens", 6))
 
 
+def sketched_bounds(spark, d):
+    """Three runs, their sketches stored and merged: exact figures, and whether the estimates keep to their bounds."""
+    counted, occ = stage(_counted(spark, d).select("row_id", "n_tokens")), stage(fx.occurrences(spark, d).select("row_id", "theme"))
+    run = F.col("row_id") % 3
+    rows = [stage(sketches.run_sketches(counted.filter(run == k), occ.filter(run == k), k)) for k in range(3)]
+    found = stage(sketches.sketched_distribution(sketches.merge_sketches(reduce(DataFrame.unionByName, rows))))
+    distinct = occ.agg(F.countDistinct("theme")).head()[0]
+    checked = sketches.bounds_check(found, tokens.token_histogram(counted), F.lit(distinct))
+    exact = ("total_texts", "total_tokens", "min_tokens", "max_tokens", "total_occurrences")
+    figures = found.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("bigint").alias("exact")) for c in exact])).alias("f")).select("f.*")
+    return checked.select("measure", F.lit(None).cast("bigint").alias("exact"), "within").unionByName(figures.withColumn("within", F.lit(True)))
+
+
 def batch_size_recommendation(spark, d):
     return tokens.batch_size_recommendation(_counted(spark, d))
 
@@ -764,7 +777,7 @@ QUERIES: dict[str, Query] = {
     for q in (
         missing_cells, decoded_texts, csv_files, tsv_files, flat_results,
         load_report, clean_texts, streamed_first_copies, clean_conversations,
-        token_counts, token_distribution, batch_size_recommendation, cost_forecast, prompt_token_estimate, usage_cost,
+        token_counts, token_distribution, sketched_bounds, batch_size_recommendation, cost_forecast, prompt_token_estimate, usage_cost,
         fixed_batches, packed_batches,
         batch_requests, hinted_batch_requests, theme_writeup_requests, quote_requests, pair_requests, mapping_requests,
         consolidation_request, consolidation_rounds,

@@ -14,10 +14,26 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.fixture
+def written(spark, monkeypatch):
+    """The plans of all tables that are staged or frozen on the way."""
+    plans = []
+    frame, writer = type(spark.range(1)), type(spark.range(1).write)
+    parquet, checkpoint = writer.parquet, frame.checkpoint
+    monkeypatch.setattr(writer, "parquet", lambda self, *a, **k: plans.append(plan(self._df)) or parquet(self, *a, **k))
+    monkeypatch.setattr(frame, "checkpoint", lambda self, *a, **k: plans.append(plan(self)) or checkpoint(self, *a, **k))
+    return plans
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_plan_joins_every_row_with_every_row(spark, name):
-    text = plan(QUERIES[name](spark, SF))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+def test_no_plan_joins_every_row_with_every_row(spark, name, written):
+    for text in [plan(QUERIES[name](spark, SF)), *written]:
+        assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_plans_on_the_way_are_seen(spark, written):
+    QUERIES["hierarchy_closure"](spark, SF)
+    assert len(written) > 3
 
 
 def test_filters_and_columns_reach_the_scan(spark):
