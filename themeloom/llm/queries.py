@@ -109,15 +109,26 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 LLM_ORACLES: dict[str, str] = {
+    # Words with their places; a unit ends with its line, or with a word that ends in a full stop or the like.
     "op5_substring_dedup": """
-        with l as (select doc_id, unnest(string_split(text, chr(10))) as part, unnest(range(len(string_split(text, chr(10))))) as unit
+        with pieces as (select doc_id, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+')) as piece,
+                unnest(range(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+')))) as i
             from documents where text is not null and doc_id is not null),
-        p as (select *, sum(length(part) + 1) over (partition by doc_id order by unit) - length(part) - 1 as start, regexp_extract_all(
-            translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as words from l),
-        k as (select *, row_number() over same as place, min(doc_id) over (partition by words) as keep_id from p
-            where len(words) >= 20 window same as (partition by words order by doc_id, unit))
-        select doc_id, unit, start::bigint as start, (start + length(part))::bigint as "end", len(words)::bigint as n_words, keep_id
-        from k where place > 1""",
+        placed as (select *, sum(length(piece)) over (partition by doc_id order by i) as stop, lag(piece) over (partition by doc_id order by i) as before,
+            lag(piece, 2) over (partition by doc_id order by i) as word_before from pieces),
+        words as (select doc_id, i, piece, stop - length(piece) as start, stop, word_before is not null and contains(before, chr(10)) as new_line,
+            word_before is not null and right(word_before, 1) in ('.', '!', '?') as new_sentence from placed where not regexp_matches(piece, '^[\\x20\\x09-\\x0D]')),
+        numbered as (
+            select doc_id, 'line' as kind, i, piece, start, stop, sum(new_line::int) over (partition by doc_id order by i) as unit from words union all
+            select doc_id, 'sentence', i, piece, start, stop, sum(new_sentence::int) over (partition by doc_id order by i) from words),
+        units as (select doc_id, kind, unit, min(start) as start, max(stop) as stop, count(*) as n_words,
+            string_agg(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' order by i) as plain from numbered group by doc_id, kind, unit),
+        ranked as (select *, row_number() over same as place, min(doc_id) over (partition by kind, plain) as keep_id from units
+            window same as (partition by kind, plain order by doc_id, unit)),
+        runs as (select *, unit - row_number() over (partition by doc_id, kind order by unit) as run from ranked where place > 1),
+        weighed as (select *, sum(n_words) over (partition by doc_id, kind, run) as run_words from runs)
+        select doc_id, kind, unit::bigint as unit, start::bigint as start, stop::bigint as "end", n_words::bigint as n_words, keep_id
+        from weighed where run_words >= 20""",
     "op3_exact_dedup": """
         with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as norm from documents)
         select doc_id, min(doc_id) over same as keep_id, count(*) over same as group_size,

@@ -1,30 +1,44 @@
-"""Repeated passages: hashing of lines or paragraphs over the whole corpus.
-
-A unit (a line, or a paragraph between blank lines) is normalised and replaced by its digest; digests
-are grouped over all documents, the earliest unit by (document id, place in the document) stays and
-later ones go. Only digests and places are shuffled, and partial aggregation folds a passage that very
-many documents share to one row per task. Removed units keep their offsets in the original text.
+"""Repeated passages: hashing of lines, paragraphs or sentences over the whole corpus.
+
+A unit (a line, a paragraph between blank lines, or a sentence, in which line breaks are folded) is normalised and replaced
+by its digest; digests are grouped over all documents, the earliest unit by (document id, place in the
+document) stays and later ones are repeated. Repeated units that follow each other are a run, and runs of enough words
+go: single short lines repeat by chance or by form, passages do not. Only digests and places are shuffled, and
+partial aggregation folds a passage that very many documents share to one row per task. Removed units keep
+their offsets in the original text.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.functions.storage import broadcast_if_small, stage
 
-# Units with fewer words stay: short lines repeat by chance or by form.
+# Runs of repeated units with fewer words stay.
 MIN_WORDS = 20
-LINE, PARAGRAPH = "\n", "\n\n"
+LINE, PARAGRAPH, SENTENCE = "line", "paragraph", "sentence"
+KINDS = (LINE, SENTENCE)
 _DIGEST_BYTES = 16
 # Units handed on at a time, which bounds memory when one text has very many.
 _ROWS = 50_000
 
-_SCHEMA = "doc_id bigint, unit bigint, start bigint, end bigint, n_words bigint, first boolean, digest binary"
+_SPACE = r"\x20\x09-\x0d"
+_PATTERNS = {
+    LINE: re.compile(r"[^\n]+"),
+    # Up to a blank line.
+    PARAGRAPH: re.compile(rf"(?![{_SPACE}]).+?(?=\n[{_SPACE}]*\n|\Z)", re.S),
+    # Up to a word that ends in one of these marks.
+    SENTENCE: re.compile(rf"(?![{_SPACE}]).+?(?:(?<=[.!?])(?=[{_SPACE}]|\Z)|\Z)", re.S),
+}
+_ASCII_SPACE = " \t\n\x0b\x0c\r"
+
+_SCHEMA = "doc_id bigint, kind string, unit bigint, start bigint, end bigint, n_words bigint, first boolean, digest binary"
 
 
 def normalised(unit: str) -> bytes:
@@ -32,33 +46,37 @@ def normalised(unit: str) -> bytes:
     return b" ".join(unit.encode("utf-8", "surrogatepass").lower().split())
 
 
-def units_of(text: str | None, separator: str, min_words: int) -> Iterator[tuple]:
-    """(unit, start, end, n_words, first with its digest in the text, digest) of every long unit of a text."""
+def units_of(text: str | None, kind: str) -> Iterator[tuple]:
+    """(kind, unit, start, end, n_words, first with its digest in the text, digest) of the units of a text that have a word,
+    numbered in order; white space around a unit is not part of it."""
     seen: set[bytes] = set()
-    start = 0
-    for number, part in enumerate((text or "").split(separator)):
-        plain = normalised(part)
-        words = plain.count(b" ") + 1 if plain else 0
-        if words >= min_words and words:
-            key = hashlib.blake2b(plain, digest_size=_DIGEST_BYTES).digest()
-            yield number, start, start + len(part), words, key not in seen, key
-            seen.add(key)
-        start += len(part) + len(separator)
-
-
-def units(docs: DataFrame, id_column: str, text_column: str, separator: str, min_words: int) -> DataFrame:
-    """One row per long unit of every text, with its place and digest."""
+    number = 0
+    for match in _PATTERNS[kind].finditer(text or ""):
+        part = match.group().rstrip(_ASCII_SPACE)
+        shown = part.lstrip(_ASCII_SPACE)
+        if not shown:
+            continue
+        plain = normalised(shown)
+        key = hashlib.blake2b(plain, digest_size=_DIGEST_BYTES).digest()
+        yield kind, number, match.start() + len(part) - len(shown), match.start() + len(part), plain.count(b" ") + 1, key not in seen, key
+        seen.add(key)
+        number += 1
+
+
+def units(docs: DataFrame, id_column: str, text_column: str, kinds: Sequence[str]) -> DataFrame:
+    """One row per unit of every text, with its place and digest."""
     columns = [c.split()[0] for c in _SCHEMA.split(", ")]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                for unit in units_of(text, separator, min_words):
-                    rows.append((doc_id, *unit))
-                    if len(rows) >= _ROWS:
-                        yield pd.DataFrame(rows, columns=columns)
-                        rows = []
+                for kind in kinds:
+                    for unit in units_of(text, kind):
+                        rows.append((doc_id, *unit))
+                        if len(rows) >= _ROWS:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows = []
         if rows:
             yield pd.DataFrame(rows, columns=columns)
 
@@ -70,37 +88,58 @@ def repeated_units(
     docs: DataFrame,
     id_column: str = "doc_id",
     text_column: str = "text",
-    separator: str = LINE,
+    kinds: Sequence[str] = KINDS,
     min_words: int = MIN_WORDS,
 ) -> DataFrame:
-    """The units to remove: doc_id, unit (number in the text), start, end (code points, end exclusive),
-    n_words, keep_id (the document whose unit stays).
-
-    Units are equal if they are after :func:`normalised`. Of equal units the first one of the document
-    with the smallest id stays. Units under ``min_words`` words, null and empty texts and rows without an
-    id give none. Rows that repeat an id are taken for one document: their first units all stay. Other
-    columns are not looked at. An empty table gives an empty result.
+    """The units to remove: doc_id, kind, unit (number among the units of its kind in the text), start, end (code points, end
+    exclusive), n_words, keep_id (the document whose unit stays).
+
+    Units are equal if they are of one kind and equal after :func:`normalised`. Of equal units the first one of the document
+    with the smallest id stays, and the others are repeated; those in runs of consecutive repeated units of at least
+    ``min_words`` words together are to go. A passage may be found as lines and as sentences; their spans overlap.
+    Null and empty texts and rows without an id give none. Rows that repeat an id are taken for one document: their first
+    units all stay. Other columns are not looked at. An empty table gives an empty result.
     """
-    found = stage(units(docs, id_column, text_column, separator, min_words))
-    groups = found.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    found = stage(units(docs, id_column, text_column, kinds))
+    groups = found.groupBy("kind", "digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     shared = stage(groups.filter("n > 1").drop("n"))
     later = (F.col("doc_id") > F.col("keep_id")) | ~F.col("first")
-    return found.join(broadcast_if_small(shared), "digest").filter(later).select("doc_id", "unit", "start", "end", "n_words", "keep_id")
-
-
-def remove_units(docs: DataFrame, removed: DataFrame, id_column: str = "doc_id", text_column: str = "text", separator: str = LINE) -> DataFrame:
-    """``docs`` with the units in ``removed`` (of :func:`repeated_units`) cut from the text, each with one separator."""
-    per_doc = removed.groupBy(F.col("doc_id").alias(id_column)).agg(F.collect_set("unit").alias("_units"))
+    repeated = found.join(broadcast_if_small(shared), ["kind", "digest"]).filter(later)
+    # Consecutive numbers differ from their rank by the same amount.
+    text = Window.partitionBy("doc_id", "kind")
+    run = F.col("unit") - F.dense_rank().over(text.orderBy("unit"))
+    words = F.sum("n_words").over(Window.partitionBy("doc_id", "kind", "_run"))
+    return (
+        repeated.withColumn("_run", run)
+        .withColumn("_words", words)
+        .filter(F.col("_words") >= min_words)
+        .select("doc_id", "kind", "unit", "start", "end", "n_words", "keep_id")
+    )
+
+
+def remove_units(docs: DataFrame, removed: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with the units in ``removed`` (of :func:`repeated_units`) cut from the text, each with the white space after it, or
+    before it at the end of the text."""
+    spans = removed.groupBy(F.col("doc_id").alias(id_column)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_s"))
+    spans = spans.select(id_column, F.transform("_s", lambda s: s["start"]).alias("_starts"), F.transform("_s", lambda s: s["end"]).alias("_ends"))
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, gone: pd.Series) -> pd.Series:
-        def one(text, numbers):
-            if text is None or numbers is None:
+    def cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        def one(text, starts, ends):
+            if text is None or starts is None:
                 return text
-            drop = set(numbers)
-            return separator.join(p for i, p in enumerate(text.split(separator)) if i not in drop)
-
-        return pd.Series([one(t, n) for t, n in zip(texts, gone)], dtype=object)
-
-    joined = docs.join(per_doc, id_column, "left")
-    return joined.withColumn(text_column, cut(F.col(text_column), F.col("_units"))).select(*docs.columns)
+            kept, at, whole = [], 0, len(text)
+            for start, end in zip(starts, ends):
+                if start > at:
+                    kept.append(text[at:start])
+                at = max(at, end)
+                while at < whole and text[at] in _ASCII_SPACE:
+                    at += 1
+            kept.append(text[at:])
+            made = "".join(kept)
+            return made.rstrip(_ASCII_SPACE) if at >= whole else made
+
+        return pd.Series([one(*row) for row in zip(texts, starts, ends)], dtype=object)
+
+    joined = docs.join(spans, id_column, "left")
+    return joined.withColumn(text_column, cut(F.col(text_column), F.col("_starts"), F.col("_ends"))).select(*docs.columns)
