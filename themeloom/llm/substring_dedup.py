@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from themeloom.functions.storage import broadcast_if_small, stage
+from themeloom.functions.storage import stage
 
 # Runs of repeated units with fewer words stay.
 MIN_WORDS = 20
@@ -38,7 +38,8 @@ _PATTERNS = {
 }
 _ASCII_SPACE = " \t\n\x0b\x0c\r"
 
-_SCHEMA = "doc_id bigint, kind string, unit bigint, start bigint, end bigint, n_words bigint, first boolean, digest binary"
+# A text has fewer than 2^31 characters.
+_SCHEMA = "doc_id bigint, kind tinyint, unit int, start int, end int, n_words int, first boolean, digest binary"
 
 
 def normalised(unit: str) -> bytes:
@@ -47,7 +48,7 @@ def normalised(unit: str) -> bytes:
 
 
 def units_of(text: str | None, kind: str) -> Iterator[tuple]:
-    """(kind, unit, start, end, n_words, first with its digest in the text, digest) of the units of a text that have a word,
+    """(unit, start, end, n_words, first with its digest in the text, digest) of the units of a text that have a word,
     numbered in order; white space around a unit is not part of it."""
     seen: set[bytes] = set()
     number = 0
@@ -58,22 +59,22 @@ def units_of(text: str | None, kind: str) -> Iterator[tuple]:
             continue
         plain = normalised(shown)
         key = hashlib.blake2b(plain, digest_size=_DIGEST_BYTES).digest()
-        yield kind, number, match.start() + len(part) - len(shown), match.start() + len(part), plain.count(b" ") + 1, key not in seen, key
+        yield number, match.start() + len(part) - len(shown), match.start() + len(part), plain.count(b" ") + 1, key not in seen, key
         seen.add(key)
         number += 1
 
 
 def units(docs: DataFrame, id_column: str, text_column: str, kinds: Sequence[str]) -> DataFrame:
-    """One row per unit of every text, with its place and digest."""
+    """One row per unit of every text, with its place and digest, and its kind by number."""
     columns = [c.split()[0] for c in _SCHEMA.split(", ")]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                for kind in kinds:
+                for number, kind in enumerate(kinds):
                     for unit in units_of(text, kind):
-                        rows.append((doc_id, *unit))
+                        rows.append((doc_id, number, *unit))
                         if len(rows) >= _ROWS:
                             yield pd.DataFrame(rows, columns=columns)
                             rows = []
@@ -104,7 +105,8 @@ def repeated_units(
     groups = found.groupBy("kind", "digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     shared = stage(groups.filter("n > 1").drop("n"))
     later = (F.col("doc_id") > F.col("keep_id")) | ~F.col("first")
-    repeated = found.join(broadcast_if_small(shared), ["kind", "digest"]).filter(later)
+    # Digests grow with the corpus: both sides are shuffled at every size, and adaptive execution splits a hot one.
+    repeated = found.join(shared.hint("merge"), ["kind", "digest"]).filter(later)
     # Consecutive numbers differ from their rank by the same amount.
     text = Window.partitionBy("doc_id", "kind")
     run = F.col("unit") - F.dense_rank().over(text.orderBy("unit"))
@@ -113,7 +115,7 @@ def repeated_units(
         repeated.withColumn("_run", run)
         .withColumn("_words", words)
         .filter(F.col("_words") >= min_words)
-        .select("doc_id", "kind", "unit", "start", "end", "n_words", "keep_id")
+        .select("doc_id", F.element_at(F.array(*[F.lit(k) for k in kinds]), F.col("kind") + 1).alias("kind"), *[F.col(c).cast("bigint").alias(c) for c in ("unit", "start", "end", "n_words")], "keep_id")
     )
 
 
