@@ -79,3 +79,27 @@ def test_temperature_undoes_a_scale():
     p = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
     labels = np.array([rng.choice(3, p=row) for row in p])
     assert 4 < li.temperature(logits * 5, labels) < 6.3
+
+
+def test_a_rare_language_is_learned(spark):
+    """Four documents among 20,000, none of which the sample by hash need hold."""
+    english = "the quick brown fox jumps over the lazy dog and runs home"
+    russian = ["\u0431\u044b\u0441\u0442\u0440\u0430\u044f \u043b\u0438\u0441\u0430", "\u043b\u0435\u043d\u0438\u0432\u0430\u044f \u0441\u043e\u0431\u0430\u043a\u0430", "\u0431\u044b\u0441\u0442\u0440\u0430\u044f \u0441\u043e\u0431\u0430\u043a\u0430"]
+    df = spark.range(20_000).selectExpr("id as doc_id", f"concat('{english} ', id) as text", "'en' as lang")
+    train = [i for i in range(20_000, 20_100) if zlib.crc32(str(i).encode()) % 5][:4]
+    rare = spark.createDataFrame([(i, russian[k % 2], "ru") for k, i in enumerate(train)] + [(30_000, russian[2], None)], "doc_id bigint, text string, lang string")
+    found = {r["doc_id"]: r["lang_pred"] for r in li.identify(df.unionByName(rare), fit_rows=300, calibrate_rows=100).filter("doc_id >= 19990").collect()}
+    assert all(found[i] == "ru" for i in [*train, 30_000]) and found[19_995] == "en"
+
+
+def test_without_labels_only_texts_without_a_letter_go(spark):
+    df = spark.createDataFrame([(1, "some text", None), (2, "123 !", None), (3, None, None), (None, "caf\u00e9", None)], "doc_id bigint, text string, lang string")
+    assert sorted(r["text"] for r in li.keep_known(df).collect()) == ["caf\u00e9", "some text"]
+    assert {r["lang_pred"] for r in li.identify(df).collect()} == {"und"}
+
+
+def test_a_language_that_only_calibrates_is_learned_too(spark):
+    rows = [(i, "plain english words here", "en") for i in range(50)] + [(i, "\u03b1\u03b2\u03b3\u03b4 \u03b5\u03b6", "el") for i in range(50, 62)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = {r["doc_id"]: r["lang_pred"] for r in li.identify(df, fit_rows=2, calibrate_rows=60).collect()}
+    assert found[0] == "en" and found[61] == "el"

@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.llm.sampling import smallest
@@ -25,6 +25,8 @@ BUCKETS = 1 << 16
 # Bounds of the labelled rows that train and calibrate.
 FIT_ROWS = 6_000
 CALIBRATE_ROWS = 2_000
+# Rows of each language that are in the sample however rare it is, if there are that many.
+LANGUAGE_ROWS = 200
 UNDECIDED = "und"
 # Characters of a text that are looked at at a time; all pieces of a text are.
 _PIECE = 1 << 20
@@ -170,11 +172,13 @@ def fit(
     calibrate_rows: int = CALIBRATE_ROWS,
     orders: int = ORDERS,
     buckets: int = BUCKETS,
+    language_rows: int = LANGUAGE_ROWS,
 ) -> Model:
     """Learn from all rows of ``labelled`` with a text and a language.
 
     Statistics cover every row. The ``fit_rows`` and ``calibrate_rows`` rows with the smallest hashes of
-    id are the bounded sample that trains and calibrates. Ties in the hash fall to the smaller id.
+    id are the bounded sample that trains and calibrates, and with them the ``language_rows`` smallest of each language, so that no
+    language of the table is missing from the model. Ties in the hash fall to the smaller id.
     """
     rows = labelled.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
     rows = rows.filter("text is not null and lang is not null")
@@ -188,12 +192,19 @@ def fit(
     idf = np.log((1 + total) / (1 + frequency)) + 1
     ranked = rows.withColumn("rank", F.xxhash64(F.col("doc_id").cast("string")))
     # Ids first: their bound keeps texts that are not in the sample where they are.
-    last = smallest(ranked.select("rank", "doc_id", "lang"), "rank", fit_rows + calibrate_rows, total, "doc_id").collect()
+    narrow = ranked.select("rank", "doc_id", "lang")
+    last = smallest(narrow, "rank", fit_rows + calibrate_rows, total, "doc_id").collect()
     if not last:
         return Model([], np.zeros((buckets, 0), np.float32), idf, orders)
-    languages = sorted({r["lang"] for r in last})
     bound, split = last[-1]["rank"], last[min(fit_rows, len(last)) - 1]["rank"]
-    sample = ranked.filter((F.col("rank") <= bound) & F.col("lang").isin(languages)).withColumn("fit", F.col("rank") <= split)
+    # Every language there is, and enough of the rare ones. Each task passes on this many rows a language.
+    order = Window.partitionBy("lang").orderBy("rank", "doc_id")
+    least = narrow.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= language_rows).collect()
+    languages = sorted({r["lang"] for r in least})
+    # Those train, but for every fourth, which calibrates; the commonest languages' are among the first of the sample anyway.
+    chosen, fitted = [r["rank"] for r in least if r["rank"] > bound], [r["rank"] for r in least if r["place"] % 4 and r["rank"] > split]
+    known = (F.col("rank") <= bound) | F.col("rank").isin(chosen)
+    sample = ranked.filter(known).withColumn("fit", (F.col("rank") <= split) | F.col("rank").isin(fitted))
     trained = sample.coalesce(1).mapInPandas(_train(languages, orders, buckets, idf), "weights binary, idf binary").head()
     weights = np.frombuffer(trained["weights"], np.float32).reshape(buckets, len(languages))
     return Model(languages, weights, np.frombuffer(trained["idf"], np.float32), orders)
@@ -228,9 +239,13 @@ def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 def keep_known(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", min_score: float = 0.0, **options) -> DataFrame:
     """The rows of ``docs`` whose text has a language of at least ``min_score``.
 
-    Rejected are texts without a letter, which have none, and those under the score. Columns stay.
+    Rejected are texts without a letter, which have none, and those under the score. Without any row to learn from no
+    language is known, and only texts without a letter are rejected. Columns stay. Rows with equal or no ids are judged each by
+    itself; an empty table gives an empty one.
     """
     model = fit(docs.filter(in_training(docs[id_column])), id_column, text_column, lang_column, **options)
+    if not model.languages:
+        return docs.filter(docs[text_column].rlike(r"\p{L}"))
     made = predict(docs, model, text_column)
     name = "_found"
     while name in docs.columns:
