@@ -1,6 +1,8 @@
 """The corpus pipeline: language, copies, near copies, benchmark passages, packing.
 
-Each stage works on all its predecessor kept. Every stage is written as Parquet on shared storage and
+Each stage works on all its predecessor kept. Rows are told apart by ``doc_id``, which the near stage
+expects to be unique and not null; null and empty texts go in the first stage, very long ones are read
+whole, and an empty table gives an empty one. Every stage is written as Parquet on shared storage and
 read from there by the next one. No SQL: languages are predicted by a trained model.
 """
 
@@ -14,11 +16,15 @@ from themeloom.functions.storage import stage
 from themeloom.llm import decontamination, exact_dedup, language_id, packing, similar_dedup
 from themeloom.llm.shipping import ship
 
+# The probability a text's language must have.
+MIN_SCORE = 0.5
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the texts that have no language: those that are null or have no letter."""
+    """Drop the texts that have no language: those that are null, have no letter, or whose likeliest language is
+    less likely than all others together."""
     ship(spark)
-    return language_id.keep_known(docs)
+    return language_id.keep_known(docs, min_score=MIN_SCORE)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
