@@ -204,8 +204,8 @@ FINAL = {
             'Reuse one where it fits.' || {NL} || 'TEXTS:' || {NL} as head from known) group by batch_id""",
     "theme_writeup_requests": f"""select theme, total, shown, md5(p) as prompt_md5, length(p) as prompt_length from (
         select theme, any_value(total) as total, count(*) as shown, 'Describe the theme "' || theme || '" from the entries below.' || {NL} || {NL} ||
-        'TOTAL ENTRIES: ' || any_value(total) || {NL} || 'EXAMPLES (' || count(*) || ' of ' || any_value(total) || '):' || {NL} || {_EXAMPLE_LIST} ||
-        case when any_value(total) > count(*) then {NL} || '(Plus ' || (any_value(total) - count(*)) || ' more entries not shown)' else '' end ||
+        'Entries with it: ' || any_value(total) || {NL} || 'EXAMPLES (' || count(*) || ' of ' || any_value(total) || '):' || {NL} || {_EXAMPLE_LIST} ||
+        case when any_value(total) > count(*) then {NL} || '(and ' || (any_value(total) - count(*)) || ' others)' else '' end ||
         {NL} || {NL} || 'In 1000 words, cover what the theme consists of, how entries differ, and why it matters. Claim nothing the entries do not support.' as p
         from examples group by theme)""",
     "quote_requests": f"""select theme, shown, md5(p) as prompt_md5, length(p) as prompt_length from (
@@ -218,10 +218,10 @@ FINAL = {
         'Context: General analysis' || {NL} || {NL} || 'REPLY FORMAT:' || {NL} || 'Answer: Yes/No' || {NL} || 'Confidence: 0-100%' || {NL} ||
         'Reason: Brief explanation' as p from suggested)""",
     "mapping_requests": f"""select chunk_id, md5(p) as prompt_md5, length(p) as prompt_length from (select seq // 20 as chunk_id,
-        'Assign every original theme to the representative theme that fits it BEST.' || {NL} || {NL} ||
-        'REPRESENTATIVE THEMES: Enonon, Tion, Ouen, Der, Anan' || {NL} || {NL} || 'ORIGINAL THEMES:' || {NL} || string_agg(theme, ', ' order by seq) ||
+        'Place each theme below under the broad theme closest to it.' || {NL} || {NL} ||
+        'BROAD THEMES: Enonon, Tion, Ouen, Der, Anan' || {NL} || {NL} || 'THEMES TO PLACE:' || {NL} || string_agg(theme, ', ' order by seq) ||
         {NL} || {NL} || 'REPLY FORMAT:' || {NL} || 'Original Theme 1 -> Representative Theme' || {NL} || 'Original Theme 2 -> Representative Theme' || {NL} ||
-        '...' || {NL} || {NL} || 'Write representative themes exactly as given.' as p from sequence group by seq // 20)""",
+        '...' || {NL} || {NL} || 'Spell the broad themes as they are above.' as p from sequence group by seq // 20)""",
     "consolidation_request": f"""select chunk_id, n_themes, md5(p) as prompt_md5, length(p) as prompt_length from (select seq // 500 as chunk_id, count(*) as n_themes,
         'Answers to an open question were tagged with the ' || count(*) || ' themes below, each with its number of answers if known. Replace them by 10 broader themes that leave none out; themes with many answers should decide.' ||
         {NL} || {QUESTION_LINE} || {NL} || 'THEMES:' || {NL} || string_agg('- ' || theme || ' (' || n || ')', {NL} order by seq) || {NL} || {NL} ||
@@ -431,6 +431,12 @@ FINAL["parsed_consolidation"] = """, named_by as (select source, unnest(range(le
 FINAL["sketched_bounds"] = """select unnest(['median_tokens', 'p25', 'p75', 'p90', 'p95', 'unique_themes']) as measure, null::bigint as exact, true as within
     union all select unnest(['total_texts', 'total_tokens', 'min_tokens', 'max_tokens', 'total_occurrences']),
         unnest([count(*), sum(n_tokens)::bigint, min(n_tokens), max(n_tokens), (select count(*) from occ)]), true from counted"""
+FINAL["checked_tables"] = """select 'documents' as name, true as ok, 'ok' as message, count(text) as n from documents
+    union all select 'conversations', false, 'no column speaker, mood among ' || (select string_agg(column_name, ', ' order by ordinal_position)
+        from information_schema.columns where table_name = 'conversations'), count(text) from conversations
+    union all select 'embeddings', false, 'column embedding holds array<' || case when any_value(typeof(embedding)) = 'FLOAT[]' then 'float' else 'double' end ||
+        '>, not strings', count(embedding) from embeddings
+    union all select 'pages', true, 'ok', count(html) from pages"""
 FINAL["journaled_inference"] = """select batch_id, case when batch_id % 2 = 0 and length(prompt) <= 100000
     then '1: ' || length(prompt) || ' characters|Length (90%)' else 'late' end as response, null::varchar as error from prompts"""
 FINAL["calls_by_kind"] = f"""select prompt_md5, kind || prompt_length as response from (

@@ -112,6 +112,17 @@ def tsv_files(spark, d):
     return _written(spark, d, "\t")
 
 
+def checked_tables(spark, d):
+    """Whether tables can be analysed: names and types of their columns, and how many rows have the text at all."""
+    asked = (("documents", ["doc_id", "text"], "text"), ("conversations", ["text", "speaker", "mood"], "text"), ("embeddings", ["vec_id"], "embedding"), ("pages", ["url"], "html"))
+    rows = []
+    for name, required, text in asked:
+        table = fx.table(spark, d, name)
+        ok, message = files.check_columns(table, required, text)
+        rows.append(table.agg(F.lit(name).alias("name"), F.lit(ok).alias("ok"), F.lit(message).alias("message"), F.count(text).alias("n")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def flat_results(spark, d):
     """Results as a delimited file holds them: arrays joined, other nested values as JSON."""
     results, _ = fx.run(spark, d)
@@ -775,7 +786,7 @@ def banded_vectors(spark, d):
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
-        missing_cells, decoded_texts, csv_files, tsv_files, flat_results,
+        checked_tables, missing_cells, decoded_texts, csv_files, tsv_files, flat_results,
         load_report, clean_texts, streamed_first_copies, clean_conversations,
         token_counts, token_distribution, sketched_bounds, batch_size_recommendation, cost_forecast, prompt_token_estimate, usage_cost,
         fixed_batches, packed_batches,

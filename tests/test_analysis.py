@@ -25,7 +25,7 @@ def make_model():
             return "\n".join(f"{n}: about {a}|{a} (90%),{b} (70%)" for n, a, b in texts)
         if "Replace them by" in prompt:
             return "1. Group one\n2. Group two"
-        listed = prompt.split("ORIGINAL THEMES:\n")[1].split("\n\n")[0].split(", ")
+        listed = prompt.split("THEMES TO PLACE:\n")[1].split("\n\n")[0].split(", ")
         return "\n".join(f"{t} -> Group {'one' if t[0].lower() < 'n' else 'two'}" for t in listed)
 
     return ask

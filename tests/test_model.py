@@ -151,8 +151,8 @@ def test_requests_number_texts_in_order(spark):
 def test_writeup_request_mentions_what_is_not_shown(spark):
     df = spark.createDataFrame([("t", 1, "one", 5), ("t", 2, "two", 5), ("u", 1, "x", 1)], "theme string, rank bigint, text string, total bigint")
     rows = {r["theme"]: r["prompt"] for r in requests.theme_writeup_requests(df).collect()}
-    assert 'EXAMPLES (2 of 5):\n- "one"\n- "two"\n(Plus 3 more entries not shown)' in rows["t"]
-    assert "Plus" not in rows["u"]
+    assert 'EXAMPLES (2 of 5):\n- "one"\n- "two"\n(and 3 others)' in rows["t"]
+    assert "others" not in rows["u"]
 
 
 def test_consolidation_splits_long_theme_lists(spark):

@@ -197,6 +197,7 @@ def summary_metrics(
         return F.when((F.col("batches") > 0) & (total > 0), F.format_string(f"%.{places}f", mean)).otherwise(F.lit("N/A"))
 
     original, final = F.col("original_unique_n"), F.col("consolidated_unique_n")
+    # The names of the metrics and the words for a missing one.
     metrics = [
         ("Total Entries Processed", number(F.col("entries"))),
         ("Total Original Theme Occurrences", number(F.col("original_occurrences_n"))),

@@ -103,7 +103,7 @@ def theme_writeup_requests(
 ) -> DataFrame:
     """Ask for an account of each theme. ``examples``: ``theme, rank, text, total``."""
     more = F.col("total") - F.col("shown")
-    remaining = F.when(more > 0, _text(separator, "(Plus ", more, " more entries not shown)")).otherwise(F.lit(""))
+    remaining = F.when(more > 0, _text(separator, "(and ", more, " others)")).otherwise(F.lit(""))
     return with_key(
         _example_list(examples, separator).select(
             "theme",
@@ -112,7 +112,7 @@ def theme_writeup_requests(
             _text(
                 'Describe the theme "',
                 F.col("theme"),
-                '" from the entries below.\n\nTOTAL ENTRIES: ',
+                '" from the entries below.\n\nEntries with it: ',
                 F.col("total"),
                 "\nEXAMPLES (",
                 F.col("shown"),
@@ -187,10 +187,10 @@ def mapping_requests(
             "chunk_id",
             "themes",
             _text(
-                "Assign every original theme to the representative theme that fits it BEST.\n\n"
-                f"REPRESENTATIVE THEMES: {', '.join(representatives)}\n\nORIGINAL THEMES:\n",
+                "Place each theme below under the broad theme closest to it.\n\n"
+                f"BROAD THEMES: {', '.join(representatives)}\n\nTHEMES TO PLACE:\n",
                 F.array_join("themes", ", "),
-                f"\n\nREPLY FORMAT:\n{MAPPING_REPLY}\n\nWrite representative themes exactly as given.",
+                f"\n\nREPLY FORMAT:\n{MAPPING_REPLY}\n\nSpell the broad themes as they are above.",
             ).alias("prompt"),
         ),
         kind="mapping",
