@@ -38,6 +38,8 @@ _TOKEN = r"[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+"
 _NAME = r"(?<=[\p{Ll}\p{M}0-9,] )(\p{Lu}[\p{Ll}\p{M}]++)"
 # Marks a name in the text; it is neither letter nor digit, and tokens that carry it are names.
 _MARK = "\x01"
+# What a number counts where slots are counted; other slots count 1.
+_NUMBERS = 1 << 16
 
 
 def raw_tokens(text: Column) -> Column:
@@ -73,26 +75,38 @@ def windows(rows: DataFrame, key: str, sizes: list[int] | None = None, window: i
 
     Both hashes are the same where a window has no slot. Sizes are ``window``, and the given shorter ones.
     """
+    # Tokens as numbers: a window's hash is that of its numbers, so no string is put together for it.
+    raw_id = lambda t, r: F.when(_is_slot(t), F.xxhash64(F.lower(F.translate(r, _MARK, "")))).otherwise(F.xxhash64(t))
+    numbered = rows.select(
+        key,
+        F.transform("template", lambda t: F.xxhash64(t)).alias("typed"),
+        F.zip_with("template", "raw", raw_id).alias("plain"),
+        F.transform("template", lambda t: F.when(t == NUMBER, F.lit(_NUMBERS)).when(_is_slot(t), 1).otherwise(0)).alias("slots"),
+    )
     parts = []
     for size in sorted({window, *(sizes or ())}):
-        inside = rows.filter(F.size("template") >= size).select(
-            key, "raw", "template", F.explode(F.sequence(F.lit(0), F.size("template") - size)).alias("place")
+        inside = numbered.filter(F.size("typed") >= size).select(
+            key, "typed", "plain", "slots", F.explode(F.sequence(F.lit(0), F.size("typed") - size)).alias("place")
         )
-        # Strings, so that no row holds the arrays; a bracket is in placeholders only.
-        run = lambda c: F.array_join(F.slice(c, F.col("place") + 1, size), " ").alias(c)
-        strings = inside.select(key, "place", run("template"), run("raw"))
-        literals = size - F.length("template") + F.length(F.translate("template", "<", ""))
-        typed = F.xxhash64("template")
-        plain = F.xxhash64(F.lower(F.translate("raw", _MARK, "")))
-        if size < window:
-            plain = F.when(F.rlike("raw", F.lit(r"\p{L}")), plain)
+        at = lambda c, i: F.get(c, F.col("place") + i)
+        # One sum tells how many numbers and how many other slots there are.
+        marks = sum((at("slots", i) for i in range(1, size)), at("slots", 0))
         parts.append(
-            strings.select(
-                key, "place", F.lit(size).alias("size"),
-                F.when(literals >= min(MIN_LITERALS, (size + 1) // 2), typed).alias("typed"),
-                F.when(literals == size, typed).otherwise(plain).alias("plain"),
+            inside.select(
+                key,
+                "place",
+                F.lit(size).alias("size"),
+                marks.alias("marks"),
+                F.xxhash64(*[at("typed", i) for i in range(size)]).alias("typed"),
+                F.xxhash64(*[at("plain", i) for i in range(size)]).alias("plain"),
+            ).select(
+                key,
+                "place",
+                "size",
+                F.when(size - F.shiftright("marks", 16) - F.col("marks") % _NUMBERS >= min(MIN_LITERALS, (size + 1) // 2), F.col("typed")).alias("typed"),
+                (F.col("plain") if size >= window else F.when(F.col("marks") < _NUMBERS * size, F.col("plain"))).alias("plain"),
             )
-        )
+        )
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
@@ -120,7 +134,8 @@ def matches(
     """Contaminated pairs: doc_id, item_id, matched, item_windows, coverage, slots, changed, verbatim.
 
     ``matched`` is the number of the item's windows found on the best diagonal, ``slots`` the distinct
-    slot values there, ``changed`` those that differ in the document; ``verbatim`` if none does. A pair
+    slot values there, ``changed`` those that differ in the document; ``verbatim`` if all of the item's windows of raw tokens
+    are there on one diagonal. A pair
     is reported if the coverage of the item's template windows reaches ``min_coverage`` and its slots are
     consistent, or if that of its raw windows does; the higher coverage is given. Items with fewer
     tokens than ``window`` are one window of their own length. Null and empty texts, rows without an
@@ -175,15 +190,16 @@ def matches(
     slots = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"])))
     changed = F.size(F.filter("pairs", lambda p: p["item"] != p["doc"]))
     consistent = compared.filter(F.col("as_is") | (slots == F.size("pairs"))).select(
-        "doc_id", "item_id", "matched", "item_windows", "coverage", slots.cast("bigint").alias("slots"), changed.cast("bigint").alias("changed")
-    )
+        "doc_id", "item_id", "matched", "item_windows", "coverage", slots.cast("bigint").alias("slots"), changed.cast("bigint").alias("changed"),
+        (F.col("as_is") & (F.col("coverage") >= 1)).alias("whole"),
+    )
     # One row per pair: the highest coverage, then most windows, then fewest changes, then fewest slots.
     rank = F.struct("coverage", "matched", (-F.col("changed")).alias("kept"), (-F.col("slots")).alias("few"), "item_windows")
-    best = consistent.groupBy("doc_id", "item_id").agg(F.max(rank).alias("best"))
+    best = consistent.groupBy("doc_id", "item_id").agg(F.max(rank).alias("best"), F.bool_or("whole").alias("verbatim"))
     changes = -F.col("best.kept")
     return best.select(
         "doc_id", "item_id", "best.matched", "best.item_windows", "best.coverage",
-        (-F.col("best.few")).alias("slots"), changes.alias("changed"), (changes == 0).alias("verbatim"),
+        (-F.col("best.few")).alias("slots"), changes.alias("changed"), "verbatim",
     )
 
 
