@@ -1,7 +1,9 @@
 from collections import defaultdict
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import EDGE, as_rows, sha, squeezed
 from themeloom.llm import exact_dedup
@@ -34,6 +36,32 @@ def test_repeated_rows_and_rows_without_an_id(spark):
     assert found == sorted([(1, 1, 4, True), (1, 1, 4, True), (2, 1, 4, False), (None, 1, 4, False), (None, None, 1, True)], key=repr)
 
 
+def test_rows_that_stay_and_sizes_come_from_the_index(spark, edge, monkeypatch):
+    """An index with other ids and sizes in its chains gives other groups, under hashes that several rows have."""
+    build = exact_dedup.build_index
+    altered = lambda *args: build(*args).selectExpr("h", "sha", "rows", "keep_id + 100 as keep_id", "n * 10 as n")
+    monkeypatch.setattr(exact_dedup, "build_index", altered)
+    found = as_rows(exact_dedup.exact_groups(edge), "doc_id", "keep_id", "group_size")
+    wanted = [(i, k + 100, n * 10) if n > 1 else (i, k, n) for i, k, n, *_ in expected(EDGE)]
+    assert found == sorted(wanted, key=repr)
+
+
+def test_two_texts_of_one_digest_are_an_error(spark, monkeypatch):
+    """The bytes are compared: with a digest that tells nothing, rows of one hash must not pass for copies."""
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id bigint, text string")
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *_: F.lit(7).cast("bigint"))
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda *_: F.lit("00"))
+    with pytest.raises(Exception, match="two different texts have the same SHA-256"):
+        exact_dedup.exact_groups(df).collect()
+
+
+def test_a_hash_shared_by_two_texts_is_one_chain_of_two_groups(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *_: F.lit(7).cast("bigint"))
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "c")], "doc_id bigint, text string")
+    found = as_rows(exact_dedup.exact_groups(df), "doc_id", "keep_id", "group_size")
+    assert found == [(1, 1, 2), (2, 2, 1), (3, 1, 2), (4, 4, 1)]
+
+
 def test_a_hot_text_keeps_its_first_row(spark):
     df = spark.range(3000).selectExpr("id as doc_id", "case when id % 3 > 0 then 'same  text' else concat('t', id) end as text")
     kept = exact_dedup.drop_copies(df)

@@ -3,8 +3,8 @@
 Every text gets a 64-bit hash. Copies fold to one entry before they are shuffled. A directory over
 the leading hash bits doubles until no bucket that can still be split holds more than ``capacity``
 entries; entries are written by bucket, so that each owner task holds a range of buckets and sees
-all entries of a hash as one chain. Chains of more than one row are settled on the texts themselves:
-grouping by the normalised text compares bytes.
+all entries of a hash as one chain. An entry says which row stays and how many rows it has; for chains
+of more than one row the texts themselves are compared, and an entry that stands for two texts is an error.
 
 Only DataFrame functions are used. Nothing but the directory's histogram, 65,536 counts at most,
 reaches the driver.
@@ -86,15 +86,13 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     keys = stage(texts.select("doc_id", "h", F.unhex(F.sha2("norm", 256)).alias("sha")))
     index = build_index(spark, keys, capacity)
     shared = stage(index.filter(F.col("rows") > 1).select("h").distinct())
-    # The bytes decide: grouping by the text itself, for hashes that more than one row has.
-    compared = (
-        texts.join(broadcast_if_small(shared), "h")
-        .groupBy("h", "norm")
-        .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-        .select("h", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "n")
-    )
-    same_digest = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("two different texts have the same SHA-256")).cast("bigint"))
-    groups = compared.groupBy("h", "sha").agg(F.coalesce(same_digest, F.min("keep_id")).alias("keep_id"), F.sum("n").alias("n"))
+    # Rows of a chain are compared byte by byte: grouping by the text itself tells how many texts an entry stands for.
+    distinct = texts.join(broadcast_if_small(shared), "h").select("h", "norm").distinct()
+    compared = distinct.groupBy("h", F.unhex(F.sha2("norm", 256)).alias("sha")).agg(F.count(F.lit(1)).alias("texts"))
+    same_digest = F.when(F.col("texts") > 1, F.raise_error(F.lit("two different texts have the same SHA-256")).cast("bigint"))
+    # Entries of hashes with one row stand for that row, which needs no lookup.
+    entries = index.filter(F.col("rows") > 1).join(compared, ["h", "sha"], "left")
+    groups = entries.select("h", "sha", F.coalesce(same_digest, F.col("keep_id")).alias("keep_id"), "n")
     return keys.join(groups, ["h", "sha"], "left").select(
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
