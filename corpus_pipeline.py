@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from themeloom.functions.storage import stage
-from themeloom.llm import decontamination, exact_dedup, language_id, packing, similar_dedup
+from themeloom.llm import decontamination, exact_dedup, language_id, packing, simhash_dedup
 from themeloom.llm.shipping import ship
 
 # The probability a text's language must have.
@@ -33,9 +33,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first of each group of near-duplicates: five-word shingles, Jaccard 0.8 or more."""
+    """Keep the first of each group of near-duplicates: fingerprints of four-word shingles that differ in four bits at most,
+    through others too, as in ``op2_simhash_dedup``."""
     ship(spark)
-    return similar_dedup.drop_similar(docs)
+    return simhash_dedup.drop_near_copies(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
