@@ -8,7 +8,7 @@ from pathlib import Path
 import corpus_pipeline
 from tests.llm.conftest import EDGE, squeezed, words
 from tests.llm.test_decontamination import brute
-from tests.llm.test_similar_dedup import brute_firsts
+from tests.llm.test_simhash_dedup import brute_components, brute_fingerprint
 
 REPO = Path(__file__).resolve().parents[2]
 
@@ -20,8 +20,8 @@ def expected(rows, bench):
     for i, t in sorted(rows):
         first.setdefault(squeezed(t), i)
     rows = [(i, t) for i, t in rows if first[squeezed(t)] == i]
-    firsts = set(brute_firsts(rows))
-    rows = [(i, t) for i, t in rows if i in firsts]
+    component = brute_components({i: brute_fingerprint(t) for i, t in rows})
+    rows = [(i, t) for i, t in rows if component[i] == i]
     leaked = {i for i, _ in brute(rows, bench)}
     return [(i, t) for i, t in rows if i not in leaked]
 
