@@ -49,3 +49,45 @@ def test_long_chains_connect(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(101, 100)], "a bigint, b bigint")
     groups = {r["id"]: r["group"] for r in semantic.connected_groups(links).collect()}
     assert groups == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def staged_rows(monkeypatch, module):
+    """The row counts of the tables that ``module`` stages from now on."""
+    counts, stage = [], module.stage
+
+    def counted(df):
+        stored = stage(df)
+        counts.append(stored.count())
+        return stored
+
+    monkeypatch.setattr(module, "stage", counted)
+    return counts
+
+
+def test_many_cells_move_a_vector_once(spark, monkeypatch):
+    """In many dimensions nearly all cells must be visited; vectors are not copied to them."""
+    vectors = [(1, v) for v in np.random.default_rng(4).normal(size=(300, 48))]
+    counts = staged_rows(monkeypatch, semantic)
+    got = {r["id"]: r["target"] for r in semantic.similar_themes(frame(spark, vectors), 0.4, vectors_per_pivot=3).collect()}
+    assert got == groups_by_force(vectors, 0.4) and len(got) > 100
+    # Links between a few vectors come twice as often as vectors, once for each of their ends.
+    assert max(counts) <= 2 * len(vectors)
+
+
+def test_clusters_are_pruned_and_dense_ones_connect(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(5, 6))
+    vectors = [(1, centres[i % 5] + rng.normal(scale=0.03, size=6)) for i in range(200)]
+    got = {r["id"]: r["target"] for r in semantic.similar_themes(frame(spark, vectors), 0.97, vectors_per_pivot=4).collect()}
+    assert got == groups_by_force(vectors, 0.97) and len(set(got.values())) == 5
+    x = np.array([v / np.linalg.norm(v) for _, v in vectors])
+    pivots = x[:5]
+    home = (x @ pivots.T).argmax(axis=1)
+    radius = np.sqrt(2 - 2 * 0.97)
+    some = semantic._neighbours(pivots, radius)(x[home == 0], home[home == 0], home[home == 1])
+    assert not some.any()
+
+
+def test_vectors_without_an_id_link_nothing(spark):
+    df = spark.createDataFrame([(None, 1, [1.0, 0.0]), (2, 1, [1.0, 0.1]), (3, 1, [0.0, 1.0])], "id bigint, n int, embedding array<double>")
+    assert semantic.similar_themes(df).collect() == []
