@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tests.test_semantic import frame, groups_by_force
+from tests.test_semantic import frame, groups_by_force, staged_rows
 from themeloom.operators import hyperplanes, semantic
 
 
@@ -77,3 +77,29 @@ def test_measured_recall(spark):
     assert 0.9 <= row["recall"] == row["found"] / row["pairs"] <= 1
     assert hyperplanes.recall_of(vectors.limit(0), 0.85, vectors).first()["recall"] == 1.0
     assert hyperplanes.banded_links(vectors.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [4096, 6])
+def test_bands_and_large_buckets(spark, monkeypatch, chunk):
+    """Bands are used where they are less work; buckets over the size of a block are compared in blocks."""
+    monkeypatch.setattr(hyperplanes, "_COMPARED_A_MOVE", 4)
+    monkeypatch.setattr(semantic, "CHUNK", chunk)
+    vectors = clustered(11, n=150)
+    assert hyperplanes.dealing(165, 0.85)[0] > 1
+    x = np.array([v / np.linalg.norm(v) for _, v in vectors])
+    links = [tuple(r) for r in hyperplanes.banded_links(frame(spark, vectors).select("id", "embedding"), 0.85).collect()]
+    pairs = [(a, b) for a in range(len(x)) for b in range(a) if x[a] @ x[b] >= 0.85]
+    exact, banded = lowest(pairs, len(x)), lowest(links, len(x))
+    assert links and all(exact[a] == exact[b] for a, b in links)
+    assert np.mean([banded[a] == banded[b] for a, b in pairs]) >= 0.95
+
+
+def test_a_high_recall_at_a_low_threshold_does_not_copy_vectors(spark, monkeypatch):
+    vectors = [(1, v) for v in np.random.default_rng(8).normal(size=(300, 48))]
+    counts = staged_rows(monkeypatch, hyperplanes)
+    links = lambda v, t: hyperplanes.banded_links(v, t, recall=0.999999)
+    got = {r["id"]: r["target"] for r in semantic.similar_themes(frame(spark, vectors), 0.4, links=links).collect()}
+    assert got == groups_by_force(vectors, 0.4)
+    assert max(counts) <= len(vectors)
+    # Bands come back where comparing all would be more work.
+    assert hyperplanes.dealing(10**6, 0.85)[0] > 1 and hyperplanes.dealing(10**6, 0.4, 0.999999) == (0, 1)

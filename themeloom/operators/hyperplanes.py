@@ -38,11 +38,23 @@ def bands(threshold: float, bits: int, recall: float = RECALL) -> int:
 def layout(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
     """``bits, bands`` of the least work for ``n`` vectors: dealing each to its bands and comparing within buckets of vectors
     that are not alike."""
-    cost = lambda bits: bands(threshold, bits, recall) * (1 + n / 2**bits / _COMPARED_A_MOVE)
-    bits = min(range(1, _MOST_BITS + 1), key=cost)
+    bits = min(range(1, _MOST_BITS + 1), key=lambda bits: _work(n, bits, bands(threshold, bits, recall)))
     return bits, bands(threshold, bits, recall)
 
 
+def _work(n: int, bits: int, n_bands: int) -> float:
+    return n_bands * (1 + n / 2**bits / _COMPARED_A_MOVE)
+
+
+def dealing(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
+    """:func:`layout`, or no bits and one band, which is a single bucket, where the bands would be more work than that.
+
+    So they are at a low threshold or a recall near one: with 0.999999 at 0.4, a vector would be copied to some 1,400 bands.
+    """
+    bits, n_bands = layout(n, threshold, recall)
+    return (0, 1) if _work(n, 0, 1) <= _work(n, bits, n_bands) else (bits, n_bands)
+
+
 def _planes(dims: int, bits: int, n_bands: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dims, n_bands * bits))
 
@@ -68,12 +80,13 @@ def banded_links(vectors: DataFrame, threshold: float = SIMILARITY_THRESHOLD, re
     """Links ``a, b`` between ids that pairs with a cosine of at least ``threshold`` connect; of pairs at it, about ``recall`` are found.
 
     ``vectors`` has a unique ``id`` and an ``embedding``, all of one length; null and zero ones are left out. Not every pair is
-    listed. Identical vectors collapse first. In each bucket those within half the distance of its first vector are linked to
+    listed. Identical vectors collapse first. Where bands would be more work than to compare all, there is one bucket
+    (:func:`dealing`). In each bucket those within half the distance of its first vector are linked to
     that and are not compared with each other, so a crowd of alike vectors costs no square; the others meet all
     in chunks.
     """
     copies, same = distinct_vectors(vectors)
-    bits, n_bands = layout(copies.count(), threshold, recall)
+    bits, n_bands = dealing(copies.count(), threshold, recall)
     dealt = stage(signed(copies.select(F.col("b").alias("id"), "vector"), bits, n_bands, seed))
     narrow = dealt.select("id", F.explode("keys").alias("cell"))
     # A bucket of one has nothing to compare.
