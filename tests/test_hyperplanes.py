@@ -103,3 +103,30 @@ def test_a_high_recall_at_a_low_threshold_does_not_copy_vectors(spark, monkeypat
     assert max(counts) <= len(vectors)
     # Bands come back where comparing all would be more work.
     assert hyperplanes.dealing(10**6, 0.85)[0] > 1 and hyperplanes.dealing(10**6, 0.4, 0.999999) == (0, 1)
+
+
+def test_signatures_are_made_in_slices(spark, monkeypatch):
+    """However many bands there are, a task makes few signatures at a time."""
+    monkeypatch.setattr(hyperplanes, "_CELLS", 1 << 12)
+    vectors = frame(spark, clustered(7)).select("id", "embedding")
+    units = semantic.unit_vectors(vectors).coalesce(1)
+    got = hyperplanes.signed(units, 8, 64).collect()
+    taken = []
+
+    class Frames:
+        def mapInPandas(self, f, schema):
+            taken.append(f)
+            return self
+
+        def select(self, *columns):
+            return self
+
+        def head(self):
+            return {"n": 8}
+
+    hyperplanes.signed(Frames(), 8, 64)
+    rows = units.toPandas()
+    parts = list(taken[0](iter([rows])))
+    assert max(map(len, parts)) <= 8 and sum(map(len, parts)) == len(rows) == len(got)
+    keys = {r["id"]: list(r["keys"]) for r in got}
+    assert all(keys[i] == list(k) for part in parts for i, k in zip(part["id"], part["keys"]))

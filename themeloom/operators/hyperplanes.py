@@ -27,6 +27,8 @@ SEED = 42
 _MOST_BITS = 30
 # Vectors compared in the time it takes to deal one to a band.
 _COMPARED_A_MOVE = 64
+# Numbers held at a time where signatures are made, and pairs whose signatures are compared at a time.
+_CELLS = 1 << 21
 
 
 def bands(threshold: float, bits: int, recall: float = RECALL) -> int:
@@ -65,13 +67,14 @@ def signed(vectors: DataFrame, bits: int, n_bands: int, seed: int = SEED) -> Dat
     planes = _planes(sample["n"] if sample else 1, bits, n_bands, seed)
     weights = 1 << np.arange(bits, dtype=np.int64)
     offsets = np.arange(n_bands, dtype=np.int64) << bits
+    rows = max(1, _CELLS // (n_bands * max(bits, 1)))
 
     def sign(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            if frame.empty:
-                continue
-            sides = (np.stack(frame["vector"].to_numpy()) @ planes > 0).reshape(len(frame), n_bands, bits)
-            yield frame.assign(keys=list(sides @ weights + offsets))
+            for at in range(0, len(frame), rows):
+                part = frame.iloc[at : at + rows]
+                sides = (np.stack(part["vector"].to_numpy()) @ planes > 0).reshape(len(part), n_bands, bits)
+                yield part.assign(keys=list(sides @ weights + offsets))
 
     return vectors.select("id", "vector").mapInPandas(sign, "id long, vector array<double>, keys array<long>")
 
@@ -103,7 +106,7 @@ def banded_links(vectors: DataFrame, threshold: float = SIMILARITY_THRESHOLD, re
 
 def recall_of(vectors: DataFrame, threshold: float, queries: DataFrame, recall: float = RECALL, seed: int = SEED) -> DataFrame:
     """One row ``threshold, pairs, found, recall``: of the pairs of a query and any other vector at or above the threshold, counted
-    exactly, how many share a band of :func:`banded_links`.
+    exactly, how many share a band of the :func:`layout` of :func:`banded_links`.
 
     ``queries`` are ``id`` s of ``vectors`` and their embeddings go to every task, in blocks of bounded size.
     """
@@ -112,6 +115,7 @@ def recall_of(vectors: DataFrame, threshold: float, queries: DataFrame, recall:
     dealt = stage(signed(units, bits, n_bands, seed))
     asked = dealt.join(queries.select("id"), "id", "left_semi")
     pairs = found = 0
+    at_once = max(1, _CELLS // n_bands)
     block: list = []
 
     def count(block: list) -> tuple[int, int]:
@@ -126,7 +130,10 @@ def recall_of(vectors: DataFrame, threshold: float, queries: DataFrame, recall:
                     alike = wanted @ np.stack(part["vector"].to_numpy()).T >= threshold
                     q, v = np.nonzero(alike & (ids[:, None] != part["id"].to_numpy()[None, :]))
                     n += len(q)
-                    shared += int((keys[q] == np.stack(part["keys"].to_numpy())[v]).any(axis=1).sum()) if len(q) else 0
+                    others = np.stack(part["keys"].to_numpy())
+                    for first in range(0, len(q), at_once):
+                        some = slice(first, first + at_once)
+                        shared += int((keys[q[some]] == others[v[some]]).any(axis=1).sum())
             yield pd.DataFrame({"n": [n], "shared": [shared]})
 
         row = dealt.mapInPandas(compare, "n long, shared long").agg(F.sum("n"), F.sum("shared")).head()
