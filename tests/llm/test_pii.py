@@ -1,8 +1,10 @@
 import hashlib
+import random
 import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import EDGE, as_rows
 from themeloom.llm import pii
@@ -133,3 +135,26 @@ def test_phones_without_a_plus_are_added_after_a_word_for_them(spark):
     found = {r["doc_id"]: r["spans"] for r in got}
     assert all(found[i] == "phone:10:24" for i in range(1000, 1200))
     assert not any(found[i] for i in [*range(400), *range(2000, 2200)])
+
+
+def test_all_candidates_are_learned_from(spark, monkeypatch):
+    """Every candidate that is not held out has a share in the weights, however many there are; thresholds count all held out."""
+    rng = random.Random(3)
+    features = [[float(rng.randrange(4)) for _ in pii.FEATURES] for _ in range(40)]
+    rows = [(i, "phone", i, i + 9, float(f[0] > 1), i % 3 == 0, *f) for i, f in ((i, features[i % 40]) for i in range(25_000))]
+    schema = "doc long, kind string, start long, end long, label double, free boolean, " + ", ".join(f"{f} double" for f in pii.FEATURES)
+    df = spark.createDataFrame(rows, schema)
+    seen, given = [], []
+    stage, fit = pii.stage, pii.GBTClassifier.fit
+    monkeypatch.setattr(pii, "stage", lambda d: seen.append(stage(d)) or seen[-1])
+    monkeypatch.setattr(pii.GBTClassifier, "fit", lambda self, d: given.append((self.getWeightCol(), d)) or fit(self, d))
+    model, thresholds = pii.train(df)
+    assert set(thresholds) == {"phone"}
+    assert seen[0].selectExpr("sum(n)").first()[0] == 25_000
+    ((weight, vectors),) = given
+    shares = {r["free"]: (r["n"], r["w"]) for r in vectors.groupBy("free").agg(F.sum("n").alias("n"), F.sum(weight).alias("w")).collect()}
+    held = seen[0].filter("held").selectExpr("sum(n)").first()[0]
+    assert sum(n for n, _ in shares.values()) == 25_000 - held and 4_500 < held < 5_500
+    assert abs(shares[True][1] - shares[False][1]) < 1e-6 * 25_000
+    right = {r["label"] for r in pii.scored(model, df).filter(f"p >= {thresholds['phone']}").select("label").distinct().collect()}
+    assert right == {1.0}

@@ -2,9 +2,9 @@
 
 The base patterns (email, ip, card, phone) stand as they are. Generators with higher recall propose
 spans that may overlap: loosely written addresses and all groups of digits. Boosted trees see a
-candidate's format and the words before it. They learn, on a bounded sample, from candidates that the
+candidate's format and the words before it. They learn from all candidates, counted by what the trees see of them: those that the
 base patterns confirm or that count once they are written plainly (at-signs and dots spelled out, spaces,
-brackets; a missing plus only after a word for phones), against the others. A threshold by kind is set on held-out candidates so that
+brackets; a missing plus only after a word for phones), against the others. A threshold by kind is set on a fifth of the candidates, held out, so that
 ``PRECISION`` of what passes is right, also among those the base has not found; these are added to it if they pass.
 
 Only DataFrame functions (and Spark's own boosted trees) are used. Places of matches come from the
@@ -14,6 +14,7 @@ lengths of the text's pieces between them, in code points.
 from __future__ import annotations
 
 from functools import reduce
+from math import isqrt
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -22,10 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.functions.storage import stage
-from themeloom.llm.sampling import smallest
 
 KINDS = ("email", "ip", "card", "phone")
-FIT_ROWS = 20_000
 PRECISION = 0.95
 TREES, DEPTH = 20, 4
 # Characters before a candidate that its features see, and of a cell of the text.
@@ -191,31 +190,34 @@ def scored(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
     return model.transform(vectors).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def train(rows: DataFrame, fit_rows: int = FIT_ROWS, precision: float = PRECISION) -> tuple[GBTClassificationModel, dict[str, float]] | None:
-    """Boosted trees on ``fit_rows`` candidates, and thresholds by kind.
+def train(rows: DataFrame, precision: float = PRECISION) -> tuple[GBTClassificationModel, dict[str, float]] | None:
+    """Boosted trees on all candidates, and thresholds by kind.
 
-    Half of them are the free ones with the smallest hashes of place, half the others with these (all, if
-    there are fewer). A fifth is held out for the thresholds. None if there are not both right and wrong
-    candidates. A kind without a threshold that reaches ``precision``, among all that pass and among the
-    free ones that do, gets none.
+    Candidates with the same features, label and ``free`` are one weighted row, so that what the trees go over grows with the
+    formats and not with the table. Free ones weigh as much in all as the others. A fifth, by the hash of their
+    places, is held out for the thresholds. None if there are not both right and wrong candidates. A kind without a
+    threshold that reaches ``precision``, among all that pass and among the free ones that do, gets none.
     """
-    rows = rows.withColumn("chance", F.xxhash64("doc", "kind", "start", "end"))
-    sizes = {r["free"]: r["n"] for r in rows.groupBy("free").agg(F.count(F.lit(1)).alias("n")).collect()}
-    halves = [smallest(rows.filter(F.col("free") == free), "chance", fit_rows // 2, n, "doc", "start", "end") for free, n in sorted(sizes.items())]
-    if not halves:
-        return None
-    sample = stage(reduce(DataFrame.unionByName, halves))
-    fold = F.pmod("chance", F.lit(5))
-    fitting, held = sample.filter(fold != 0).coalesce(4), sample.filter(fold == 0)
+    held_out = F.pmod(F.xxhash64("doc", "kind", "start", "end"), F.lit(5)) == 0
+    counted = stage(rows.groupBy("kind", *FEATURES, "label", "free", held_out.alias("held")).agg(F.count(F.lit(1)).alias("n")))
+    fitting, held = counted.filter("not held"), counted.filter("held")
     if fitting.select("label").distinct().count() < 2:
         return None
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(fitting)
-    model = GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=7, cacheNodeIds=False).fit(vectors)
-    # Bounded by the sample: for each kind the scores with what passes them.
-    passes = Window.partitionBy("kind").orderBy(F.desc("p")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    right = F.avg("label").over(passes)
-    right_free = F.avg(F.when(F.col("free"), F.col("label"))).over(passes)
-    ranked = scored(model, held).withColumn("right", F.least(right, right_free)).filter(F.col("right") >= precision)
+    sizes = {r["free"]: r["n"] for r in fitting.groupBy("free").agg(F.sum("n").alias("n")).collect()}
+    whole = sum(sizes.values())
+    weight = reduce(lambda a, f: F.when(F.col("free") == f[0], F.col("n") * (whole / len(sizes) / f[1])).otherwise(a), sizes.items(), F.lit(0.0))
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(fitting.withColumn("weight", weight))
+    # With the square of its bins as many as there are rows, Spark takes the borders of bins from all rows.
+    bins = max(32, isqrt(fitting.count()) + 1)
+    model = GBTClassifier(labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, maxBins=bins, seed=7, cacheNodeIds=False).fit(vectors)
+    # For each kind the scores, of which there are no more than formats, with what passes them.
+    free = F.when(F.col("free"), F.col("n"))
+    by_score = scored(model, held).groupBy("kind", "p").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("right"), F.sum(free).alias("n_free"), F.sum(free * F.col("label")).alias("right_free")
+    )
+    passes = Window.partitionBy("kind").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    share = lambda part, of: F.sum(part).over(passes) / F.sum(of).over(passes)
+    ranked = by_score.withColumn("share", F.least(share("right", "n"), share("right_free", "n_free"))).filter(F.col("share") >= precision)
     return model, {r["kind"]: r["p"] for r in ranked.groupBy("kind").agg(F.min("p").alias("p")).collect()}
 
 
