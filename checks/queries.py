@@ -58,12 +58,12 @@ def streamed_first_copies(spark, d):
     at = F.timestamp_seconds(F.lit(1704067200) + F.col("row_id") % 3600).alias("at")
     rows = fx.survey(spark, d).select("row_id", "text", "source", at)
     closing = rows.limit(1).select(F.lit(-1).cast("bigint").alias("row_id"), F.lit("closing row").alias("text"), "source", F.timestamp_seconds(F.lit(1735689600)).alias("at"))
-    for part in (rows.filter("row_id % 2 = 1"), rows.filter("row_id % 2 = 0"), closing):
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    found = firsts.first_copies(stream, "2 hours", "at")
     options = {"checkpointLocation": f"{folder}/state", "path": f"{folder}/out"}
-    found.writeStream.options(**options).trigger(availableNow=True).format("parquet").start().awaitTermination()
+    for part in (rows.filter("row_id % 2 = 1"), rows.filter("row_id % 2 = 0"), closing):
+        # All files that have come since the last run are a micro-batch, so each may have as many as it needs.
+        part.write.mode("append").parquet(f"{folder}/in")
+        found = firsts.first_copies(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), "2 hours", "at")
+        found.writeStream.options(**options).trigger(availableNow=True).format("parquet").start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{folder}/out").filter("row_id >= 0").select("row_id", "source", F.md5("text").alias("text_md5"))
 
 
