@@ -92,10 +92,16 @@ def decoded_texts(spark, d):
     return docs.select("doc_id", F.md5(files.decoded(content).cast("binary")).alias("text_md5"))
 
 
+# About how many bytes of text a delimited file gets; one with quoted line breaks is read by one task.
+_FILE_BYTES = 64 << 20
+
+
 def _written(spark, d, sep: str, **options):
     """Documents as delimited files, those in French and German in Latin-1, read back from their bytes."""
     folder = f"{stage_folder(spark)}/files-{uuid.uuid4().hex}"
-    docs = fx.table(spark, d, "documents").select("doc_id", "text", "lang", "n_chars").repartition(4)
+    docs = fx.table(spark, d, "documents").select("doc_id", "text", "lang", "n_chars")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
+    docs = docs.repartition(max(4, size // _FILE_BYTES + 1))
     spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     for name, rows, encoding in (("latin", F.col("lang").isin("fr", "de"), "ISO-8859-1"), ("utf8", ~F.col("lang").isin("fr", "de"), "UTF-8")):
         docs.filter(rows).write.options(header=True, sep=sep, escape='"', encoding=encoding, lineSep="\n", **spaces).csv(f"{folder}/{name}")

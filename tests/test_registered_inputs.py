@@ -36,3 +36,15 @@ def test_streamed_rows_are_not_put_into_one_file(spark, documents):
     assert sorted(r["row_id"] for r in found) == sorted(first.values())
     # Two micro-batches from six tasks each, and the closing row.
     assert len(new_files(spark, "stream-*/in/part-*.parquet", before)) >= 9
+
+
+@pytest.mark.parametrize("query", ["csv_files", "tsv_files"])
+def test_delimited_files_get_more_with_more_text(spark, documents, monkeypatch, query):
+    folder, rows = documents
+    before = new_files(spark, "files-*/*/part-*.csv")
+    few = sorted(map(tuple, getattr(queries, query)(spark, folder).collect()))
+    some = new_files(spark, "files-*/*/part-*.csv", before)
+    monkeypatch.setattr(queries, "_FILE_BYTES", 1000)
+    many = sorted(map(tuple, getattr(queries, query)(spark, folder).collect()))
+    assert few == many and [r[0] for r in many] == [r[0] for r in rows]
+    assert len(some) <= 8 and len(new_files(spark, "files-*/*/part-*.csv", before) - some) >= 14
