@@ -91,3 +91,12 @@ def test_clusters_are_pruned_and_dense_ones_connect(spark, monkeypatch):
 def test_vectors_without_an_id_link_nothing(spark):
     df = spark.createDataFrame([(None, 1, [1.0, 0.0]), (2, 1, [1.0, 0.1]), (3, 1, [0.0, 1.0])], "id bigint, n int, embedding array<double>")
     assert semantic.similar_themes(df).collect() == []
+
+
+def test_chunks_of_a_cell_meet_without_a_shuffle(spark, monkeypatch):
+    """Blocks of a cell are read by the tasks that compare them; no vector is copied for each block it meets."""
+    monkeypatch.setattr(semantic, "CHUNK", 10)
+    vectors = [(1, v) for v in np.random.default_rng(9).normal(size=(100, 8))]
+    links = semantic.similarity_links(frame(spark, vectors).select("id", "embedding"), 0.8)
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
