@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -111,3 +112,32 @@ def test_any_text_is_encoded_as_by_the_tokenizer(texts):
 
 
 ENCODER = tf.WordEncoder(PATH)
+
+
+class Counted(dict):
+    looked_up = 0
+
+    def get(self, *a):
+        self.looked_up += 1
+        return super().get(*a)
+
+    def __getitem__(self, key):
+        self.looked_up += 1
+        return super().__getitem__(key)
+
+
+def test_each_word_of_a_batch_is_looked_up_once():
+    encoder = tf.WordEncoder(PATH)
+    encoder.known = Counted()
+    texts = [" ".join(["some words of a text,"] * 20)] * 50
+    for _ in range(2):
+        assert encoder(texts) == plain(texts)
+    assert encoder.known.looked_up == 2 * 5
+
+
+def test_pieces_are_bounded_in_bytes_and_lose_no_row(monkeypatch):
+    monkeypatch.setattr(tf, "_BATCH_BYTES", 10)
+    texts = ["é" * 3, None, "", "x" * 25, "ab", "c" * 8, "d"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    pieces = [p.column(1).to_pylist() for p in tf._pieces(iter([batch, batch.slice(3, 2), batch.slice(0, 0)]))]
+    assert pieces == [texts[:3], texts[3:4], ["ab", "c" * 8], ["d"], texts[3:4], ["ab"]]
