@@ -106,3 +106,17 @@ def test_long_lines(spark):
     rows = [(i, " ".join(f"w{k + (i % 2) * 50}" for k in range(150 + i)) + f" x{i}") for i in range(8)]
     rows += [(20 + i, " ".join(f"w{k}" if k % 9 > i else f"y{k}" for k in range(160))) for i in range(4)]
     check(rows, ld.repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+
+
+def test_long_lines_far_apart_are_no_candidates(spark, monkeypatch):
+    """Lines that share many words but do not match are told apart before any is verified."""
+    import random
+
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(400)]
+    rows = [(i, " ".join(rng.sample(vocabulary, 140))) for i in range(60)] + [(60, "x " + " ".join(f"w{k}" for k in range(140)))]
+    rows.append((61, rows[60][1] + " y"))
+    verified, seen = ld.verified, []
+    monkeypatch.setattr(ld, "verified", lambda pairs, *a: seen.append(pairs.count()) or verified(pairs, *a))
+    check(rows, ld.repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert sum(seen) == 1

@@ -1,21 +1,25 @@
 """Near-duplicate lines by an exact set-similarity join (Jaccard over the words of a line).
 
-Lines equal after normalisation fold first, on digests. The words of the others are ordered by rarity,
-counted over all documents, and two lines of Jaccard ``threshold`` or more share a word in the prefixes
-of that order. Postings of prefix words are joined with length and positional filters, and candidates
-are verified on their words.
-
-A line goes if an earlier line (by document id, then place) matches it. Short posting lists are joined
-with themselves, at most a fixed number of comparisons per posting. In a long list a match with its first
-line settles a line, and the join over whole long lists is left to lines not settled so. A large family
-of near-copies costs one comparison per member, list and round, not one per pair.
-
-Only DataFrame functions are used. Words are compared as 56-bit hashes until they are verified: a false
-match is not possible, and a match could be missed only if two words of the compared lines share a hash.
+Texts are cut into words once, and stored as a digest and hashes of the words of every line. Lines equal
+after normalisation fold first, on digests. The words of the others are ordered by rarity, counted over all
+lines, and two lines of Jaccard ``threshold`` or more share a word in the prefixes of that order. Postings
+of prefix words are joined with length, positional and signature filters, and candidates are verified on
+their words.
+
+A line goes if an earlier line (by document id, then place) matches it. In a long posting list a match with
+its first line settles a line. Postings are then joined with themselves, short lists whole, at most a fixed
+number of comparisons per posting, and long ones for the lines not settled so. A large family of near-copies
+costs one comparison per member, list and round, not one per pair.
+
+Only DataFrame functions are used. Words are compared as 32-bit hashes until they are verified, one for each
+different word of a line. Words that share a hash can only bring lines nearer, so no match is missed, and a
+false one does not pass the verification.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,14 +30,9 @@ THRESHOLD = 0.8
 SLOTS = 1 << 18
 # Posting lists up to this length are joined with themselves.
 SHORT = 64
-# The signature in postings tells little about lines of more words than this; they have a wider one.
-NARROW = 100
-WIDE = 8
-
-
-def plain(line: Column) -> Column:
-    """Lower case, white space runs as one space, none at the ends."""
-    return F.btrim(F.regexp_replace(F.lower(line), "[\\t-\\r][ \\t-\\r]*| [ \\t-\\r]+", " "), F.lit(" "))
+# One number of 64 bits tells little about lines of more words than this; their signature has WIDE numbers.
+NARROW = 80
+WIDE = 4
 
 
 def lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -47,13 +46,11 @@ def lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return placed.filter(F.rlike("part", F.lit("[^ \\t-\\r]")))
 
 
-def _digest(line: Column) -> Column:
-    return F.unhex(F.md5(line.cast("binary")))
-
-
 def words_of(line: Column) -> Column:
-    """The words of a line as in :func:`plain`."""
-    return F.array_remove(F.split(F.lower(line), "[ \\t-\\r]+"), "")
+    """The words of a line in lower case, between white space."""
+    lower = F.lower(line)
+    # A pattern of one space is much faster, and most lines have no other white space.
+    return F.array_remove(F.when(F.rlike(line, F.lit("[\\t-\\r]")), F.split(lower, "[ \\t-\\r]+")).otherwise(F.split(lower, " ")), "")
 
 
 def level(n: Column) -> Column:
@@ -61,31 +58,46 @@ def level(n: Column) -> Column:
     return F.floor(F.log2(n.cast("double")) * 3).cast("bigint")
 
 
-def rarity(docs: DataFrame, text_column: str = "text", slots: int = SLOTS) -> DataFrame:
+def hashed_lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """doc_id, line_no, digest (of the words with one space between) and hashes (one for each different word)."""
+    worded = lines(docs, id_column, text_column).select("doc_id", "line_no", words_of(F.col("part")).alias("words"))
+    digest = F.unhex(F.md5(F.array_join("words", " ").cast("binary")))
+    return worded.select("doc_id", "line_no", digest.alias("digest"), F.transform(F.array_distinct("words"), lambda w: F.hash(w)).alias("hashes"))
+
+
+def rarity(hashed: DataFrame, slots: int = SLOTS) -> DataFrame:
     """One row: an array that has for each slot of word hashes the :func:`level` of the count of its words,
-    above 56 clear bits. ``slots`` is a power of two."""
-    words = docs.select(F.explode_outer(F.split(F.lower(docs[text_column]), "[ \\t-\\r]+")).alias("word"))
-    counted = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(slots - 1)).alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    every = docs.sparkSession.range(slots).join(counted, "id", "left")
-    high = F.shiftleft(level(F.coalesce("n", F.lit(1))), 56).alias("level")
+    above 32 clear bits. ``slots`` is a power of two."""
+    words = hashed.select(F.explode("hashes").alias("h"))
+    counted = words.groupBy(F.col("h").bitwiseAND(F.lit(slots - 1)).cast("bigint").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    every = hashed.sparkSession.range(slots).join(counted, "id", "left")
+    high = F.shiftleft(level(F.coalesce("n", F.lit(1))), 32).alias("level")
     # Bounded: one entry per slot.
-    ordered = every.agg(F.array_sort(F.collect_list(F.struct(F.col("id"), high))).alias("levels"))
+    ordered = every.agg(F.sort_array(F.collect_list(F.struct(F.col("id"), high))).alias("levels"))
     return ordered.select(F.transform("levels", lambda s: s["level"]).alias("levels"))
 
 
-def word_keys(part: Column, levels: Column, slots: int) -> Column:
-    """The distinct words of a line as keys, rarest first: level of rarity above 56 bits of hash."""
-    hashed = F.transform(words_of(part), lambda w: F.xxhash64(w))
-    keyed = F.transform(
-        hashed, lambda h: F.get(levels, h.bitwiseAND(F.lit(slots - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8))
-    )
-    return F.sort_array(F.array_distinct(keyed))
+def word_keys(hashes: str | Column, levels: Column, slots: int) -> Column:
+    """The words of a line as keys, rarest first: level of rarity above 32 bits of hash."""
+    low = F.lit((1 << 32) - 1).cast("bigint")
+    key = lambda h: F.get(levels, h.bitwiseAND(F.lit(slots - 1))).bitwiseOR(h.cast("bigint").bitwiseAND(low))
+    # Numbers that Spark knows not to be null are sorted much faster.
+    return F.sort_array(F.transform(hashes, lambda h: F.coalesce(key(h), F.lit(0).cast("bigint"))))
+
 
+def _signature(hashes: str | Column, part: int | None = None) -> Column:
+    """64 bits, of which each word of a line (or of one of WIDE parts of its words) turns one over: lines
+    differ in at most as many bits as words."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)))
+    if part is None:
+        turned = bit
+    else:
+        turned = lambda h: F.when(h.bitwiseAND(F.lit(64 * (WIDE - 1))) == 64 * part, bit(h)).otherwise(F.lit(0).cast("bigint"))
+    return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, h: a.bitwiseXOR(turned(h)))
 
-def _signature(keys: str | Column) -> Column:
-    """64 bits, of which each word of a line turns one over: lines differ in at most as many bits as words."""
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(63).cast("int"))
-    return F.aggregate(keys, F.lit(0).cast("bigint"), lambda a, k: a.bitwiseXOR(bit(k)))
+
+def _xor(columns: list[Column]) -> Column:
+    return reduce(Column.bitwiseXOR, columns)
 
 
 def _overlap(size_a: Column, size_b: Column, threshold: float) -> Column:
@@ -94,16 +106,25 @@ def _overlap(size_a: Column, size_b: Column, threshold: float) -> Column:
     return F.ceil((size_a + size_b) * F.lit(threshold / (1 + threshold)) - 1e-9)
 
 
-def postings(kept: DataFrame, levels: DataFrame, threshold: float, slots: int = SLOTS) -> DataFrame:
-    """key, doc_id, line_no, size, place, bits (signature) of every prefix word of the lines ``kept``."""
-    keys = kept.withColumn("_levels", levels.scalar()).select("doc_id", "line_no", word_keys(F.col("part"), F.col("_levels"), slots).alias("keys"))
-    size = F.size("keys")
-    prefix = (size - F.ceil(size * F.lit(threshold) - 1e-9) + 1).cast("int")
-    cut = keys.select("doc_id", "line_no", size.alias("size"), _signature("keys").alias("bits"), F.slice("keys", F.lit(1), prefix).alias("keys"))
-    return cut.select("doc_id", "line_no", "size", "bits", F.posexplode_outer("keys").alias("place", "key"))
+# The last number of a wide signature is left out: all of them make up ``bits``.
+_WIDE = [f"w{i}" for i in range(WIDE - 1)]
+_POSTING = ("doc_id", "line_no", "size", "place", "bits", *_WIDE)
+
 
+def postings(kept: DataFrame, levels: DataFrame, threshold: float, slots: int = SLOTS) -> DataFrame:
+    """key, doc_id, line_no, size, place, bits (signature) of every prefix word of the hashed lines ``kept``,
+    and w0, w1 and so on (signatures of parts of the words) for lines of more than NARROW words.
 
-_POSTING = ("doc_id", "line_no", "size", "place", "bits")
+    The outer explode keeps Spark from working the keys out again for a filter.
+    """
+    size = F.size("hashes")
+    wide = [F.when(size > NARROW, _signature("hashes", i)).alias(f"w{i}") for i in range(WIDE)]
+    keyed = kept.withColumn("_levels", levels.scalar())
+    keys = keyed.select("doc_id", "line_no", "hashes", word_keys("hashes", F.col("_levels"), slots).alias("keys"), *wide)
+    prefix = (size - F.ceil(size * F.lit(threshold) - 1e-9) + 1).cast("int")
+    bits = F.coalesce(_xor([F.col(f"w{i}") for i in range(WIDE)]), _signature("hashes"))
+    cut = keys.select("doc_id", "line_no", size.alias("size"), bits.alias("bits"), *_WIDE, F.slice("keys", F.lit(1), prefix).alias("keys"))
+    return cut.select("doc_id", "line_no", "size", "bits", *_WIDE, F.posexplode_outer("keys").alias("place", "key"))
 
 
 def _may_match(threshold: float, a: str, b: str) -> Column:
@@ -112,8 +133,13 @@ def _may_match(threshold: float, a: str, b: str) -> Column:
     rest = F.least(size_a - F.col(f"{a}.place"), size_b - F.col(f"{b}.place"))
     longer, shorter = F.greatest(size_a, size_b), F.least(size_a, size_b)
     overlap = _overlap(size_a, size_b, threshold)
-    apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
-    return (shorter >= longer * F.lit(threshold) - 1e-9) & (rest >= overlap) & (apart <= size_a + size_b - overlap * 2)
+    turned, *parts = [F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in ("bits", *_WIDE)]
+    apart = F.bit_count(turned)
+    # Null if one of the lines has no wide signature.
+    wide_apart = sum((F.bit_count(x) for x in parts), F.bit_count(_xor([turned, *parts])))
+    most = size_a + size_b - overlap * 2
+    near = (apart <= most) & (F.coalesce(wide_apart, apart) <= most)
+    return (shorter >= longer * F.lit(threshold) - 1e-9) & (rest >= overlap) & near
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -122,25 +148,6 @@ def _earlier(a: str, b: str) -> Column:
     return (doc_a < doc_b) | ((doc_a == doc_b) & (F.col(f"{a}.line_no") < F.col(f"{b}.line_no")))
 
 
-def _wide_signatures(words: DataFrame) -> DataFrame:
-    """doc_id, line_no, n (words), w0, w1 and so on (each as :func:`_signature`, for a part of the words) of long lines."""
-    hashed = words.filter(F.size("words") > NARROW).select("doc_id", "line_no", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    part = lambda i: F.filter("h", lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(WIDE - 1)) == i)
-    return hashed.select("doc_id", "line_no", F.size("h").alias("n"), *(_signature(part(i)).alias(f"w{i}") for i in range(WIDE)))
-
-
-def _not_apart(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    """The pairs without those of long lines whose wide signatures differ in too many bits."""
-    wide = broadcast_if_small(stage(_wide_signatures(words)))
-    for end in "ab":
-        named = wide.select(F.col("doc_id").alias(f"{end}_doc"), F.col("line_no").alias(f"{end}_line"), *(F.col(c).alias(f"{end}_{c}") for c in wide.columns[2:]))
-        pairs = pairs.join(named, [f"{end}_doc", f"{end}_line"], "left")
-    apart = sum((F.bit_count(F.col(f"a_w{i}").bitwiseXOR(F.col(f"b_w{i}"))) for i in range(WIDE)), F.lit(0))
-    sizes = F.col("a_n") + F.col("b_n")
-    near = apart <= sizes - _overlap(F.col("a_n"), F.col("b_n"), threshold) * 2
-    return pairs.filter(F.coalesce(near, F.lit(True))).select("a_doc", "a_line", "b_doc", "b_line")
-
-
 def verified(pairs: DataFrame, docs: DataFrame, id_column: str, text_column: str, threshold: float) -> DataFrame:
     """The pairs (a_doc, a_line, b_doc, b_line) whose words reach the threshold, with ``jaccard``. ``pairs`` is stored and has each once."""
     ends = pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no")).union(pairs.select("b_doc", "b_line"))
@@ -152,7 +159,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_column: str, text_column: str
     words = stage(needed.select("doc_id", "line_no", F.array_distinct(words_of(F.col("part"))).alias("words")))
     first = words.select(F.col("doc_id").alias("a_doc"), F.col("line_no").alias("a_line"), F.col("words").alias("a_words"))
     second = words.select(F.col("doc_id").alias("b_doc"), F.col("line_no").alias("b_line"), F.col("words").alias("b_words"))
-    both = stage(_not_apart(pairs, words, threshold)).join(first, ["a_doc", "a_line"]).join(second, ["b_doc", "b_line"])
+    both = pairs.join(first, ["a_doc", "a_line"]).join(second, ["b_doc", "b_line"])
     common = F.size(F.array_intersect("a_words", "b_words"))
     jaccard = common / (F.size("a_words") + F.size("b_words") - common)
     return both.select("a_doc", "a_line", "b_doc", "b_line", jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold - 1e-12)
@@ -178,43 +185,40 @@ def repeated_lines(
     """The lines to remove: doc_id, line_no, keep_doc_id, keep_line_no (an earlier line it matches), jaccard.
 
     A line goes if the words of an earlier line have Jaccard ``threshold`` or more with its own, whether
-    or not that line goes too. Lines equal after normalisation have 1.0 and name their first; others name
-    the earliest of their first candidates if it matches (those in short posting lists and the heads of long
-    ones), or else their earliest match. Lists have up to ``short`` lines or are long, which decides speed and
-    which match is named, not what goes. Lines without a word, null and empty texts and rows without an id give none. Rows that repeat an id are taken for one
+    or not that line goes too. Lines equal after normalisation have 1.0 and name their first. A line that
+    matches the earliest head of its long posting lists names the earliest of that head and its matches in
+    short lists; others name their earliest match. Lists have up to ``short`` lines or are long, which decides
+    speed and which match is named, not what goes. Lines without a word, null and empty texts and rows without an id give none. Rows that repeat an id are taken for one
     document's lines, of which equal places cannot match one another. Other columns are not looked at. An
     empty table gives an empty result.
     """
-    found = lines(docs, id_column, text_column)
-    digests = stage(found.select("doc_id", "line_no", _digest(plain(F.col("part"))).alias("digest")))
+    hashed = stage(hashed_lines(docs, id_column, text_column))
+    digests = hashed.drop("hashes")
     groups = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line_no")).alias("head"))
     shared = stage(groups.filter("n > 1").select("digest", F.col("head.doc_id").alias("keep_doc_id"), F.col("head.line_no").alias("keep_line_no")))
     is_head = (F.col("doc_id") == F.col("keep_doc_id")) & (F.col("line_no") == F.col("keep_line_no"))
     equal = stage(digests.join(broadcast_if_small(shared), "digest").filter(~is_head).drop("digest"))
     # Lines that only repeat another take no further part.
-    kept = found.join(broadcast_if_small(equal.select("doc_id", "line_no").distinct()), ["doc_id", "line_no"], "left_anti")
-    levels = stage(rarity(docs, text_column, slots))
+    kept = hashed.drop("digest").join(broadcast_if_small(equal.select("doc_id", "line_no").distinct()), ["doc_id", "line_no"], "left_anti")
+    levels = stage(rarity(hashed, slots))
     posted = stage(postings(kept, levels, threshold, slots))
     # A list is no longer than its slot's count, so lists of low level are short; others are counted.
-    may_be_long = posted.filter(F.shiftrightunsigned("key", 56) >= level(F.lit(short)))
-    counted = may_be_long.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    long_keys = broadcast_if_small(stage(counted.filter(F.col("n") > short).select("key")))
-    brief = posted.join(long_keys, "key", "left_anti")
-    listed = stage(posted.join(long_keys, "key", "left_semi"))
-    heads = listed.groupBy("key").agg(F.min(F.struct(*_POSTING)).alias("a"))
+    may_be_long = posted.filter(F.shiftrightunsigned("key", 32) >= level(F.lit(short)))
+    first = may_be_long.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_POSTING)).alias("a"))
+    heads = broadcast_if_small(stage(first.filter(F.col("n") > short).select("key", "a.*"))).alias("a")
     to_pairs = [F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line"), F.col("b.doc_id").alias("b_doc"), F.col("b.line_no").alias("b_line")]
     goes = _earlier("a", "b") & _may_match(threshold, "a", "b")
-    with_head = listed.select("key", F.struct(*_POSTING).alias("b")).join(heads, "key").filter(goes).select(*to_pairs)
-    # Both sides are the same, so that the postings are shuffled once.
-    inside = brief.alias("a").join(brief.alias("b").hint("merge"), F.col("a.key") == F.col("b.key")).filter(goes).select(*to_pairs)
-    pairs = stage(with_head.union(inside).distinct())
-    # Most candidates match: one comparison per line comes first, the others are left to lines it does not settle.
-    nearest = pairs.groupBy("b_doc", "b_line").agg(F.min(F.struct("a_doc", "a_line")).alias("a")).select("a.*", "b_doc", "b_line")
+    with_head = posted.alias("b").join(heads, F.col("a.key") == F.col("b.key")).filter(goes).select(*to_pairs)
+    # Most candidates match: one comparison per line comes first, and whole long lists are left to lines it does not settle.
+    nearest = with_head.groupBy("b_doc", "b_line").agg(F.min(F.struct("a_doc", "a_line")).alias("a")).select("a.*", "b_doc", "b_line")
     settled = stage(_first_match(verified(stage(nearest), docs, id_column, text_column, threshold)))
-    gone = broadcast_if_small(settled.select("doc_id", "line_no"))
-    open_lines = listed.join(gone, ["doc_id", "line_no"], "left_anti")
-    rest = listed.alias("a").join(open_lines.alias("b").hint("merge"), F.col("a.key") == F.col("b.key")).filter(goes).select(*to_pairs)
-    others = pairs.join(gone, (F.col("b_doc") == F.col("doc_id")) & (F.col("b_line") == F.col("line_no")), "left_anti")
-    late = _first_match(verified(stage(others.union(rest).distinct()), docs, id_column, text_column, threshold))
-    whole = equal.withColumn("jaccard", F.lit(1.0)).unionByName(settled).unionByName(late)
+    gone = broadcast_if_small(settled.select("doc_id", "line_no", F.lit(True).alias("settled")))
+    long_keys = heads.select("key", F.lit(True).alias("long"))
+    marked = posted.join(gone, ["doc_id", "line_no"], "left").join(long_keys, "key", "left")
+    # Both sides are the same and use the same columns, so that the postings are shuffled once, however long their lists are.
+    compared = (F.col("b.settled").isNull() | F.col("a.long").isNull() | F.col("b.long").isNull()) & goes
+    pairs = marked.alias("a").join(marked.alias("b").hint("merge"), F.col("a.key") == F.col("b.key")).filter(compared).select(*to_pairs, "a.settled")
+    found = _first_match(verified(stage(pairs.distinct()), docs, id_column, text_column, threshold))
+    late = found.unionByName(settled).groupBy("doc_id", "line_no").agg(F.min(F.struct("keep_doc_id", "keep_line_no", "jaccard")).alias("m")).select("doc_id", "line_no", "m.*")
+    whole = equal.withColumn("jaccard", F.lit(1.0)).unionByName(late)
     return whole.select("doc_id", "line_no", "keep_doc_id", "keep_line_no", "jaccard")
