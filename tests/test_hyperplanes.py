@@ -130,3 +130,73 @@ def test_signatures_are_made_in_slices(spark, monkeypatch):
     assert max(map(len, parts)) <= 8 and sum(map(len, parts)) == len(rows) == len(got)
     keys = {r["id"]: list(r["keys"]) for r in got}
     assert all(keys[i] == list(k) for part in parts for i, k in zip(part["id"], part["keys"]))
+
+
+@pytest.fixture
+def passes(spark, monkeypatch):
+    """The partitions of each table that is mapped in Python from now on, by the columns made."""
+    made = []
+    kind = type(spark.range(1))
+    run = kind.mapInPandas
+    monkeypatch.setattr(kind, "mapInPandas", lambda self, f, schema, *a, **k: made.append((schema, self.rdd.getNumPartitions())) or run(self, f, schema, *a, **k))
+    return made
+
+
+def recalled_by_force(spark, vectors, threshold, asked):
+    """``pairs, found`` over all pairs, from the keys of the search itself."""
+    units = semantic.unit_vectors(vectors)
+    rows = hyperplanes.signed(units, *hyperplanes.layout(units.count(), threshold)).collect()
+    x, keys = np.array([r["vector"] for r in rows]), np.array([r["keys"] for r in rows])
+    pairs = found = 0
+    for i, r in enumerate(rows):
+        if asked(r["id"]):
+            alike = (x @ x[i] >= threshold) & np.array([o["id"] != r["id"] for o in rows])
+            pairs, found = pairs + alike.sum(), found + (alike & (keys == keys[i]).any(axis=1)).sum()
+    return pairs, found
+
+
+def test_recall_is_counted_in_few_passes_by_many_tasks(spark, passes):
+    """A block of queries is as large as memory allows, and a table in one piece is dealt to many tasks."""
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(2).normal(size=(2500, 4)))]
+    vectors = spark.createDataFrame(rows, "id bigint, embedding array<double>").coalesce(1)
+    row = hyperplanes.recall_of(vectors, 0.9, vectors).first()
+    counted = [n for schema, n in passes if schema == "n long, shared long"]
+    signing = [n for schema, n in passes if schema != "n long, shared long"]
+    assert len(counted) == 1 and min(signing) >= 2
+    assert (row["pairs"], row["found"]) == recalled_by_force(spark, vectors, 0.9, lambda i: True)
+
+
+@pytest.mark.parametrize("cells, tile, stride, block", [(1 << 21, 1024, 128, 64 << 20), (50, 7, 3, 400), (1, 16, 8, 1)])
+def test_recall_in_blocks_and_slices(spark, monkeypatch, passes, cells, tile, stride, block):
+    for name, value in (("_CELLS", cells), ("_TILE", tile), ("_STRIDE", stride), ("_BLOCK_BYTES", block), ("_TASK", 40)):
+        monkeypatch.setattr(hyperplanes, name, value)
+    vectors = frame(spark, clustered(13, n=60)).select("id", "embedding")
+    for threshold in (0.5, 0.9):
+        row = hyperplanes.recall_of(vectors, threshold, vectors.filter("id % 10 = 0")).first()
+        assert (row["pairs"], row["found"]) == recalled_by_force(spark, vectors, threshold, lambda i: i % 10 == 0)
+    assert (len([s for s, _ in passes if s == "n long, shared long"]) > 2) == (block < 1000)
+
+
+def test_rounding_does_not_move_a_pair_over_the_threshold(spark):
+    angle = np.arccos(0.6)
+    rows = [(0, [1.0, 0.0]), *[(i, [float(np.cos(angle + e)), float(np.sin(angle + e))]) for i, e in enumerate((-1e-9, 1e-9, -1e-12, 1e-12), 1)]]
+    vectors = spark.createDataFrame(rows, "id bigint, embedding array<double>")
+    assert hyperplanes.recall_of(vectors, 0.6, vectors.filter("id = 0")).first()["pairs"] == 2
+
+
+@pytest.mark.parametrize("bits", [0, 1, 8, 9, 16, 17, 30])
+def test_signatures_are_the_same_stored_as_bytes(spark, bits):
+    units = semantic.unit_vectors(frame(spark, clustered(17, n=20)).select("id", "embedding"))
+    keys = {r["id"]: r["keys"] for r in hyperplanes.signed(units, bits, 3).collect()}
+    planes = hyperplanes._planes(8, bits, 3, hyperplanes.SEED)
+    kind = hyperplanes._number(bits)
+    for r in hyperplanes._sealed(units, planes, bits, 3).collect():
+        assert [int(k) + (band << bits) for band, k in enumerate(np.frombuffer(r["keys"], kind))] == keys[r["id"]]
+
+
+def test_a_norm_is_worked_out_once_a_vector(spark):
+    """A norm inside the lambda that divides by it would be worked out for each number."""
+    vectors = spark.createDataFrame([(1, [3.0, 4.0]), (2, None), (3, [0.0, 0.0]), (None, [1.0, 0.0]), (4, [1.0, None]), (5, [])], "id bigint, embedding array<double>")
+    units = semantic.unit_vectors(vectors)
+    assert [tuple(r) for r in units.collect()] == [(1, [0.6, 0.8])]
+    assert "/ SQRT(" not in units._jdf.queryExecution().optimizedPlan().toString()

@@ -33,11 +33,13 @@ def unit_vectors(vectors: DataFrame, key: str = "id", embedding: str = "embeddin
     """``id, vector`` of length one; null and zero embeddings and those without an id are left out."""
     numbers = F.transform(F.col(embedding), lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
+    # A norm named inside a lambda would be worked out again for each of its numbers.
+    norms = F.array_repeat("_norm", F.size("_v"))
     return (
         vectors.select(F.col(key).alias("id"), numbers.alias("_v"))
         .withColumn("_norm", norm)
         .filter((F.col("_norm") > 0) & F.col("id").isNotNull())
-        .select("id", F.transform("_v", lambda x: x / F.col("_norm")).alias("vector"))
+        .select("id", F.zip_with("_v", norms, lambda x, n: x / n).alias("vector"))
     )
 
 
