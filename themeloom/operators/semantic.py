@@ -128,7 +128,10 @@ def _met(rows: DataFrame, threshold: float, neighbours: Callable | None = None)
         & (F.col("left_number") <= F.col("right_number"))
         & ~(F.col("left_visiting") & F.col("right_visiting"))
     )
-    pairs = left.join(right.hint("shuffle_replicate_nl"), meet)
+    if has_more_than(blocks.filter("number > 0"), 0):
+        pairs = left.join(right.hint("shuffle_replicate_nl"), meet)
+    else:  # a block a cell, which meets itself
+        pairs = blocks.select(*[F.col(c).alias(f"{side}_{c}") for side in ("left", "right") for c in blocks.columns]).filter(meet)
     return pairs.mapInPandas(_meeting(threshold, neighbours), "a long, b long")
 
 
